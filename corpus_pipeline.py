@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import near_dedup, shared, substring_dedup
+from gneiss.llm import decontamination, language_id, near_dedup, packing, shared, substring_dedup
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that have no words, or of whose words no language has a third."""
+    return language_id.in_known_language(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,16 +22,30 @@ def cut_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return substring_dedup.without_repeats(docs)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that share a span with a benchmark item."""
+    return decontamination.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All that is left, packed into windows."""
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("language_id", keep_known_languages),
     ("near_dedup", drop_near_copies),
     ("substring_dedup", cut_shared_passages),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_windows),
 ]
 
-#: SQL has neither sketches nor learned labels; the tests hold the stages against brute force.
+#: SQL has neither learned labels nor sketches; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
     docs = shared.documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = shared.written(stage(spark, docs, sf_dir), name)

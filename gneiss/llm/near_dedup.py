@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gneiss.llm import kernels as K
 from gneiss.llm.components import components
-from gneiss.llm.shared import documents, written
+from gneiss.llm.shared import documents, fresh, written
 
 SHINGLE = 3
 BANDS, ROWS = 40, 4
@@ -222,10 +222,11 @@ def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD - MARG
     Rows with a null doc_id or text stay, as do texts without a word.  Of rows that repeat both doc_id and text one stays.
     """
     groups = near_duplicate_groups(docs, threshold)
-    often = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("__often"))
-    left = docs.join(groups.where("not keep").select("doc_id"), "doc_id", "left_anti").join(often, "doc_id", "left").select(*(docs[c] for c in docs.columns), "__often")
-    once = left.where("__often").dropDuplicates(["doc_id", "text"])
-    return left.where("__often is null").unionByName(once).drop("__often")
+    flag = fresh(docs, "often")
+    often = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias(flag))
+    left = docs.join(groups.where("not keep").select("doc_id"), "doc_id", "left_anti").join(often, "doc_id", "left").select(*(docs[c] for c in docs.columns), flag)
+    once = left.where(F.col(flag)).dropDuplicates(["doc_id", "text"])
+    return left.where(F.col(flag).isNull()).unionByName(once).drop(flag)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

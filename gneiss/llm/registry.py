@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import near_dedup, substring_dedup
+from gneiss.llm import decontamination, language_id, near_dedup, packing, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,8 +15,11 @@ def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": substring_dedup.query,
         "op2_near_dedup": near_dedup.query,
+        "op6_decontamination": decontamination.query,
+        "op9_language_id": language_id.query,
+        "op10_packing": packing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontamination": decontamination.ORACLE}

@@ -54,3 +54,11 @@ def present(df: DataFrame, *names: str) -> Column:
     for name in names:
         condition = condition & df[name].isNotNull()
     return condition
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from gneiss.llm import kernels as K
 from gneiss.llm.fm_index import FMIndex
-from gneiss.llm.shared import documents, written
+from gneiss.llm.shared import documents, fresh, written
 
 LENGTH = 50
 GRAM = 8
@@ -186,9 +186,13 @@ def substring_duplicates(docs: DataFrame, length: int = LENGTH, k: int = GRAM, s
     return out.select("doc_id", "first", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"))
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _without(column: str):
+    return lambda batches: _cut_out(batches, column)
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts, spans = b.column("text"), b.column("spans")
+        texts, spans = b.column("text"), b.column(column)
         new: list[str | None] = [None] * len(texts)
         for row, end, raw, bounds in K.chunks(texts):
             x = K.words(raw, bounds)
@@ -206,24 +210,23 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = x.start[e] if e < last else hi
                 kept.append(raw[at:hi].tobytes())
                 new[i] = b"".join(kept).decode("utf-8", "replace")
-        yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if f.name == "text" else b.column(f.name) for f in b.schema if f.name != "spans"], names=[f.name for f in b.schema if f.name != "spans"])
+        yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if f.name == "text" else b.column(f.name) for f in b.schema if f.name != column], names=[f.name for f in b.schema if f.name != column])
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The documents without the passages that a document of lesser doc_id has; n_chars, where there is one, is counted anew.
 
     A document of which no word is left goes.  Rows with a null doc_id or text stay as they are, and so does a text
-    that had no word before.  Columns and their order stay; a column named spans may not be among them.
+    that had no word before.  Columns and their order stay.
     """
-    if "spans" in docs.columns:
-        raise ValueError("a column named spans clashes with one that is added here")
+    name = fresh(docs, "spans")
     runs = shared_runs(docs, length, k, shard_words).where("first_doc < doc_id").select("doc_id", "start", "end")
-    spans = _joined_up(runs, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = docs.join(spans, "doc_id", "left").select(*docs.columns, "spans")
-    cut = joined.where("spans is not null").mapInArrow(_without, docs.schema).where(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10ffff}]"))
+    spans = _joined_up(runs, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias(name))
+    joined = docs.join(spans, "doc_id", "left").select(*docs.columns, name)
+    cut = joined.where(F.col(name).isNotNull()).mapInArrow(_without(name), docs.schema).where(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10ffff}]"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
-    return joined.where("spans is null").drop("spans").unionByName(cut)
+    return joined.where(F.col(name).isNull()).drop(name).unionByName(cut)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
