@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import decontamination, language_id, near_dedup, packing, substring_dedup
+from gneiss.llm import decontamination, html_extraction, language_id, near_dedup, packing, quality_classifier, quality_rules, quote_linking, substring_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +15,20 @@ def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": substring_dedup.query,
         "op2_near_dedup": near_dedup.query,
+        "op3_html_extraction": html_extraction.query,
+        "op4_quality_rules": quality_rules.query,
+        "op5_quality_classifier": quality_classifier.query,
         "op6_decontamination": decontamination.query,
+        "op7_quote_linking": quote_linking.query,
+        "op8_warc": warc.query,
         "op9_language_id": language_id.query,
         "op10_packing": packing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontamination.ORACLE}
+    return {
+        "op4_quality_rules": quality_rules.ORACLE,
+        "op6_decontamination": decontamination.ORACLE,
+        "op8_warc": warc.ORACLE,
+    }
