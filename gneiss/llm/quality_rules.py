@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.shared import documents
+from gneiss.llm.shared import documents, hash_sample
 
 SAMPLE_ROWS = 1000
 MIN_WORDS = 2
@@ -63,7 +63,7 @@ def rules(text: Column) -> list[Rule]:
 def ordered(docs: DataFrame, text: Column, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """(rule, selectivity, cost) by rejections per cost, highest first; ties by cost, then name."""
     found = rules(text)
-    sample = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(sample_rows).select("text")
+    sample = hash_sample(docs.where("text is not null").select("doc_id", "text"), F.xxhash64("doc_id", "text"), sample_rows)
     counts = sample.agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("text")).alias("chars"), *(F.count_if(r.rejects).alias(r.name) for r in rules(F.col("text")))).first()
     rows, chars = counts["n"], counts["chars"] or 1.0
     measured = [(r, counts[r.name] / max(rows, 1), r.work * chars) for r in found]

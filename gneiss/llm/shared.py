@@ -62,3 +62,14 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def hash_sample(df: DataFrame, h: Column, rows: int) -> DataFrame:
+    """The ``rows`` rows of the least 64-bit hashes ``h``, as far as a hash range expected to hold four times as many has them.
+
+    The range keeps what one task has to sort from growing with the table.
+    """
+    total = df.count()
+    share = min(1.0, 4 * rows / max(total, 1))
+    top = min(int(share * 2**64) - 2**63, 2**63 - 1)
+    return df.where(h <= F.lit(top)).withColumn("h", h).orderBy("h").limit(rows)
