@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.plans import history_queries
+from gneiss.plans import code_queries, graph_queries, history_queries, text_queries
 from gneiss.session import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_GROUPS = (history_queries.QUERIES,)
+_GROUPS = (history_queries.QUERIES, graph_queries.QUERIES, text_queries.QUERIES, code_queries.QUERIES)
 
 
 def _ready(query: Query) -> Query:

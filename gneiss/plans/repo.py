@@ -46,14 +46,37 @@ FROM (SELECT {_PATH} AS path, p_partkey AS k FROM {{part}}) a
 JOIN (SELECT s.path, s.name, t.k FROM ({SYMBOLS}) s JOIN (SELECT {_PATH} AS path, p_partkey AS k FROM {{part}}) t ON s.path = t.path) b
   ON b.k = a.k * 3 % 61 + 1 AND a.k % 4 <> 0 AND a.k <> b.k"""
 
+DOCS = """SELECT concat('docs/', CAST(doc_id AS STRING), '.md') AS path,
+  concat('# Notes on ', p_type, chr(10), chr(10), text, chr(10), chr(10), '## See also', chr(10), chr(10), '`get', upper(substring(p_name, 1, 1)), replace(substring(p_name, 2), ' ', '_'), CAST(p_partkey % 40 AS STRING),
+         '(x)` and `Option<Gone', CAST(p_partkey AS STRING), '>`, as in api::part_', CAST(p_partkey AS STRING), chr(10)) AS content
+FROM {documents} JOIN {part} ON p_partkey = doc_id % 200 + 1 WHERE text IS NOT NULL"""
+
+VECTORS = "SELECT vec_id AS id, concat('file_', CAST(label AS STRING)) AS path, embedding AS values FROM {embeddings}"
+
+#: A listing of a project's root beside the source files.
+LISTING = f"""SELECT {_PATH} AS path FROM {{part}} UNION ALL SELECT path FROM (VALUES ('README.md'), ('LICENSE'), ('Cargo.toml'), ('package-lock.json'), ('yarn.lock'), ('.travis.yml'), ('.github/workflows/ci.yml'),
+  ('biome.json'), ('.eslintrc.json'), ('debug.log'), ('src/a.swp'), ('coverage/index.html'), ('docs/.DS_Store'), ('old/main.rs.bak')) AS t(path)"""
+
+SOURCES = f"""SELECT path, CASE ext
+  WHEN 'py' THEN concat('import os', chr(10), chr(10), chr(10), 'def part_', k, '(x):', chr(10), '    if x and os:', chr(10), '        return 1', chr(10), '    return 0', chr(10))
+  WHEN 'rs' THEN concat('use std::fmt;', chr(10), chr(10), 'pub fn part_', k, '(x: i32) -> i32 {{{{', chr(10), '    if x > 0 {{{{ 1 }}}} else {{{{ 2 }}}}', chr(10), '}}}}', chr(10))
+  WHEN 'ts' THEN concat('import {{{{ a }}}} from "./a";', chr(10), chr(10), 'export function part_', k, '(x) {{{{', chr(10), '  try {{{{ a(x, 1); }}}} catch (e) {{{{}}}}', chr(10), '  return x ? 1 : 0;', chr(10), '}}}}', chr(10))
+  WHEN 'go' THEN concat('package p', chr(10), chr(10), 'import "fmt"', chr(10), chr(10), 'func Part', k, '(x int) int {{{{', chr(10), '  if true {{{{', chr(10), '    return 1', chr(10), '  }}}}', chr(10), '  return x', chr(10), '}}}}', chr(10))
+  WHEN 'java' THEN concat('import java.util.List;', chr(10), chr(10), 'public class Part', k, ' {{{{', chr(10), '    public int get(int x) {{{{', chr(10), '        return other(x);', chr(10), '    }}}}', chr(10), '}}}}', chr(10))
+  END AS content
+FROM (SELECT {_PATH} AS path, CAST(p_partkey AS STRING) AS k, regexp_extract({_PATH}, '([a-z]+)$', 1) AS ext FROM {{part}})""".replace("{{{{", "{{").replace("}}}}", "}}")
+
+EVENTS = "SELECT * FROM {events}"
+
 TABLES = {"commits": COMMITS, "file_changes": FILE_CHANGES, "deletions": DELETIONS, "renames": RENAMES, "release_tags": RELEASE_TAGS, "symbols": SYMBOLS, "imports": IMPORTS}
-_SOURCES = ("orders", "customer", "nation", "lineitem", "part")
+MORE = {"docs": DOCS, "vectors": VECTORS, "listing": LISTING, "sources": SOURCES, "event_log": EVENTS}
+_SOURCES = ("orders", "customer", "nation", "lineitem", "part", "documents", "embeddings", "events")
 
 
 def oracle_tables(*names: str) -> str:
     """The logical tables as common table expressions over the star-schema tables."""
     bare = {s: s for s in _SOURCES}
-    return ",\n".join(f"{n} AS ({TABLES[n].format(**bare)})" for n in names)
+    return ",\n".join(f"{n} AS ({(TABLES | MORE)[n].format(**bare)})" for n in names)
 
 
 @dataclass(frozen=True)
@@ -67,6 +90,11 @@ class Repo:
     release_tags: DataFrame
     symbols: DataFrame
     imports: DataFrame
+    docs: DataFrame
+    vectors: DataFrame
+    listing: DataFrame
+    sources: DataFrame
+    event_log: DataFrame
 
     @classmethod
     def from_star_schema(cls, spark: SparkSession, sf_dir: str) -> Repo:
@@ -75,7 +103,7 @@ class Repo:
         def table(text: str) -> DataFrame:
             return spark.sql(text, **{s: v for s, v in views.items() if "{" + s + "}" in text})
 
-        return cls(**{name: table(text) for name, text in TABLES.items()})
+        return cls(**{name: table(text) for name, text in (TABLES | MORE).items()})
 
     @cached_property
     def last(self) -> DataFrame:
