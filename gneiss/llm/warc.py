@@ -132,7 +132,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() != "false"
-        self.range_bytes = int(options.get("rangeBytes", RANGE_BYTES))
+        self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
         self.filters: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
