@@ -46,10 +46,10 @@ def listed(root: str, hidden: bool = False, gitignore: bool = True) -> list[str]
 
 class FilesReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        flag = lambda name, default: options.get(name, default).lower() == "true"
+        flag = lambda name, default: options.get(name.lower(), default).lower() == "true"  # noqa: E731 - Spark hands option names over in lower case
         self.root = options["path"].removeprefix("file://")
         self.hidden, self.content, self.gitignore = flag("includeHidden", "false"), flag("content", "true"), flag("gitignore", "true")
-        self.max_bytes, self.parts = int(options.get("maxBytes", MAX_BYTES)), int(options.get("partitions", 8))
+        self.max_bytes, self.parts = int(options.get("maxbytes", MAX_BYTES)), int(options.get("partitions", 8))
 
     def partitions(self) -> list[FilesPartition]:
         paths = listed(self.root, self.hidden, self.gitignore)

@@ -163,7 +163,7 @@ def commits(log: DataFrame) -> DataFrame:
     paragraphs = F.split("message", r"\n[ \t]*\n")
     last = F.split(F.element_at(paragraphs, -1), "\n")
     trailer = F.filter(last, lambda x: x.rlike(r"^[A-Za-z0-9 -]+: .+$"))
-    body = F.trim(F.regexp_replace("message", r"^[^\n]*\n?", ""))
+    body = F.regexp_replace(F.regexp_replace("message", r"^[^\n]*\n?", ""), r"^\s+|\s+$", "")
     some = (F.size(paragraphs) > 1) & (F.size(trailer) == F.size(last))
     return rows.select("hash", "author_name", "author_email", "ts", F.regexp_extract("message", r"^([^\n]*)", 1).alias("subject"), body.alias("body"), F.when(some, trailer).otherwise(F.array().cast("array<string>")).alias("trailers"), "seq")
 
