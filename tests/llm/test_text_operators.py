@@ -97,7 +97,7 @@ def test_cascade_order_and_independence(spark):
     rng = random.Random(6)
     texts = [prose(rng, 40) + " the and" for _ in range(50)] + ["### $$ ^^ ~~ {{ }}"] * 9 + ["HELLO LOUD WORDS AGAIN"] * 3 + ["you idiot moron"] * 2
     docs = messy(spark, texts)
-    ranked = quality_rules.ordered(docs, docs["text"])
+    ranked = quality_rules.ordered(docs, docs["text"], quality_rules.word_count(docs["text"]))
     gains = [s / c for _, s, c in ranked]
     assert gains == sorted(gains, reverse=True) and len(ranked) == 8 and all(c > 0 for _, _, c in ranked)
     rows = quality_rules.judge(docs).collect()
