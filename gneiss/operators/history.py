@@ -41,8 +41,7 @@ def file_activity(commits: DataFrame, file_changes: DataFrame) -> DataFrame:
     recent = F.col("ts") >= F.col("last") - F.expr(f"INTERVAL {P.RECENT_DAYS} DAYS")
     marked = commits.select("hash", "ts", "author_name", P.is_bug_fix(subject).alias("fix"), F.coalesce(P.conventional_prefix(subject) == "refactor", F.lit(False)).alias("refactor"))
     rows = _touched(marked, file_changes).crossJoin(_last(commits))
-    counts = F.col("fix") & ~P.is_generated(F.col("path"))
-    return (
+    by = (
         rows.groupBy("path")
         .agg(
             F.count(F.lit(1)).alias("changes"),
@@ -52,12 +51,14 @@ def file_activity(commits: DataFrame, file_changes: DataFrame) -> DataFrame:
             F.max("ts").alias("last_changed"),
             F.sum("additions").alias("additions"),
             F.sum("deletions").alias("deletions"),
-            F.count_if(counts).alias("bug_fix_changes"),
+            F.count_if("fix").alias("bug_fix_changes"),
             F.count_if("refactor").alias("refactor_changes"),
-            F.max(F.when(counts, F.col("ts"))).alias("last_bug_fix"),
+            F.max(F.when(F.col("fix"), F.col("ts"))).alias("last_bug_fix"),
         )
-        .withColumn("generated", P.is_generated(F.col("path")))
+        .withColumn("generated", P.is_generated(F.col("path")))  # once a file rather than once a change
     )
+    by = by.withColumn("bug_fix_changes", F.when(F.col("generated"), 0).otherwise(F.col("bug_fix_changes")).cast("long"))
+    return by.withColumn("last_bug_fix", F.when(~F.col("generated"), F.col("last_bug_fix")))
 
 
 def file_authors(commits: DataFrame, file_changes: DataFrame) -> DataFrame:

@@ -1,17 +1,21 @@
 """Vector operators (V4-V10, J19, J20, A18): built-in array functions in double precision.
 
-All pairs are compared only where no recall may be lost; the pair join is blocked, so each task holds two blocks of
-rows rather than a whole side, and nothing is broadcast by its own size.
+Only the comparison of all pairs is a matrix product on the executors, by blocks; nothing is broadcast by its own size.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OUTLIER_DISTANCE = 0.15
 DUPLICATE_SIMILARITY = 0.92
 MIN_FILES = 5
+BLOCK_ROWS = 2048
 PRESETS = {"compact": ("file", 128), "balanced": ("function", 256), "maximum": ("function", 768)}
 
 
@@ -62,23 +66,44 @@ def outliers(vectors: DataFrame, top: int = 10, min_distance: float = OUTLIER_DI
     return best.crossJoin(F.broadcast(most)).select("path", "distance", F.round(5 + F.least(F.col("distance") / F.col("most"), F.lit(1.0)) * 4, 6).alias("score"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = DUPLICATE_SIMILARITY, blocks: int = 8) -> DataFrame:
-    """(id_a, id_b, path_a, path_b, similarity) of vectors in different files, exact.
+_PAIRS = "id_a long, id_b long, path_a string, path_b string, similarity double"
 
-    Vectors are dealt into blocks and each pair of blocks meets in one group, so a task's memory shrinks as ``blocks``
-    grows; the work is quadratic all the same.
-    """
-    unit = vectors.select("id", "path", F.transform("values", lambda x: x.cast("double")).alias("v"))
-    unit = unit.withColumn("size", norm(F.col("v"))).where("size > 0").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = unit.select(F.col("id").alias("id_a"), F.col("path").alias("path_a"), F.col("v").alias("va"), F.col("size").alias("sa"), F.col("block").alias("x"), F.explode(every).alias("y"))
-    right = unit.select(F.col("id").alias("id_b"), F.col("path").alias("path_b"), F.col("v").alias("vb"), F.col("size").alias("sb"), F.col("block").alias("y"), F.explode(every).alias("x"))
-    pairs = left.join(right, ["x", "y"]).where("id_a < id_b and path_a <> path_b")
-    near = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("va"), F.col("vb")) / (F.col("sa") * F.col("sb"))))
-    return pairs.select("id_a", "id_b", "path_a", "path_b", F.round(near, 6).alias("similarity")).where(F.col("similarity") >= threshold)
 
+def similar_pairs(vectors: DataFrame, threshold: float = DUPLICATE_SIMILARITY, blocks: int | None = None) -> DataFrame:
+    """(id_a, id_b, path_a, path_b, similarity) of vectors in different files, exact; zero vectors have no pair.
 
-def semantic_duplicates(vectors: DataFrame, top: int = 10, threshold: float = DUPLICATE_SIMILARITY, blocks: int = 8) -> DataFrame:
+    Vectors are dealt into blocks of about ``BLOCK_ROWS`` and each pair of blocks meets in one group, where it is one
+    matrix product.  A task holds two blocks whatever the data; the work is quadratic all the same.
+    """
+    if blocks is None:
+        blocks = max(1, math.ceil(vectors.count() / BLOCK_ROWS))
+    rows = vectors.select("id", "path", "values", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select("id", "path", "values", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+    def meet(pair: pd.DataFrame) -> pd.DataFrame:
+        x, y = pair["x"].iloc[0], pair["y"].iloc[0]
+        unit = np.stack(pair["values"].to_numpy()).astype(float)
+        size = np.linalg.norm(unit, axis=1)
+        pair, unit = pair[size > 0], unit[size > 0] / size[size > 0, None]
+        ids, paths, block = pair["id"].to_numpy(), pair["path"].to_numpy(), pair["block"].to_numpy()
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        found = []
+        for part in np.array_split(left, max(1, len(left) // 512)):
+            near = np.round(np.clip(unit[part] @ unit[right].T, -1, 1), 6)
+            i, j = np.nonzero(near >= threshold)
+            found.append((part[i], right[j], near[i, j]))
+        i, j, near = (np.concatenate(c) for c in zip(*found, strict=True))
+        keep = (paths[i] != paths[j]) & (ids[i] != ids[j]) & ((x != y) | (ids[i] < ids[j]))
+        i, j, near = i[keep], j[keep], near[keep]
+        swap = ids[i] > ids[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return pd.DataFrame({"id_a": ids[i], "id_b": ids[j], "path_a": paths[i], "path_b": paths[j], "similarity": near})
+
+    return rows.groupBy("x", "y").applyInPandas(lambda pair: meet(pair), _PAIRS)
+
+
+def semantic_duplicates(vectors: DataFrame, top: int = 10, threshold: float = DUPLICATE_SIMILARITY, blocks: int | None = None) -> DataFrame:
     """V9: the most similar pairs of different files, with the score of their similarity."""
     out = similar_pairs(vectors, threshold, blocks).withColumn("score", F.round(6 + 4 * F.col("similarity"), 6))
     return out.orderBy(F.desc("similarity"), "id_a", "id_b").limit(top)
