@@ -223,10 +223,13 @@ def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD - MARG
     """
     groups = near_duplicate_groups(docs, threshold)
     flag = fresh(docs, "often")
-    often = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias(flag))
-    left = docs.join(groups.where("not keep").select("doc_id"), "doc_id", "left_anti").join(often, "doc_id", "left").select(*(docs[c] for c in docs.columns), flag)
+    # both branches below read one shuffle of the documents, which takes filters that are the same in both
+    known = docs.where("doc_id is not null")
+    often = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias(flag))
+    left = known.join(groups.where("not keep").select("doc_id"), "doc_id", "left_anti").join(often, "doc_id", "left").select(*docs.columns, flag)
     once = left.where(F.col(flag)).dropDuplicates(["doc_id", "text"])
-    return left.where(F.col(flag).isNull()).unionByName(once).drop(flag)
+    rest = left.where(F.col(flag).isNull()).unionByName(once).drop(flag)
+    return docs.where("doc_id is null").unionByName(rest)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
