@@ -222,11 +222,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, shard_
     name = fresh(docs, "spans")
     runs = shared_runs(docs, length, k, shard_words).where("first_doc < doc_id").select("doc_id", "start", "end")
     spans = _joined_up(runs, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias(name))
-    joined = docs.join(spans, "doc_id", "left").select(*docs.columns, name)
+    # both branches below read one shuffle of the documents, which takes filters that are the same in both
+    joined = docs.where("doc_id is not null").join(spans, "doc_id", "left").select(*docs.columns, name)
     cut = joined.where(F.col(name).isNotNull()).mapInArrow(_without(name), docs.schema).where(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10ffff}]"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
-    return joined.where(F.col(name).isNull()).drop(name).unionByName(cut)
+    return docs.where("doc_id is null").unionByName(joined.where(F.col(name).isNull()).drop(name)).unionByName(cut)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
