@@ -16,11 +16,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import kernels as K
-from gneiss.llm.shared import documents
+from gneiss.llm.shared import documents, fresh
 
 GRAM = 6
 WINDOW = 8
@@ -152,22 +153,51 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, broadcast_words: i
     occurs twice in a document, or a passage that several items have, gives a row each; repeated rows count once.
     Very long texts are handled whole.  If either table is empty there are no rows.  Other columns are ignored.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    known = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    items, shared = _shared(benchmark, broadcast_words)
+    found = _shuffled(known, items) if shared is None else known.mapInArrow(partial(_scan, shared=shared), _HITS)
+    return found.distinct()
+
+
+def _shared(benchmark: DataFrame, broadcast_words: int) -> tuple[DataFrame, Broadcast | None]:
+    """The items, and their words and fingerprints as a broadcast if they are few enough."""
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size <= 6 * broadcast_words:
-        table = items.orderBy("item_id", "text").toArrow()
-        bench = Benchmark(table.column("item_id").to_numpy(), table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()))
-        found = docs.mapInArrow(partial(_scan, shared=spark.sparkContext.broadcast(bench)), _HITS)
-    else:
-        found = _shuffled(docs, items)
-    return found.distinct()
+    if size > 6 * broadcast_words:
+        return items, None
+    table = items.orderBy("item_id", "text").toArrow()
+    bench = Benchmark(table.column("item_id").to_numpy(), table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()))
+    return items, benchmark.sparkSession.sparkContext.broadcast(bench)
+
+
+def _clean(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """The rows without a hit that extends far enough."""
+    bench: Benchmark = shared.value
+    for b in batches:
+        keep = np.ones(b.num_rows, bool)
+        known = ~b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+        for row, _, raw, bounds in K.chunks(b.column("text")):
+            x = K.words(raw, bounds)
+            doc, item, p, q = bench.hits(x)
+            if len(doc):
+                hit = row + np.unique(extend(x, bench.words, bench.first, doc, item, p, q)[0])
+                keep[hit[known[hit]]] = False
+        yield b if keep.all() else b.filter(pa.array(keep))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """The documents that share no span with the benchmark; columns stay.  Rows with a null doc_id or text stay."""
-    return docs.join(contaminated_spans(docs, benchmark, broadcast_words).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The documents that share no span with the benchmark; columns stay.  Rows with a null doc_id or text stay.
+
+    Rows that repeat a doc_id are each judged by their own text.  With a benchmark small enough to broadcast, documents
+    aren't shuffled.
+    """
+    items, shared = _shared(benchmark, broadcast_words)
+    if shared is not None:
+        return docs.mapInArrow(partial(_clean, shared=shared), docs.schema)
+    key = fresh(docs, "row_key")
+    keyed = docs.withColumn(key, F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), F.xxhash64("doc_id", "text")))
+    hits = _shuffled(keyed.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), "text"), items)
+    return keyed.join(hits.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

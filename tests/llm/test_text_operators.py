@@ -48,6 +48,9 @@ def test_spans_match_brute_force(spark, broadcast_words):
     assert len(rows) == len(got) and rows == brute_spans(docs, items, decontamination.LENGTH)
     clean = {r.doc_id for r in decontamination.without_contaminated(table, bench, broadcast_words).collect()}
     assert clean == {d for d, _ in docs} - {r[0] for r in rows}
+    # a second row of a contaminated document's id is judged by its own text
+    other = table.unionByName(spark.createDataFrame([(99, "nothing shared here")], "doc_id long, text string"))
+    assert [r.text for r in decontamination.without_contaminated(other, bench, broadcast_words).where("doc_id = 99").collect()] == ["nothing shared here"]
 
 
 @pytest.mark.parametrize("broadcast_words", [10**6, 0])
