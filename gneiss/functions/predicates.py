@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 RECENT_DAYS = 90
 
-BOTS = sorted("agent-core-bot copilot-swe-agent[bot] Copilot devin-ai-integration[bot] github-actions[bot] renovate[bot] dependabot[bot]".split())
+BOTS = sorted("copilot-swe-agent[bot] Copilot devin-ai-integration[bot] github-actions[bot] renovate[bot] dependabot[bot]".split())
 
 NOISE = r"(?:vendor/|build/|dist/|\.min\.(?:css|js)$|(?:pnpm-lock\.yaml|go\.sum|Cargo\.lock|yarn\.lock|package-lock\.json)$)"
 
@@ -57,9 +57,9 @@ def slashes(path: Column) -> Column:
     return F.replace(path, F.lit("\\"), F.lit("/"))
 
 
-def is_bot(name: Column) -> Column:
-    """a known automation account, or a name that ends in ``[bot]``."""
-    return name.isin(BOTS) | name.endswith("[bot]")
+def is_bot(name: Column, known: list[str] = BOTS) -> Column:
+    """a known automation account, or a name that ends in ``[bot]``; ``known`` can name a project's own accounts."""
+    return name.isin(known) | name.endswith("[bot]")
 
 
 def is_noise(path: Column) -> Column:

@@ -284,6 +284,6 @@ def source_findings(files: DataFrame) -> DataFrame:
                 rows += [(a, path, s, e, c, r, P.CONFIDENCE[c]) for a, s, e, c, r in detect(content, language, rust_test)]
             yield pd.DataFrame(rows, columns=["action", "path", "start_line", "end_line", "category", "reason", "confidence"])
 
-    text = F.decode("content", F.lit("UTF-8")) if dict(files.dtypes)["content"] == "binary" else F.col("content")
+    text = F.make_valid_utf8(F.col("content").cast("string")) if dict(files.dtypes)["content"] == "binary" else F.col("content")
     known = files.select("path", P.parser_language(F.col("path")).alias("language"), P.is_rust_test_file(F.col("path")).alias("rust_test"), text.alias("content"))
     return known.where(F.col("language").isNotNull() & F.col("content").isNotNull() & ~P.is_generated(F.col("path"))).mapInPandas(run, SCHEMA)

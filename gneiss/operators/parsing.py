@@ -260,7 +260,7 @@ def parse_files(files: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["path", "part", "role", "name", "kind", "line", "complexity", "import_from", "names"])
             yield out.astype({"line": "Int64", "complexity": "Int64"})
 
-    text = F.decode("content", F.lit("UTF-8")) if dict(files.dtypes)["content"] == "binary" else F.col("content")
+    text = F.make_valid_utf8(F.col("content").cast("string")) if dict(files.dtypes)["content"] == "binary" else F.col("content")
     known = files.select("path", P.parser_language(F.col("path")).alias("language"), text.alias("content"))
     known = known.where(F.col("language").isNotNull() & F.col("content").isNotNull() & ~P.is_noise(F.col("path")) & (F.octet_length("content") <= MAX_BYTES))
     return known.mapInPandas(run, _SCHEMA)

@@ -78,7 +78,7 @@ def good_first_areas(areas: DataFrame) -> DataFrame:
     good = calm.select(F.col("area").alias("path"), reason.alias("reason"), "files", "hotspot_score")
     count = F.broadcast(good.agg(F.count(F.lit(1)).alias("found")))
     other = areas.where(F.lower(_leaf(F.col("area"))).isin("contrib", "doc", "docs", "example", "examples", "site") & ~is_generated_dir(F.col("area"))).crossJoin(count).where("found = 0")
-    return good.unionByName(other.select(F.col("area").alias("path"), F.lit("documents or examples, easy to start with").alias("reason"), "files", "hotspot_score"))
+    return good.unionByName(other.select(F.col("area").alias("path"), F.lit("documentation or examples - approachable for newcomers").alias("reason"), "files", "hotspot_score"))
 
 
 def needs_help(areas: DataFrame) -> DataFrame:

@@ -124,25 +124,32 @@ def orphan_exports(symbols: DataFrame, edges: DataFrame, entry_points: DataFrame
     return rows.select("path", "name", "kind", "line")
 
 
-_DIRECTIVE = r"(?:^|\s)(?://|#|--)\s*slop-ignore(-file)?(?::\s*([a-z-]+))?"
+DIRECTIVE = "slop-ignore"
+HEADER_LINES = 5
 
 
-def directives(source_lines: DataFrame, pattern: str = _DIRECTIVE) -> DataFrame:
-    """(path, line, whole_file, category) of suppression comments in (path, line, text); no category is all.
+def directives(source_lines: DataFrame, word: str = DIRECTIVE) -> DataFrame:
+    """(path, line, category) of suppression comments in (path, line, text), a row a category; null is all of them.
 
-    A file-wide one counts only within the first five lines.
+    ``// word: one, two`` names categories and ``// word-all`` takes all; a remark may follow each.
     """
-    rows = source_lines.where(F.col("text").rlike(pattern))
-    whole = F.regexp_extract("text", pattern, 1) != ""
-    category = F.nullif(F.regexp_extract("text", pattern, 2), F.lit(""))
-    return rows.select("path", "line", whole.alias("whole_file"), category.alias("category")).where("not whole_file or line <= 5")
+    marker = rf"(?:^|\s)(?://|#|--)\s*{word}"
+    named = F.regexp_extract("text", rf"{marker}:([^#]*)", 1)
+    names = F.filter(F.transform(F.split(named, ","), lambda c: F.regexp_extract(c, r"(\S+)", 1)), lambda c: c != "")
+    every = F.col("text").rlike(rf"{marker}-all(?:\s|$)")
+    rows = source_lines.where(every | F.col("text").rlike(f"{marker}:"))
+    return rows.select("path", "line", F.explode(F.when(every, F.array(F.lit(None).cast("string"))).otherwise(names)).alias("category"))
 
 
 def unsuppressed(findings: DataFrame, marks: DataFrame, reach: int = 3) -> DataFrame:
-    """Findings (path, line, category, ...) without a directive on their line or up to ``reach`` lines above."""
-    m = marks.select(F.col("path").alias("m_path"), F.col("line").alias("m_line"), "whole_file", F.col("category").alias("m_category"))
-    near = F.col("m_line").between(F.col("line") - reach, F.col("line"))
-    condition = (F.col("path") == F.col("m_path")) & (F.col("whole_file") | near) & (F.col("m_category").isNull() | (F.col("m_category") == F.col("category")))
+    """Findings (path, line, category, ...) that no directive covers.
+
+    A finding on a line is covered by one on it or up to ``reach`` lines above, a finding on a whole file, whose line is
+    null, by one in the file's first lines.
+    """
+    m = marks.select(F.col("path").alias("m_path"), F.col("line").alias("m_line"), F.col("category").alias("m_category"))
+    near = F.when(F.col("line").isNull(), F.col("m_line") <= HEADER_LINES).otherwise(F.col("m_line").between(F.col("line") - reach, F.col("line")))
+    condition = (F.col("path") == F.col("m_path")) & near & (F.col("m_category").isNull() | (F.col("m_category") == F.col("category")))
     return findings.join(m, condition, "left_anti")
 
 

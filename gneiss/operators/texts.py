@@ -162,9 +162,8 @@ def stale_docs(refs: DataFrame, symbols: DataFrame, activity: DataFrame, top: in
     hot = hot_files(activity).join(activity.select("path", "changes"), "path").select(F.col("path").alias("file"), "changes")
     rows = match_references(refs, symbols).join(hot, "file", "left")
     issue = F.when(~F.col("exists"), "symbol-not-found").when(F.col("changes").isNotNull(), "references-hotspot")
-    tick = F.lit("`")
-    gone = F.concat(F.lit("no file defines "), tick, "symbol", tick)
-    hot_text = F.concat(tick, "file", tick, F.lit(" has changed "), F.col("changes").cast("string"), F.lit(" times since; check this part"))
+    gone = F.format_string("Symbol `%s` not found in codebase - may have been removed", "symbol")
+    hot_text = F.format_string("References `%s` which changed %d times - doc may be stale", "file", "changes")
     out = rows.select("doc", "line", F.col("text").alias("reference"), issue.alias("issue"), F.when(~F.col("exists"), gone).otherwise(hot_text).alias("suggestion"))
     return out.where("issue is not null").orderBy(P.severity(F.col("issue")), "doc", "line", "reference").limit(top)
 
@@ -213,6 +212,16 @@ def license_name(content: Column) -> Column:
     return found
 
 
+def manifest_license(contents: DataFrame) -> DataFrame:
+    """One row: the SPDX name that the first of the root's manifests declares, or null."""
+    path, text = F.col("path"), F.col("content")
+    toml = F.regexp_extract(text, r"(?m)^license\s*=\s*(?:\{\s*text\s*=\s*)?[\"']([^\"']+)", 1)
+    name = F.when(path == "package.json", F.get_json_object(text, "$.license")).otherwise(F.nullif(toml, F.lit("")))
+    rank = F.array_position(F.array(F.lit("Cargo.toml"), F.lit("package.json"), F.lit("pyproject.toml")), path)
+    rows = contents.where(path.isin("Cargo.toml", "package.json", "pyproject.toml")).select(rank.alias("rank"), name.alias("name")).where("name is not null")
+    return rows.agg(F.min_by("name", "rank").alias("declared"))
+
+
 def language(path: Column) -> Column:
     """the language of a file by its extension, or null; extensions are in lower case."""
     found = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])
@@ -261,6 +270,7 @@ def project_info(files: DataFrame, contents: DataFrame) -> DataFrame:
     legal = contents.where(F.col("path").rlike(r"^LICEN[CS]E(?:\.md|\.txt|-MIT|-APACHE)?$")).agg(F.min_by(license_name(F.col("content")), "path").alias("license"))
     provider = ci(files).agg(F.max("provider").alias("ci"))
     spoken = languages(files).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("file_count"), "language"))), lambda x: x["language"]), ",").alias("languages"))
+    legal = legal.crossJoin(manifest_license(contents)).select(F.coalesce("declared", "license").alias("license"))
     return found.crossJoin(titles).crossJoin(legal).crossJoin(provider).crossJoin(package_manager(files)).crossJoin(spoken)
 
 

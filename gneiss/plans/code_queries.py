@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions import predicates as P
+from gneiss.operators import chunks as C
 from gneiss.operators import detectors as D
 from gneiss.operators import entry_points as E
 from gneiss.operators import history as H
@@ -69,12 +70,20 @@ QUERIES: dict[str, tuple[Query, str]] = {
         _on_repo(lambda r: D.source_findings(r.sources).drop("reason", "action")),
         _with(_FINDINGS) + "SELECT path, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, category, CAST(confidence AS DOUBLE) AS confidence FROM findings",
     ),
+    "embedding_chunks": (
+        _on_repo(lambda r: C.chunks(r.sources.where("content is not null"), S.symbols(_parsed(r))).select("path", "chunk_index", "kind", "name", "start_line", "end_line")),
+        _with(_SOURCES)
+        + """SELECT path, CAST(i AS BIGINT) AS chunk_index, kind, name, CAST(a AS BIGINT) AS start_line, CAST(b AS BIGINT) AS end_line FROM (
+          SELECT path, 0 AS i, 'function' AS kind, concat('part_', k) AS name, CASE WHEN ext = 'py' THEN 4 ELSE 3 END AS a, CASE ext WHEN 'py' THEN 8 WHEN 'rs' THEN 6 ELSE 7 END AS b FROM s WHERE ext IN ('py', 'rs', 'ts')
+          UNION ALL SELECT path, 0, 'function', concat('Part', k), 5, 11 FROM s WHERE ext = 'go'
+          UNION ALL SELECT path, 0, 'type', concat('Part', k), 3, 3 FROM s WHERE ext = 'java' UNION ALL SELECT path, 1, 'function', 'get', 4, 8 FROM s WHERE ext = 'java')""",
+    ),
     "slop_by_file": (_on_repo(lambda r: T.by_file(D.source_findings(r.sources))), _with(_FINDINGS) + "SELECT path, count(*) AS n, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM findings GROUP BY path"),
     "slop_unsuppressed": (
         _on_repo(
             lambda r: T.unsuppressed(
                 D.source_findings(r.sources).withColumn("line", F.col("start_line")),
-                T.directives(X.lines(r.sources.where(F.col("path").rlike(r"1\d*(?:_test)?\.ts$")).select("path", F.concat(F.lit("// slop-ignore-file: empty-catch\n"), "content").alias("content")))),
+                T.directives(X.lines(r.sources.where(F.col("path").rlike(r"1\d*(?:_test)?\.ts$")).select("path", F.concat(F.lit("// slop-ignore: empty-catch\n"), "content").alias("content")))),
             ).select("path", "line", "category")
         ),
         _with(_FINDINGS) + r"SELECT path, CAST(start_line AS BIGINT) AS line, category FROM findings WHERE NOT (category = 'empty-catch' AND regexp_matches(path, '1\d*(_test)?\.ts$'))",

@@ -47,6 +47,12 @@ def test_parse_files_skips_what_it_should(spark):
     assert {(r.path, r.role, r.name) for r in S.symbols(parsed).collect()} == {("a.py", "definition", "f"), ("a.py", "export", "f")}
 
 
+def test_bytes_that_are_no_text(spark):
+    files = spark.createDataFrame([("a.py", bytearray(b"def f(): ...\n# \xff\xfe")), ("b.go", bytearray(b"\x00\xff"))], "path string, content binary")
+    assert {r.name for r in S.symbols(S.parse_files(files)).collect()} == {"f"}
+    assert D.source_findings(files).count() == 0
+
+
 def test_doc_header():
     assert S.doc_header("// One line\n// Two\nfn main() {}\n// no") == "One line\nTwo"
     assert S.doc_header('"""Module text\nmore."""\nimport x') == "Module text\nmore."
@@ -94,10 +100,11 @@ def test_conditions():
 
 
 def test_suppression(spark):
-    findings = spark.createDataFrame([("a.rs", 10, "empty-catch"), ("a.rs", 14, "empty-catch"), ("a.rs", 10, "orphan-export"), ("b.rs", 90, "empty-catch"), ("c.rs", 1, "empty-catch")], "path string, line long, category string")
-    text = spark.createDataFrame([("a.rs", 7, "// slop-ignore: empty-catch"), ("b.rs", 2, "# slop-ignore-file"), ("c.rs", 8, "// slop-ignore-file"), ("c.rs", 1, "say slop-ignore")], "path string, line long, text string")
-    left = T.unsuppressed(findings, T.directives(text))
-    assert {(r.path, r.line, r.category) for r in left.collect()} == {("a.rs", 14, "empty-catch"), ("a.rs", 10, "orphan-export"), ("c.rs", 1, "empty-catch")}
+    rows = [("a.rs", 10, "empty-catch"), ("a.rs", 14, "empty-catch"), ("a.rs", 10, "orphan-export"), ("b.rs", 3, "empty-catch"), ("b.rs", None, "tracked-artifact"), ("c.rs", None, "tracked-artifact"), ("c.rs", 1, "empty-catch"), ("d.rs", None, "stale-ci-config")]
+    findings = spark.createDataFrame(rows, "path string, line long, category string")
+    marks = [("a.rs", 7, "x(); // slop-ignore: dead, empty-catch as it is fine"), ("b.rs", 2, "# slop-ignore-all"), ("c.rs", 8, "// slop-ignore-all"), ("c.rs", 1, "say slop-ignore: empty-catch"), ("d.rs", 5, "-- slop-ignore: stale-ci-config # why")]
+    left = T.unsuppressed(findings, T.directives(spark.createDataFrame(marks, "path string, line long, text string")))
+    assert {tuple(r) for r in left.collect()} == {("a.rs", 14, "empty-catch"), ("a.rs", 10, "orphan-export"), ("c.rs", None, "tracked-artifact"), ("c.rs", 1, "empty-catch")}
 
 
 def test_path_detectors(spark):
