@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss.llm.shared import written
+
 MIN_WORDS = 2
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
@@ -138,7 +140,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     texts are parsed whole.  An empty table gives no rows.  Other columns are ignored.
     """
     rows = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").where("conv_id is not null and turn is not null").distinct()
-    parsed = rows.mapInArrow(_parse, _PARSED)
+    parsed = written(rows.mapInArrow(_parse, _PARSED), "messages")  # it is read three times
     keys = ["conv_id", "turn"]
     quoted = parsed.where(F.size("quotes") > 0).select(*keys, F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.hash").distinct()
     own = parsed.select("conv_id", F.col("turn").alias("source"), F.explode("own").alias("hash")).distinct()
