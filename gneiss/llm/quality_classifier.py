@@ -4,6 +4,7 @@ The text view has hashed words and the shares of character classes and repeated
 language, their pairs, and a scale of length.  Both are logistic regressions.  In each round either labels the pool
 of unlabelled documents, and its most confident labels go to the other view's training set.  Each view is calibrated
 on held-out labelled documents, and the calibrated log odds are added, less those of the prior counted twice.
+A third view, of toxicity, is learned from labels of its own and takes no part in ``keep``.
 
 The fit uses at most ``TRAIN_DOCS`` labelled documents and a pool of at most ``POOL_DOCS`` others, chosen by hash.
 All documents are scored, whole.
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import kernels as K
+from gneiss.llm import toxicity
 from gneiss.llm.shared import documents
 
 TRAIN_DOCS, POOL_DOCS = 2000, 2000
@@ -195,11 +197,21 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, pool_d
     return co_train(wide, meta_matrix(source, lang, n_chars, names), label, held, names, rounds)
 
 
-_ARROW = pa.schema([("doc_id", pa.int64()), ("text_score", pa.float64()), ("meta_score", pa.float64()), ("score", pa.float64()), ("keep", pa.bool_())])
+_ARROW = pa.schema([("doc_id", pa.int64()), ("text_score", pa.float64()), ("meta_score", pa.float64()), ("score", pa.float64()), ("keep", pa.bool_()), ("toxic_score", pa.float64()), ("toxic", pa.bool_())])
+
+
+def _toxic(model: toxicity.Toxicity | None, table: np.ndarray | None, raw: np.ndarray, x: K.Words) -> tuple[pa.Array, pa.Array]:
+    """(probability, whether it is high) by row; nulls where none could be learned, 0 for a text without words."""
+    rows = len(x.counts)
+    if model is None:
+        return pa.nulls(rows, pa.float64()), pa.nulls(rows, pa.bool_())
+    p = np.where(x.counts > 0, 1 / (1 + np.exp(-np.clip(model.scores(raw, x, table), -35, 35))), 0.0)
+    return pa.array(np.round(p, 6)), pa.array(p >= toxicity.TOXIC)
 
 
 def _apply(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    model: Model = shared.value
+    model, toxic = shared.value
+    table = toxic.table() if toxic is not None else None
     bag, dense_w = model.text[: 1 << BITS] * 10, model.text[1 << BITS : -1] * 4
     for b in batches:
         ids, source, lang = b.column("doc_id"), b.column("source").to_pylist(), b.column("lang").to_pylist()
@@ -213,20 +225,23 @@ def _apply(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.
             meta = np.array([sum(model.meta[j] for key in (f"s {source[i]}", f"l {lang[i]}", f"p {source[i]} {lang[i]}", f"n {scale[i]}") if (j := model.names.get(key)) is not None) for i in range(row, end)]) + model.meta[-1]
             a, m, both = model.scores(text, meta)
             both = np.where(present[row:end] & (x.counts > 0), both, 0.0)
-            yield K.batch(_ARROW, ids.slice(row, end - row), np.round(a, 6), np.round(m, 6), np.round(both, 6), both >= KEEP)
+            yield K.batch(_ARROW, ids.slice(row, end - row), np.round(a, 6), np.round(m, 6), np.round(both, 6), both >= KEEP, *_toxic(toxic, table, raw, x))
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, pool_docs: int = POOL_DOCS, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, text_score, meta_score, score, keep) of every document; scores are probabilities of good quality.
+    """(doc_id, text_score, meta_score, score, keep, toxic_score, toxic) of every document.
+
+    The first three scores are probabilities of good quality, which alone decides ``keep``; ``toxic_score`` is one of
+    toxicity.  It and ``toxic`` are null where the labels don't have documents of both kinds.
 
     A null, empty or wordless text has score 0 and isn't kept.  A null doc_id, source, lang or n_chars is allowed;
     the latter three are values of their own.  Repeated rows give a row each.  Very long texts are scored whole.
     Without labels all scores come from the prior of one half.  An empty table gives no rows.  Other columns are
     ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, train_docs, pool_docs, rounds))
+    model = docs.sparkSession.sparkContext.broadcast((fit(docs, labels, train_docs, pool_docs, rounds), toxicity.fit(docs, labels)))
     rows = docs.select(F.col("doc_id").cast("long"), "text", "source", "lang", "n_chars")
-    return rows.mapInArrow(partial(_apply, shared=model), "doc_id long, text_score double, meta_score double, score double, keep boolean")
+    return rows.mapInArrow(partial(_apply, shared=model), "doc_id long, text_score double, meta_score double, score double, keep boolean, toxic_score double, toxic boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

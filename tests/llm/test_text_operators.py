@@ -154,6 +154,24 @@ def test_classifier_of_odd_tables(spark):
     assert quality_classifier.classify(empty(spark), marks).count() == 0
 
 
+def test_toxic_documents_of_every_language_are_found(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    out = quality_classifier.classify(docs, labels.where("doc_id % 4 <> 0"), rounds=0)
+    held = out.select("doc_id", F.col("toxic").alias("found")).join(labels.where("doc_id % 4 = 0"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert {r.lang for r in held} == {"de", "en", "es", "fr"}
+    for lang in ("de", "en", "es", "fr"):
+        bad, rest = ([r.found for r in held if r.lang == lang and bool(r.toxic) == kind] for kind in (True, False))
+        assert len(bad) >= 5 and np.mean(bad) >= 0.7 and np.mean(rest) <= 0.05, (lang, len(bad), np.mean(bad), np.mean(rest))
+
+
+def test_toxicity_without_labels_of_both_kinds_is_unknown(spark):
+    docs, labels = labelled(spark, 40)
+    out = quality_classifier.classify(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rounds=0).collect()
+    assert {(r.toxic_score, r.toxic) for r in out} == {(None, None)}
+
+
 # --- language identification
 
 
