@@ -8,7 +8,7 @@ from gneiss.llm import decontamination, language_id, near_dedup, packing, shared
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that have no words, or of whose words no language has a third."""
+    """Documents go that have no words, of whose words no language has a third, or that are in no learned language."""
     return language_id.in_known_language(docs)
 
 

@@ -223,6 +223,21 @@ def test_held_out_accuracy(spark, sf_dir):
     assert np.mean([r.lang == r.truth for r in out]) >= 0.9
 
 
+def test_gibberish_and_unlearned_languages_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(1)
+    noise = [(10**6 + i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(60)), None, "s", 1) for i in range(40)]
+    table = docs.withColumn("lang", F.when(F.col("lang") != "de", F.col("lang"))).select("doc_id", "text", "lang", "source", "n_chars")
+    table = table.unionByName(spark.createDataFrame(noise, DOCS))
+    kept = {r.doc_id: r.keep for r in language_id.identify(table).collect()}
+    truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    assert not any(kept[r[0]] for r in noise)
+    for lang in ("de", "en", "es", "fr"):
+        share = np.mean([kept[i] for i, name in truth.items() if name == lang])
+        assert share <= 0.05 if lang == "de" else share >= 0.95, (lang, share)
+    assert {r.doc_id for r in language_id.in_known_language(table).select("doc_id").collect()} == {i for i, keep in kept.items() if keep}
+
+
 def test_language_of_odd_tables(spark):
     rng = random.Random(2)
     docs = messy(spark, [spoken(rng, "en", 30) for _ in range(30)])
