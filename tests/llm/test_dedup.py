@@ -138,6 +138,22 @@ def test_near_groups_against_exact_jaccard(spark):
     assert not any(1000 <= i < 1100 for i in groups)
 
 
+def test_lone_pairs_at_the_threshold_are_found(spark):
+    rng = random.Random(17)
+    rows, pairs = [], 0
+    for i in range(3000):
+        w = prose(rng, rng.randrange(100, 200), 10**6).split()
+        v = list(w)
+        for at in rng.sample(range(len(v)), round(len(v) * rng.uniform(0.105, 0.125))):
+            v[at] = f"x{rng.randrange(10**6)}"
+        a, b = shingle_set(" ".join(w)), shingle_set(" ".join(v))
+        if 0.5 <= len(a & b) / len(a | b) < 0.54:
+            pairs += 1
+            rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    found = near_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).where("not keep").count()
+    assert pairs > 300 and found >= 0.9 * pairs, (pairs, found)
+
+
 def test_a_large_group_of_copies(spark):
     rng = random.Random(1)
     text = prose(rng, 50)
