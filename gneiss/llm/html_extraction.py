@@ -29,7 +29,9 @@ STOPWORDS = {
 _STOP = {k: frozenset(v.split()) for k, v in STOPWORDS.items()}
 _ALL = frozenset().union(*_STOP.values())
 
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<!doctype[^>]*>|<(script|style|noscript|template|svg|textarea|select|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<!doctype[^>]*>|<(script|style|noscript|template|svg|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+#: A head goes on as far as there is what can stand in one; its end tag may be missing.
+_HEAD = re.compile(r"<head(?=[\s/>])[^>]*>(?:\s|<title\b[^>]*>(?:(?:(?!</title|</head|<body).)*</title\s*>|[^<]*)|</?(?:base|basefont|bgsound|link|meta)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</(?:script|style|noscript|template|title)\s*>)*+(?:</head\s*>)?", re.I | re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?][^>]*>")
 _LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([a-zA-Z]+)", re.I)
 _SPACE = re.compile(r"\s+")
@@ -40,7 +42,7 @@ _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 def blocks(page: str) -> list[tuple[str, int, bool]]:
     """(text, linked characters, is a heading) of each block with text, in order; broken markup is taken as it stands."""
-    page = _DROPPED.sub(" ", page)
+    page = _HEAD.sub(" ", _DROPPED.sub(" ", page))
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked, in_link, heading, at = 0, 0, False, 0

@@ -93,6 +93,13 @@ def test_pages(spark):
     assert html_extraction.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("head", ["<head><meta charset=utf-8><title>no</title><body>", "<head><title>no</title><link rel=x href='a>b'><script>var a</script>", "<HEAD ><style>p {}</style><title>no\n</title>\n<body class=a>", "<head><!-- x --><title>no</title></head><body>"])
+def test_a_head_without_its_end_tag_leaves_the_body(head):
+    body = "The cat and the dog were in the house when it was time to go and they had been there for all of the day. " * 2
+    assert html_extraction.extract(f"<!doctype html><html lang=en>{head}<p>{body}<p>{body}") == (f"{body.strip()}\n{body.strip()}", 2, 2)
+    assert html_extraction.extract(f"<html lang=en>{head}<header>{body}</header>")[1:] == (1, 1)
+
+
 # --- quality rules
 
 
