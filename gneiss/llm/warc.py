@@ -1,7 +1,7 @@
 """WARC data source and sink, both in Python.
 
-Reading plans one partition a file, and several byte ranges of a large uncompressed file; a range begins at the first
-record that starts in it.  Predicates on ``warc_type`` and on header columns are pushed down: a record's headers are
+Reading plans one partition a file, and several byte ranges of a large uncompressed file.  Ranges are cut at records,
+which are found by their lengths from the file's beginning on, as text in a payload can look like a record.  Predicates on ``warc_type`` and on header columns are pushed down: a record's headers are
 parsed first, and the payload of a record that they turn away is skipped, in an uncompressed file by seeking past it.
 With the option ``payload`` false no payload is decoded at all.
 
@@ -148,7 +148,9 @@ class WarcReader(DataSourceReader):
             if path.endswith(".gz") or size <= self.range_bytes:
                 out.append(WarcPartition(path, 0, size))
             else:
-                out += [WarcPartition(path, at, min(at + self.range_bytes, size)) for at in range(0, size, self.range_bytes)]
+                with _filesystem(self.path)[0].open_input_file(path) as raw:
+                    cuts = [*_cuts(raw, size, self.range_bytes), size]
+                out += [WarcPartition(path, a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out or [WarcPartition("", 0, 0)]
 
     def read(self, partition: WarcPartition) -> Iterator[pa.RecordBatch]:
@@ -162,7 +164,6 @@ class WarcReader(DataSourceReader):
             if partition.path.endswith(".gz"):
                 records = _records(io.BufferedReader(_Inflated(raw), 1 << 18), None, tests, self.payload)
             else:
-                raw.seek(partition.start)
                 records = _records(raw, partition, tests, self.payload)
             for row in records:
                 for c, v in zip(columns, row, strict=True):
@@ -180,8 +181,6 @@ def _records(stream: object, part: WarcPartition | None, tests: list, payload: b
     if part is not None:
         stream = io.BufferedReader(_Seekable(stream), 1 << 18)
         stream.seek(part.start)
-        if part.start and not _resync(stream, part.end):
-            return
     while part is None or stream.tell() < part.end:
         line = stream.readline()
         if not line:
@@ -237,26 +236,18 @@ def _skip(stream: io.BufferedIOBase, size: int, seek: bool) -> None:
         size -= got
 
 
-def _resync(stream: io.BufferedReader, end: int) -> bool:
-    """Move to the first record that begins at or after the place; a record follows two line ends and names its type next."""
-    at = max(stream.tell() - 4, 0)
-    stream.seek(at)
-    window = b""
-    while at < end:
-        data = stream.read(1 << 20)
-        window += data
-        i = window.find(b"\r\n\r\nWARC/1.")
-        while i >= 0:
-            after = window[i + 4 : i + 4 + 2048]
-            if b"\r\n" in after and b":" in after.split(b"\r\n", 2)[1] and after.split(b"\r\n", 2)[1].lower().startswith(b"warc-"):
-                stream.seek(at + i + 4)
-                return at + i + 4 < end
-            i = window.find(b"\r\n\r\nWARC/1.", i + 1)
-        if not data:
-            return False
-        at += max(len(window) - 4096, 0)
-        window = window[-4096:]
-    return False
+def _cuts(file: pa.NativeFile, size: int, step: int) -> list[int]:
+    """0 and the first record at least ``step`` after each cut; only headers are read, and payloads sought past."""
+    stream = io.BufferedReader(_Seekable(file), 1 << 13)
+    out, at = [0], 0
+    while at < size and (line := stream.readline()):
+        if line.startswith(b"WARC/"):
+            if at - out[-1] >= step:
+                out.append(at)
+            length = int(_parse(_header_block(stream)).get("content-length", "0") or 0)
+            stream.seek(min(stream.tell() + length, size))
+        at = stream.tell()
+    return out
 
 
 def _http(data: bytes) -> tuple[int | None, str | None, str]:

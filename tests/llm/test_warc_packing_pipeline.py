@@ -37,6 +37,25 @@ def test_ranges_of_a_file_give_each_record_once(spark, tmp_path):
         assert sorted(r.record_id for r in found) == sorted(r[0] for r in rows)
 
 
+@pytest.mark.parametrize("end", ["\r\n", "\n"])
+def test_ranges_of_a_foreign_file(tmp_path, end):
+    rng = random.Random(4)
+
+    def record(ident, body, version):
+        lines = ["WARC-Type: resource", f"WARC-Record-ID: {ident}", "Content-Type: text/plain", f"Content-Length: {len(body.encode())}", "WARC-Date: 2024-01-01T00:00:00Z"]
+        rng.shuffle(lines)
+        return end.join([f"WARC/{version}", *lines, "", body, "", ""])
+
+    inner = "".join(record(f"<urn:false:{i}>", "é" * 30, "1.0") for i in range(6))
+    bodies = {f"<urn:{i}>": inner if i % 5 == 0 else f"text {i} " * rng.randrange(60) for i in range(120)}
+    (tmp_path / "x.warc").write_bytes("".join(record(k, v, rng.choice(["0.18", "1.0", "1.1"])) for k, v in bodies.items()).encode())
+    for size in (100, 700, 5000, 1 << 20):
+        reader = warc.WarcReader({"path": str(tmp_path), "rangebytes": str(size)})
+        ranges = reader.partitions()
+        found = [(r["record_id"], r["payload"]) for part in ranges for b in reader.read(part) for r in b.to_pylist()]
+        assert sorted(found) == sorted(bodies.items()) and (len(ranges) > 1) == (size < 1 << 20)
+
+
 def test_pushed_filters_skip_payloads(spark, tmp_path):
     reader = warc.WarcReader({"path": str(tmp_path)})
     from pyspark.sql.datasource import EqualTo, GreaterThan, StringStartsWith
