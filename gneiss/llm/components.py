@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gneiss.llm.shared import shared_folder
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
+    # aggregated before it is joined, as a node can have a third of all edges; a skewed join is split, a window isn't
+    least = pairs.groupBy("u").agg(F.min("v").alias("least"))
+    return pairs.join(least, "u").select("u", "v", F.least("u", "least").alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,14 +29,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges (u, v); the component is its least node.
 
-    The rounds grow with the logarithm of the nodes; each is checkpointed.  Loops and repeated edges do no harm.
+    The rounds grow with the logarithm of the nodes; each is checkpointed.  Loops and repeated edges do no harm, and
+    nodes may be any 64-bit numbers.
     """
     shared_folder(edges.sparkSession)
     edges = edges.where("u <> v").distinct().checkpoint()
     seen = None
     while True:
         edges = _small_star(_large_star(edges)).checkpoint()
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum("v")).first()
+        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == seen:
             break
         seen = state

@@ -7,7 +7,9 @@
    Jaccard similarity: of n bits, z differ, J = 1 + n / (4 samples) ln(1 - 2 z / n).  Within a band a breadth-first
    search compares each document with those not reached yet, which gives the components of the verified graph
    without all pairs of a large group; nothing is capped.
-4. Components over all bands are the groups.
+4. A band of more than ``BAND_ROWS`` documents is split into blocks.  All are compared with one of them, and those that
+   it doesn't verify are searched within their block and compared with every block.
+5. Components over all bands, and the copies of their members, are the groups.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ BANDS, ROWS = 56, 4
 SAMPLES = BANDS * ROWS
 BITS = 2048
 THRESHOLD = 0.5
+#: Documents of a band that one task compares.
+BAND_ROWS = 20_000
 #: Pairs above ``THRESHOLD - MARGIN`` are accepted: nearly two standard errors of the estimate at the threshold, so that
 #: bands and verification together find 0.92 of the pairs there.
 MARGIN = 0.06
@@ -112,34 +116,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield K.batch(_ARROW, ids[row:end][some].astype(np.int64), K.signed(content), bands, sketch)
 
 
-_MEMBERS = pa.schema([("band", pa.int64()), ("doc_id", pa.int64())])
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by band, those whose band has more than one."""
-    last: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    held = False  # whether the row carried over is known to be repeated
-    for b in batches:
-        band, doc = (np.concatenate((c, b.column(n).to_numpy())) for c, n in zip(last, ("band", "doc_id"), strict=True))
-        same = band[1:] == band[:-1]
-        keep = np.zeros(len(band), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        keep[0] |= held
-        held = bool(keep[-1])
-        last = (band[-1:], doc[-1:])
-        keep[-1] = False
-        yield K.batch(_MEMBERS, band[keep], doc[keep])
-    if held:
-        yield K.batch(_MEMBERS, *last)
+def _sketches(column: pa.Array) -> np.ndarray:
+    raw, bounds, _ = K.strings(column)
+    return np.frombuffer(raw[bounds[0] : bounds[-1]].tobytes(), U64).reshape(-1, BITS // 64)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(band, doc_id, sketch) of whole bands, out of rows sorted by band."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for b in batches:
-        raw, bounds, _ = K.strings(b.column("sketch"))
-        sketch = np.frombuffer(raw[bounds[0] : bounds[-1]].tobytes(), U64).reshape(-1, BITS // 64)
+        sketch = _sketches(b.column("sketch"))
         band, doc = b.column("band").to_numpy(), b.column("doc_id").to_numpy()
         cut = int(np.searchsorted(band, band[-1], "left"))
         if cut == 0 and held and held[-1][0][-1] != band[0]:
@@ -199,30 +185,93 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD - MARGIN) -> DataFrame:
+_NEAR = "band long, block int, doc_id long, sketch binary, pivot_doc long, near boolean"
+
+
+def _to_pivot(threshold: float):
+    """Rows of two sketches with whether they are near."""
+    most = differing_bits(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = _apart(_sketches(b.column("sketch")), _sketches(b.column("pivot_sketch"))) <= most
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("band", "block", "doc_id", "sketch", "pivot_doc")), pa.array(near)], names=["band", "block", "doc_id", "sketch", "pivot_doc", "near"])
+
+    return run
+
+
+def _across(threshold: float):
+    """Edges that span the verified graph of a cell: documents left of one block and all of another."""
+    most = differing_bits(threshold)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        t = pa.concat_tables([left.select(["doc_id", "sketch"]), right.select(["doc_id", "sketch"])]).combine_chunks()
+        if not left.num_rows or not right.num_rows:
+            t = t.slice(0, 0)
+        found = spanning(t.column("doc_id").to_numpy(), _sketches(t.column("sketch").combine_chunks()), most) if t.num_rows else []
+        u, v = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return pa.table({"u": u[u != v], "v": v[u != v]}, schema=_EDGES)
+
+    return run
+
+
+def _hot_edges(member: DataFrame, threshold: float, band_rows: int) -> DataFrame:
+    """Edges that span the verified graph of each band of too many documents for one task.
+
+    Two documents that both are near the band's pivot are linked by it; any other pair has a document that isn't, so
+    only those meet the other blocks.
+    """
+    split = member.withColumn("block", F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / band_rows)).cast("int"))
+    pivot = member.where("rid = pivot").select("band", F.col("doc_id").alias("pivot_doc"), F.col("sketch").alias("pivot_sketch"))
+    known = split.join(pivot, "band").select("band", "block", "doc_id", "sketch", "pivot_doc", "pivot_sketch")
+    known = written(known.mapInArrow(_to_pivot(threshold), _NEAR), "hot-bands")
+    star = known.where("near and doc_id <> pivot_doc").select(F.col("doc_id").alias("u"), F.col("pivot_doc").alias("v"))
+    left = known.where("not near").select("band", F.col("block").alias("part"), "doc_id", "sketch")
+    cells = left.select("band", "part").distinct().join(known.select("band", "block").distinct(), "band")
+    here = left.join(cells, ["band", "part"]).select("band", "part", "block", "doc_id", "sketch")
+    keys = ("band", "part", "block")
+    # named anew, as both sides come from one table
+    there = known.join(cells, ["band", "block"]).select(*(F.col(c).alias(c) for c in (*keys, "doc_id", "sketch")))
+    return star.unionByName(here.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(_across(threshold), "u long, v long"))
+
+
+def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD - MARGIN, band_rows: int = BAND_ROWS) -> DataFrame:
     """(doc_id, group_id, keep) of every document that has a near copy; group_id is the group's least doc_id, which stays.
 
     Rows with a null doc_id or text, and texts without a word, are in no group.  Texts of fewer than three words
     match only if equal.  Rows that repeat a doc_id count as one document.  Very long texts are sketched whole.  An
-    empty table gives no rows.  Other columns are ignored.
+    empty table gives no rows.  A doc_id may be any 64-bit number.  Other columns are ignored.
     """
     sig = docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(_sketch, _SCHEMA)
-    sig = written(sig, "sketches")
-    least = sig.groupBy("content").agg(F.min("doc_id").alias("least"))
-    same = sig.select("doc_id", "content").join(least, "content").where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
-    only = sig.join(least.select("content", F.col("least").alias("doc_id")), ["content", "doc_id"], "left_semi")
-    bands = only.select(F.explode("bands").alias("band"), "doc_id")
-    member = bands.repartition("band").sortWithinPartitions("band", "doc_id").mapInArrow(_repeated, "band long, doc_id long")
-    member = member.join(only.select("doc_id", "sketch"), "doc_id")
-    edges = member.repartition("band").sortWithinPartitions("band", "doc_id").select("band", "doc_id", "sketch").mapInArrow(_verify(threshold), "u long, v long")
-    found = components(same.unionByName(edges))
-    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"), (F.col("node") == F.col("component")).alias("keep"))
+    sig = written(sig.withColumn("rid", F.monotonically_increasing_id()), "sketches")
+    least = sig.groupBy("content").agg(F.min(F.struct("doc_id", "rid")).alias("one")).select("content", F.col("one.doc_id").alias("least"), "one.rid")
+    same = sig.select("doc_id", "content").join(least, "content").where("doc_id <> least").select("doc_id", "least")
+    only = sig.join(least.select("rid"), "rid", "left_semi")
+    bands = only.select(F.explode("bands").alias("band"), "rid")
+    # counted before they are joined, as a band can have a third of all rows
+    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("pivot")).where("n > 1")
+    found = written(bands.join(sizes, "band"), "bands")
+    sketches = only.select("rid", "doc_id", "sketch")
+    cool = found.where(F.col("n") <= band_rows).select("band", "rid").join(sketches, "rid")
+    edges = cool.repartition("band").sortWithinPartitions("band", "doc_id").select("band", "doc_id", "sketch").mapInArrow(_verify(threshold), "u long, v long")
+    hot = found.where(F.col("n") > band_rows)
+    if hot.limit(1).count():
+        edges = edges.unionByName(_hot_edges(hot.join(sketches, "rid"), threshold, band_rows))
+    # copies take the group of their representative and stay out of the rounds, unless other rows have their doc_id too
+    twice = sig.groupBy("doc_id").agg((F.min("content") != F.max("content")).alias("twice")).where("twice").select("doc_id")
+    joined = components(edges.unionByName(same.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))))
+    groups = joined.select(F.col("node").alias("least"), "component")
+    copies = same.join(groups, "least", "left").select("doc_id", F.coalesce("component", "least").alias("group_id"))
+    alone = same.select("least").distinct().join(groups, "least", "left_anti").select(F.col("least").alias("doc_id"), F.col("least").alias("group_id"))
+    out = joined.select(F.col("node").alias("doc_id"), F.col("component").alias("group_id")).unionByName(copies).unionByName(alone)
+    return out.distinct().select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("keep"))
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD - MARGIN) -> DataFrame:
     """The documents less all but one of each group; columns stay.
 
-    Rows with a null doc_id or text stay, as do texts without a word.  Of rows that repeat both doc_id and text one stays.
+    Rows with a null doc_id or text stay, as do empty texts and those without a word.  Of rows that repeat both doc_id
+    and text one stays.  Very long texts are compared whole.  An empty table stays empty.  Columns may have any names.
     """
     groups = near_duplicate_groups(docs, threshold)
     flag = fresh(docs, "often")
