@@ -148,22 +148,29 @@ def range_hash(value: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64))
 
 
-_PLACE = U64((1 << 26) - 1)
+PLACE_BITS = 26
 
 
-def window_minima(value: np.ndarray, w: int) -> np.ndarray:
-    """For each window of w values, the index of its least; of equal ones the leftmost."""
-    n = len(value) - w + 1
+def window_minima(value: np.ndarray, w: int, bits: int = PLACE_BITS) -> np.ndarray:
+    """For each window of w values, the index of its least in all but ``bits`` low bits; of equal ones the leftmost.
+
+    More than 2^bits values are taken in pieces.
+    """
+    n, most = len(value) - w + 1, 1 << bits
     if n <= 0:
         return np.zeros(0, np.int64)
-    key = (value & ~_PLACE) | np.arange(len(value), dtype=U64)
+    if len(value) > most:
+        step = most - w + 1
+        return np.concatenate([i + window_minima(value[i : i + most], w, bits) for i in range(0, n, step)])
+    place = U64(most - 1)
+    key = (value & ~place) | np.arange(len(value), dtype=U64)
     s = 1
     while 2 * s <= w:
         key = np.minimum(key[:-s], key[s:])
         s *= 2
     if s < w:
         key = np.minimum(key[:n], key[w - s : w - s + n])
-    return (key[:n] & _PLACE).astype(np.int64)
+    return (key[:n] & place).astype(np.int64)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -6,10 +6,12 @@
    representative of each different one gets its words back from the documents.
 3. The representatives are split by k-gram into shards.  A shard is indexed as an FM-index (`fm_index`), through
    which the segments are streamed; their matching statistics give the runs that another document holds.
-4. Runs go back to all occurrences of their segment and join up to intervals.
+4. A k-gram of more than ``GRAM_SEGMENTS`` different segments is too large for a shard.  The runs of its segments are
+   hashed and aggregated instead, which finds the same.
+5. Runs go back to all occurrences of their segment and join up to intervals.
 
-Whatever is shuffled is in proportion to the text, and no step needs all occurrences of a k-gram in one place
-but for its different segments; a shard's memory is bounded by ``shard_words`` and by its largest k-gram.
+Whatever is shuffled is in proportion to the text, and no step needs all occurrences of a k-gram in one place; a
+shard's memory is bounded by ``shard_words`` and ``GRAM_SEGMENTS``.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from gneiss.llm.shared import documents, fresh, written
 LENGTH = 50
 GRAM = 8
 SHARD_WORDS = 300_000
+GRAM_SEGMENTS = 10_000
 
 _SEGMENTS = T.StructType([T.StructField("gram", T.LongType()), T.StructField("segment", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType())])
 _ARROW_SEGMENTS = pa.schema([("gram", pa.int64()), ("segment", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
@@ -145,7 +148,36 @@ def _search(length: int, shard_words: int):
     return run
 
 
-def shared_runs(docs: DataFrame, length: int = LENGTH, k: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
+_HASHED = "run long, gram long, segment long, a int, low long, many boolean"
+_ARROW_HASHED = pa.schema([("run", pa.int64()), ("gram", pa.int64()), ("segment", pa.int64()), ("a", pa.int32()), ("low", pa.int64()), ("many", pa.bool_())])
+
+
+def _hash_runs(length: int):
+    """Each run of ``length`` words of the segments by its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, end, raw, bounds in K.chunks(b.column("words"), 1 << 18):
+                tokens, first = np.frombuffer(raw.tobytes(), np.uint64), bounds // 8
+                n = np.maximum(np.diff(first) - length + 1, 0)
+                which = np.repeat(np.arange(end - row), n)
+                a = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                start = first[which] + a
+                own = (b.column(c).slice(row, end - row).take(pa.array(which)) for c in ("gram", "segment", "low", "many"))
+                gram, segment, low, many = own
+                yield K.batch(_ARROW_HASHED, K.signed(K.range_hash(tokens, start, start + length)), gram, segment, a.astype(np.int32), low, many)
+
+    return run
+
+
+def _by_hash(texts: DataFrame, length: int) -> DataFrame:
+    """What `_search` gives, by aggregates over the runs' hashes: no group is gathered."""
+    runs = written(texts.mapInArrow(_hash_runs(length), _HASHED), "hashed-runs")
+    owners = runs.groupBy("run").agg(F.min("low").alias("first_doc"), F.max("low").alias("high"), F.bool_or("many").alias("shared")).where("shared or first_doc <> high")
+    return runs.join(owners.select("run", "first_doc"), "run").select("gram", "segment", "a", (F.col("a") + length).alias("b"), "first_doc").distinct()
+
+
+def shared_runs(docs: DataFrame, length: int = LENGTH, k: int = GRAM, shard_words: int = SHARD_WORDS, gram_segments: int = GRAM_SEGMENTS) -> DataFrame:
     """Every occurrence (doc_id, start, end, first_doc), in words, of a run of words that two documents share.
 
     ``first_doc`` is the least doc_id that holds each ``length`` words of it.
@@ -153,14 +185,23 @@ def shared_runs(docs: DataFrame, length: int = LENGTH, k: int = GRAM, shard_word
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     found = docs.mapInArrow(_segments(length, k), _SEGMENTS)
     by_segment = found.groupBy("gram", "segment").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "at", "n")).alias("one"))
-    w = Window.partitionBy("gram")
-    wanted = by_segment.withColumn("kinds", F.count(F.lit(1)).over(w)).withColumn("spread", F.max("high").over(w) != F.min("low").over(w)).where("spread")
-    wanted = written(wanted.select("gram", "segment", "low", (F.col("low") != F.col("high")).alias("many"), "kinds", "one.doc_id", "one.at", "one.n"), "segments")
+    by_segment = written(by_segment.select("gram", "segment", "low", "high", "one.doc_id", "one.at", "one.n"), "segments")
+    # aggregated before it is joined: a k-gram can have a third of all segments, and a skewed join is split
+    grams = by_segment.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most")
+    wanted = by_segment.join(grams.select("gram", "kinds"), "gram").withColumn("many", F.col("low") != F.col("high"))
+    wanted = written(wanted.select("gram", "segment", "low", "many", "kinds", "doc_id", "at", "n"), "wanted")
     whole = wanted.where("kinds = 1").select("gram", "segment", F.lit(0).alias("a"), F.col("n").alias("b"), F.col("low").alias("first_doc"))
-    asked = wanted.where("kinds > 1").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "segment", "at", "n", "low", "many")).alias("wanted"))
-    texts = docs.join(asked, "doc_id").select("text", "wanted").mapInArrow(_cut, _TEXTS)
-    runs = texts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_search(length, shard_words), _RUNS)
-    return found.join(whole.unionByName(runs), ["gram", "segment"]).select("doc_id", (F.col("at") + F.col("a")).alias("start"), (F.col("at") + F.col("b")).alias("end"), "first_doc")
+
+    def words_of(some: DataFrame) -> DataFrame:
+        asked = some.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "segment", "at", "n", "low", "many")).alias("wanted"))
+        return docs.join(asked, "doc_id").select("text", "wanted").mapInArrow(_cut, _TEXTS)
+
+    texts = words_of(wanted.where((F.col("kinds") > 1) & (F.col("kinds") <= gram_segments)))
+    runs = whole.unionByName(texts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_search(length, shard_words), _RUNS))
+    hot = wanted.where(F.col("kinds") > gram_segments)
+    if hot.limit(1).count():
+        runs = runs.unionByName(_by_hash(words_of(hot), length))
+    return found.join(runs, ["gram", "segment"]).select("doc_id", (F.col("at") + F.col("a")).alias("start"), (F.col("at") + F.col("b")).alias("end"), "first_doc")
 
 
 def _joined_up(runs: DataFrame, *keys: str) -> DataFrame:
@@ -172,7 +213,7 @@ def _joined_up(runs: DataFrame, *keys: str) -> DataFrame:
     return runs.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def substring_duplicates(docs: DataFrame, length: int = LENGTH, k: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
+def substring_duplicates(docs: DataFrame, length: int = LENGTH, k: int = GRAM, shard_words: int = SHARD_WORDS, gram_segments: int = GRAM_SEGMENTS) -> DataFrame:
     """Maximal intervals (doc_id, first, start_word, end_word, n_words) covered by runs of ``length`` words that another document has.
 
     ``first`` tells the intervals of the document with the least doc_id, which would stay, from the later copies.
@@ -181,7 +222,7 @@ def substring_duplicates(docs: DataFrame, length: int = LENGTH, k: int = GRAM, s
     doc_id count as one document: its own repeats are no match.  Very long texts are handled whole.  An empty table
     gives no rows.  Other columns are ignored.
     """
-    runs = shared_runs(docs, length, k, shard_words).withColumn("first", F.col("first_doc") >= F.col("doc_id"))
+    runs = shared_runs(docs, length, k, shard_words, gram_segments).withColumn("first", F.col("first_doc") >= F.col("doc_id"))
     out = _joined_up(runs.select("doc_id", "first", "start", "end"), "doc_id", "first")
     return out.select("doc_id", "first", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"))
 
@@ -217,7 +258,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, shard_
     """The documents without the passages that a document of lesser doc_id has; n_chars, where there is one, is counted anew.
 
     A document of which no word is left goes.  Rows with a null doc_id or text stay as they are, and so does a text
-    that had no word before.  Columns and their order stay.
+    that had no word before, an empty one too.  Rows that repeat a doc_id count as one document, and each stays, cut
+    where its own words are the passage's.  Very long texts are cut whole.  An empty table stays empty.  Columns, which
+    may have any names, and their order stay.
     """
     name = fresh(docs, "spans")
     runs = shared_runs(docs, length, k, shard_words).where("first_doc < doc_id").select("doc_id", "start", "end")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from gneiss.llm import fm_index, near_dedup, substring_dedup
+from gneiss.llm import fm_index, kernels, near_dedup, substring_dedup
 from gneiss.llm.components import components
 from tests.llm.helpers import DOCS, EXTRA, empty, messy, prose, words
 
@@ -194,3 +194,54 @@ def test_components_against_union_find(spark):
             parent[max(a, b)] = min(a, b)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: root(x) for x in parent}
+
+
+def test_ids_near_both_ends_of_a_long(spark):
+    rng = random.Random(2)
+    ends = [2**63 - 1 - i for i in range(4)] + [-(2**63) + i for i in range(4)]
+    text, other = prose(rng, 100), prose(rng, 100)
+    near = text.rsplit(" ", 2)[0]
+    rows = [(i, t) for i, t in zip(ends, [text, near, text, other] * 2, strict=True)]
+    groups = {r.doc_id: r.group_id for r in near_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: min(j for j, u in rows if (u == other) == (t == other)) for i, t in rows}
+    assert groups == want
+
+
+@pytest.mark.parametrize("band_rows", [1, 7, 40])
+def test_large_bands_give_the_same_groups(spark, band_rows):
+    rng = random.Random(8)
+    rows = []
+    for base in range(4):
+        w = prose(rng, 60).split()
+        for c in range(40):
+            v = list(w)
+            for _ in range(rng.randrange(1, 16)):
+                v[rng.randrange(len(v))] = f"x{rng.randrange(10**6)}"
+            rows.append((base * 100 + c, " ".join(v)))
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+    want = sorted(map(tuple, near_dedup.near_duplicate_groups(docs).collect()))
+    assert len(want) > 80 and sorted(map(tuple, near_dedup.near_duplicate_groups(docs, band_rows=band_rows).collect())) == want
+
+
+def test_a_doc_id_with_two_texts_links_their_groups(spark):
+    rng = random.Random(8)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(3, a), (5, a), (5, b), (9, b), (11, b)]
+    got = {r.doc_id: r.group_id for r in near_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3: 3, 5: 3, 9: 3, 11: 3}
+
+
+@pytest.mark.parametrize("gram_segments", [0, 3])
+def test_large_grams_give_the_same_intervals(spark, gram_segments):
+    rows = overlapping_texts(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.substring_duplicates(df, length=10, k=4, gram_segments=gram_segments).collect()
+    assert {(r.doc_id, r.first, r.start_word, r.end_word) for r in found} == brute_intervals(rows, 10)
+
+
+def test_window_minima_beyond_the_places_of_a_piece():
+    rng = np.random.default_rng(3)
+    value = rng.integers(0, 1 << 63, 1000).astype(np.uint64) << np.uint64(1)
+    got = kernels.window_minima(value, 7, bits=5)
+    rough = value >> np.uint64(5)
+    assert got.tolist() == [i + int(rough[i : i + 7].argmin()) for i in range(994)]
