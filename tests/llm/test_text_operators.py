@@ -1,10 +1,14 @@
 import itertools
 import random
+import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gneiss.llm import kernels as K
 from gneiss.llm import decontamination, html_extraction, language_id, quality_classifier, quality_rules, quote_linking
 from tests.llm.helpers import DOCS, EXTRA, empty, messy, prose, words
 
@@ -100,6 +104,95 @@ def test_a_head_without_its_end_tag_leaves_the_body(head):
     assert html_extraction.extract(f"<html lang=en>{head}<header>{body}</header>")[1:] == (1, 1)
 
 
+@pytest.mark.parametrize("start", ["<a ", '<a ="', '<a="<a"=', "<!--", "<!doctype ", "<svg ", "<svg>", "<title>", "<html ", "<", "</", "<select><option>", "<a href='", "&#9", "<noscript><p>", "<head>"])
+def test_broken_markup_takes_linear_time(start):
+    def seconds(n):
+        page, began = start * (n // len(start)) + "<p>end", time.perf_counter()
+        html_extraction.extract(page)
+        return time.perf_counter() - began
+
+    # eight times the page; quadratic time would be 64 times as long
+    assert seconds(1 << 20) < 30 * max(seconds(1 << 17), 0.02)
+    assert html_extraction.extract("&#" + "9" * 10_000 + ";")[1] == 1
+
+
+def test_elements_that_are_never_closed_keep_what_follows():
+    body = "The cat and the dog were in the house when it was time to go and they had been there for all of the day. " * 2
+    for tag in ("<noscript>", "<template>", "<svg>", "<select>", "<a href='x", '<img alt="', "<title>no"):
+        assert body.strip() in html_extraction.extract(f"<html lang=en><body>{tag}<p>{body}<p>{body}")[0], tag
+    # a script goes on to the page's end, as the standard has it
+    assert html_extraction.extract(f"<p>{body}<p>{body}<script>{body}")[1] == 2
+    # a language without stop words is judged by lengths and links
+    assert html_extraction.extract("<html lang=fi><p>" + "Sana toinen kolmas nelj\u00e4s. " * 20)[2] == 1
+
+
+class Plain(HTMLParser):
+    """Blocks of well-formed pages, found by another parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.text, self.linked, self.skip, self.link, self.heading = [], "", 0, 0, 0, False
+
+    def cut(self):
+        text = " ".join(self.text.split())
+        if text:
+            self.out.append((text, self.linked, self.heading))
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        self.tag(tag, True)
+
+    def handle_endtag(self, tag):
+        self.tag(tag, False)
+
+    def tag(self, tag, start):
+        if tag in ("head", "script", "style", "noscript", "template", "svg", "textarea", "select"):
+            self.skip += 1 if start else -1
+            self.text += " "
+        elif self.skip:
+            return
+        elif tag == "a":
+            self.link += 1 if start else -1
+        elif tag in html_extraction._BLOCK:
+            self.cut()
+            if tag in html_extraction._HEADINGS:
+                self.heading = start
+            elif tag != "br":
+                self.heading = False
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.text += data
+            self.linked += len(" ".join(data.split())) if self.link else 0
+
+
+def test_pages_of_the_table_by_another_parser_and_all_pairs_of_blocks(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r.page_id: (r.text, r.n_blocks, r.n_good) for r in html_extraction.query(spark, sf_dir).collect()}
+    assert len(got) == pages.count()
+    for r in pages.collect():
+        plain = Plain()
+        plain.feed(r.html)
+        plain.close()
+        plain.cut()
+        stop = html_extraction._STOP.get(re.search('lang="(..)', r.html)[1])
+        labels = []
+        for text, linked, _ in plain.out:
+            tokens = re.findall(r"\w+", text.lower())
+            share = len([t for t in tokens if t in stop]) / max(1, len(tokens))
+            far = linked / len(text) > html_extraction.MAX_LINK_DENSITY
+            short, long = len(text) < html_extraction.SHORT, len(text) > html_extraction.LONG
+            labels.append("bad" if far or (short and linked) else "short" if short else "bad" if share < 0.15 else "good" if share >= 0.25 or long else "near")
+        good = []
+        for i, label in enumerate(labels):
+            near = [(abs(i - j), x != "bad", x) for j, x in enumerate(labels) if x in ("good", "bad")]
+            good.append(label == "good" if label in ("good", "bad") else min(near)[2] == "good" if near else label == "near")
+        for i in range(len(labels) - 2, -1, -1):
+            good[i] |= plain.out[i][2] and labels[i] in ("short", "near") and good[i + 1]
+        kept = [t for (t, _, _), g in zip(plain.out, good, strict=True) if g]
+        assert got[r.page_id] == ("\n".join(kept), len(labels), len(kept)), r.page_id
+
+
 # --- quality rules
 
 
@@ -182,12 +275,13 @@ def test_toxicity_without_labels_of_both_kinds_is_unknown(spark):
 # --- language identification
 
 
-def test_forward_backward_against_enumeration():
+@pytest.mark.parametrize("block", [64, 2, 1, 3])
+def test_forward_backward_against_enumeration(block):
     rng = np.random.default_rng(4)
-    k, sizes = 3, [1, 4, 3]
+    k, sizes = 3, [1, 5, 3, 7, 2]
     bounds = np.concatenate(([0], np.cumsum(sizes)))
     emission, change = rng.random((bounds[-1], k)) + 0.1, rng.random((k, k)) + 0.1
-    p, pairs = language_id.forward_backward(emission, bounds, change, pairs=True)
+    p, pairs = language_id.forward_backward(emission, bounds, change, pairs=True, block=block)
     want, want_pairs = np.zeros_like(emission), np.zeros((k, k))
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         weights = {}
@@ -222,6 +316,36 @@ def test_words_of_switched_text(spark):
     assert all(a.end == b.start for a, b in itertools.pairwise(spans))
 
 
+def test_words_that_differ_late_and_long_sentences(spark):
+    """Words of over 18 bytes that tell the language only by their middle, in sentences of hundreds of words."""
+    rng = random.Random(5)
+
+    def word(lang):
+        rest = "".join(rng.choice("abcdefgh") for _ in range(4))
+        return "qwertyuiopasdfghjklzx" + {"aa": "mnbv", "bb": "vbnm"}[lang] + rest + "zzz"
+
+    rows = [(i, " ".join(word(lang) for _ in range(300)), lang, "s", 1) for i in range(40) for lang in [("aa", "bb")[i % 2]]]
+    rows += [(100, " ".join([word("aa") for _ in range(200)] + [word("bb") for _ in range(200)]), None, "s", 1)]
+    out = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(out[r[0]].lang == r[2] for r in rows[:40])
+    assert [(s.start, s.end, s.lang) for s in out[100].spans] == [(0, 200, "aa"), (200, 400, "bb")]
+
+
+def test_features_against_slices():
+    text = "Été the x of éééééééééééééééééééééé to international".encode()
+    raw = np.frombuffer(text, np.uint8)
+    x = K.words(raw, np.array([0, len(raw)]))
+    flat, bounds = language_id.features(raw, x.start, x.end, x.hash, x.hash[1:2])
+    which, _, _ = language_id.trigrams(raw, x.start, x.end)
+    low = bytes(K.fold(raw))
+    for i, (a, b) in enumerate(zip(x.start, x.end, strict=True)):
+        mine = flat[bounds[i] : bounds[i + 1]]
+        w = low[a:b]
+        codes = [int.from_bytes(w[j : j + 3], "big") for j in range(len(w) - 2)]
+        assert mine[7:].tolist() == [((c * 0x9E3779B1 + 0xC2B2AE3D) % 2**32) >> 17 for c in codes]
+        assert (which == i).sum() == len(w) + 1
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     unlabelled = docs.where("doc_id % 3 = 0").withColumn("truth", F.col("lang")).withColumn("lang", F.lit(None).cast("string"))
