@@ -1,39 +1,40 @@
-"""Session helpers: the folder that all executors share, and tables written into it."""
+"""Tables written into the folder that all executors share, and other helpers."""
 
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss.session import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only in local mode and only where that is unset."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="gneiss-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    sc.setCheckpointDir(folder)
-    return f"file://{folder}"
+
+_MADE: dict[str, SparkSession] = {}
+
+
+def made(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, of what `release` deletes, and the end of the program."""
+    path = f"{shared_folder(spark)}/gneiss-{name}-{uuid.uuid4().hex}"
+    _MADE[path] = spark
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, which outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gneiss-{name}-{uuid.uuid4().hex}"
+    path = made(df.sparkSession, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Delete what has been written to the shared folder so far; results that aren't stored elsewhere can't be read any more."""
+    while _MADE:
+        _remove(*reversed(_MADE.popitem()))
+
+
+atexit.register(release)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -64,12 +65,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def hash_sample(df: DataFrame, h: Column, rows: int) -> DataFrame:
-    """The ``rows`` rows of the least 64-bit hashes ``h``, as far as a hash range expected to hold four times as many has them.
+def hash_sample(df: DataFrame, rows: int, counted: DataFrame) -> DataFrame:
+    """The ``rows`` rows whose doc_id has the least 64-bit hashes, as far as a hash range expected to hold four times as many has them.
 
-    The range keeps what one task has to sort from growing with the table.
+    The range keeps what one task has to sort from growing with the table.  ``counted`` has about as many rows as
+    ``df``; where it asks nothing of the text, the text isn't read to be counted.  Ties go by the hash of the text.
     """
-    total = df.count()
-    share = min(1.0, 4 * rows / max(total, 1))
+    share = min(1.0, 4 * rows / max(counted.count(), 1))
     top = min(int(share * 2**64) - 2**63, 2**63 - 1)
-    return df.where(h <= F.lit(top)).withColumn("h", h).orderBy("h").limit(rows)
+    h = F.xxhash64("doc_id")
+    return df.where(h <= F.lit(top)).withColumn("h", h).orderBy("h", "doc_id", F.xxhash64("text")).limit(rows)

@@ -1,3 +1,4 @@
+import gzip
 import random
 from collections import defaultdict
 
@@ -64,6 +65,78 @@ def test_pushed_filters_skip_payloads(spark, tmp_path):
     assert [type(f) for f in left] == [GreaterThan] and len(reader.filters) == 2
 
 
+def record(body, ident="<urn:a>", kind="response", content="application/http; msgtype=response", length=None):
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {ident}\r\nContent-Type: {content}\r\n"
+    head += "" if length == "" else f"Content-Length: {len(body) if length is None else length}\r\n"
+    return head.encode() + b"\r\n" + body + b"\r\n\r\n"
+
+
+def http(body, *fields):
+    return "\r\n".join(["HTTP/1.1 200 OK", *fields, "", ""]).encode() + body
+
+
+def read(tmp_path, name, data, **options):
+    (tmp_path / name).write_bytes(data)
+    reader = warc.WarcReader({"path": str(tmp_path / name), **options})
+    return [(r["record_id"], r["error"], r["payload"] if options.get("payload") != "binary" else r["body"]) for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("payload", ["true", "false"])
+def test_broken_lengths_cost_one_record(tmp_path, payload):
+    good = [record(http(b"one", "Content-Type: text/plain"), "<urn:1>"), record(http(b"two"), "<urn:2>")]
+    for bad in ("x", "-5", "", "1e3", "9" * 30, "99999999", "\u0663"):
+        data = good[0] + record(http(b"lost"), "<urn:bad>", length=bad) + good[1]
+        want = [("<urn:1>", None, "one"), ("<urn:bad>", "length", None), ("<urn:2>", None, "two")]
+        if payload == "false":
+            want = [(i, e, None) for i, e, _ in want]
+        assert read(tmp_path, "a.warc", data, payload=payload) == want, bad
+        if bad != "99999999":  # which reads to the end of the file, as a stream has no known size
+            assert read(tmp_path, "a.warc.gz", b"".join(map(gzip.compress, (good[0], record(http(b"lost"), "<urn:bad>", length=bad), good[1]))), payload=payload) == want, bad
+    short = read(tmp_path, "b.warc.gz", gzip.compress(good[0]) + gzip.compress(record(http(b"cut"), "<urn:3>", length=10**6)), payload=payload)
+    assert short[0][0] == "<urn:1>" and short[1][:2] == ("<urn:3>", "truncated")
+
+
+def test_broken_gzip_costs_its_member(tmp_path):
+    packed = [gzip.compress(record(http(f"text {i} ".encode() * 3000), f"<urn:{i}>")) for i in range(4)]
+    whole = [f"<urn:{i}>" for i in range(4)]
+    assert [r[0] for r in read(tmp_path, "a.warc.gz", b"".join(packed) + b"trailing bytes")] == whole
+    assert [r[0] for r in read(tmp_path, "b.warc.gz", b"".join(packed) + b"\0" * 100)] == whole
+    spoilt = bytearray(packed[1])
+    spoilt[25:60] = b"\xff" * 35
+    got = read(tmp_path, "c.warc.gz", packed[0] + bytes(spoilt) + packed[2] + packed[3])
+    assert [r[0] for r in got if r[1] is None] == ["<urn:0>", "<urn:2>", "<urn:3>"]
+    cut = read(tmp_path, "d.warc.gz", packed[0] + packed[1][: len(packed[1]) // 2])
+    assert cut[0][:2] == ("<urn:0>", None) and all(e in ("truncated", "length") for _, e, _ in cut[1:])
+    assert read(tmp_path, "e.warc.gz", b"no gzip at all") == []
+    inner = read(tmp_path, "f.warc", record(http(b"\x1f\x8b\x08 broken", "Content-Encoding: gzip"), "<urn:x>") + record(http(b"br", "Content-Encoding: br"), "<urn:y>") + record(http(b"sound"), "<urn:z>"))
+    assert inner == [("<urn:x>", "encoding gzip", None), ("<urn:y>", "encoding br", None), ("<urn:z>", None, "sound")]
+
+
+def test_charsets_chunks_and_bytes(tmp_path):
+    text = "café – naïve"
+    cases = [(text.encode("cp1252"), "Content-Type: text/html; charset=ISO-8859-1"), (text.encode("cp1252"), "Content-Type: text/html"), (text.encode("utf-16"), "Content-Type: text/plain; charset=utf-16"), (text.encode(), "Content-Type: text/html; charset=no-such-thing"), (text.encode("cp1252"), "Content-Type: text/html; charset=utf-8")]
+    for body, field in cases:
+        assert read(tmp_path, "a.warc", record(http(body, field))) == [("<urn:a>", None, text)], field
+    page = '<meta charset="koi8-r"><p>привет'
+    assert read(tmp_path, "a.warc", record(http(page.encode("koi8-r"), "Content-Type: text/html")))[0][2] == page
+    zipped = gzip.compress(b"x" * 1000)
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in (zipped[:10], zipped[10:])) + b"0\r\n\r\n"
+    fields = ("Transfer-Encoding: chunked", "Content-Encoding: gzip")
+    assert read(tmp_path, "a.warc", record(http(chunked, *fields)))[0][2] == "x" * 1000
+    # an archive can have undone the chunks, or the encoding too, and left the fields
+    assert read(tmp_path, "a.warc", record(http(zipped, *fields)))[0][2] == read(tmp_path, "a.warc", record(http(b"x" * 1000, *fields)))[0][2] == "x" * 1000
+    image = bytes(range(256)) * 50
+    assert read(tmp_path, "a.warc", record(http(image, "Content-Type: image/png")), payload="binary") == [("<urn:a>", None, image)]
+
+
+def test_odd_ids_and_addresses_are_written_in_one_line(spark, tmp_path):
+    rows = [(None, "http://x/1", "a", 1), ("<urn:\r\nX: y>", "http://x/2\r\nWARC-Type: fake", "b", 1), ("", "", "", 1)]
+    warc.write_warc(spark.createDataFrame(rows, PAGES), str(tmp_path / "o"))
+    back = warc.read_warc(spark, str(tmp_path / "o")).where("warc_type = 'response'").collect()
+    assert {(r.target_uri, r.payload) for r in back} == {("http://x/1", "a"), ("http://x/2%0D%0AWARC-Type: fake", "b"), ("", "")}
+    assert all(r.error is None and r.record_id is not None and r.record_id != "None" for r in back)
+
+
 def test_warc_of_an_empty_table(spark, tmp_path):
     path = str(tmp_path / "e")
     warc.write_warc(spark.createDataFrame([], PAGES), path)
