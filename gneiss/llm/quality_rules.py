@@ -72,7 +72,7 @@ def rules(text: Column, n_words: Column) -> list[Rule]:
 def ordered(docs: DataFrame, text: Column, n_words: Column, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """(rule, selectivity, cost) by rejections per cost, highest first; ties by cost, then name."""
     found = rules(text, n_words)
-    sample = hash_sample(docs.where("text is not null").select("doc_id", "text"), F.xxhash64("doc_id", "text"), sample_rows)
+    sample = hash_sample(docs.where("text is not null").select("doc_id", "text"), sample_rows, docs)
     counts = sample.agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("text")).alias("chars"), *(F.count_if(r.rejects).alias(r.name) for r in rules(F.col("text"), word_count(F.col("text"))))).first()
     rows, chars = counts["n"], counts["chars"] or 1.0
     measured = [(r, counts[r.name] / max(rows, 1), r.work * chars) for r in found]
