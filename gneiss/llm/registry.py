@@ -23,12 +23,13 @@ def queries() -> dict[str, Query]:
         "op8_warc": warc.query,
         "op9_language_id": language_id.query,
         "op10_packing": packing.query,
+        "quality_rule_verdicts": quality_rules.verdicts_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op4_quality_rules": quality_rules.ORACLE,
         "op6_decontamination": decontamination.ORACLE,
         "op8_warc": warc.ORACLE,
+        "quality_rule_verdicts": quality_rules.VERDICTS_ORACLE,
     }

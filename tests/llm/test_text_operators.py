@@ -200,7 +200,7 @@ def test_cascade_order_and_independence(spark):
     rng = random.Random(6)
     texts = [prose(rng, 40) + " the and" for _ in range(50)] + ["### $$ ^^ ~~ {{ }}"] * 9 + ["HELLO LOUD WORDS AGAIN"] * 3 + ["you idiot moron"] * 2
     docs = messy(spark, texts)
-    ranked = quality_rules.ordered(docs, docs["text"], quality_rules.word_count(docs["text"]))
+    ranked = quality_rules.ordered(docs)
     gains = [s / c for _, s, c in ranked]
     assert gains == sorted(gains, reverse=True) and len(ranked) == 8 and all(c > 0 for _, _, c in ranked)
     rows = quality_rules.judge(docs).collect()
@@ -214,6 +214,27 @@ def test_cascade_order_and_independence(spark):
     assert quality_rules.judge(empty(spark)).count() == 0
 
 
+def test_the_cascade_stops_at_the_first_rule_of_its_order(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    each = {r.doc_id: r for r in quality_rules.verdicts(docs).collect()}
+    names = [n for n in each[0].__fields__ if n not in ("doc_id", "keep")]
+    for order in (names, names[::-1]):
+        monkeypatch.setattr(quality_rules, "ordered", lambda docs, rows, order=order: [(n, 0.5, 1.0) for n in order])
+        for r in quality_rules.judge(docs).collect():
+            first = next((n for n in order if each[r.doc_id][n]), None)
+            assert (r.rejected_by, r.keep) == (first, first is None) and r.keep == each[r.doc_id].keep
+
+
+def test_a_slower_rule_costs_more_and_comes_later(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    fast = lambda text: F.length(text) > 100
+    slow = lambda text: F.regexp_count(F.repeat(text, 30), F.lit("(a|b|c)+x")) + F.length(text) > 100
+    for names in (("x", "y"), ("y", "x")):
+        ranked = quality_rules.ordered(docs, make=lambda text, n, names=names: [quality_rules.Rule(names[0], slow(text)), quality_rules.Rule(names[1], fast(text))])
+        assert [r[0] for r in ranked] == [names[1], names[0]] and ranked[1][2] > 3 * ranked[0][2]
+        assert ranked[1][1] >= ranked[0][1]
+
+
 # --- quality classifier
 
 
