@@ -1,20 +1,24 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
-The text view has hashed words and the shares of character classes and repeated words; the metadata view has source,
-language, their pairs, and a scale of length.  Both are logistic regressions.  In each round either labels the pool
-of unlabelled documents, and its most confident labels go to the other view's training set.  Each view is calibrated
-on held-out labelled documents, and the calibrated log odds are added, less those of the prior counted twice.
-A third view, of toxicity, is learned from labels of its own and takes no part in ``keep``.
-
-The fit uses at most ``TRAIN_DOCS`` labelled documents and a pool of at most ``POOL_DOCS`` others, chosen by hash.
-All documents are scored, whole.
+The text view has hashed words and the shares of character classes and repeated words; the metadata view has hashed
+source, language, their pair, and a scale of length.  Both are logistic regressions.  In each round both score every
+unlabelled document of the table, and the ``PER_ROUND`` different texts that a view is surest of, by class, go to the
+other view's training set.  Each view is calibrated on held-out labelled documents, and the calibrated log odds are
+added, less those of the prior counted twice.  A third view, of toxicity, is learned from labels of its own and takes
+no part in ``keep``.
+
+The fit uses at most ``TRAIN_DOCS`` labelled documents, chosen by hash, of each of which the executors send features, never
+its text.  The unlabelled ones are all scored in every round; ``PER_ROUND`` is how far the training sets grow by it.  All
+documents are scored, whole.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +28,14 @@ from pyspark.sql import functions as F
 
 from gneiss.llm import kernels as K
 from gneiss.llm import toxicity
-from gneiss.llm.shared import documents
+from gneiss.llm.shared import documents, written
 
-TRAIN_DOCS, POOL_DOCS = 2000, 2000
+TRAIN_DOCS = 2000
 ROUNDS = 3
 CONFIDENT = 0.9
 PER_ROUND = 200
 HELD_OUT = 4  # one labelled document in so many
-BITS = 11
+BITS, META_BITS = 11, 12
 KEEP = 0.5
 
 _CLASSES = np.zeros((256, 6), bool)
@@ -62,26 +66,66 @@ def text_features(raw: np.ndarray, bounds: np.ndarray) -> tuple[K.Words, np.ndar
     return x, np.concatenate((shares, extra), axis=1)
 
 
-def text_matrix(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    x, dense = text_features(raw, bounds)
-    rows, size = len(bounds) - 1, 1 << BITS
-    bucket = (x.hash >> np.uint64(64 - BITS)).astype(np.int64)
-    bag = np.bincount(x.row_of() * size + bucket, minlength=rows * size).reshape(rows, size) / np.maximum(x.counts, 1)[:, None]
-    return np.concatenate((bag * 10, dense * 4), axis=1)
+def bags(x: K.Words, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hashed word, ten times its share of the row's words) of each pair."""
+    key, n = np.unique((x.row_of() << BITS) | (x.hash >> np.uint64(64 - BITS)).astype(np.int64), return_counts=True)
+    row = key >> BITS
+    return row, key & ((1 << BITS) - 1), n * 10 / np.maximum(x.counts, 1)[row]
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, list]:
+    """(number of each row's value, the values); null is a value."""
+    coded = column.cast(pa.string()).dictionary_encode()
+    values = coded.dictionary.to_pylist()
+    return coded.indices.fill_null(len(values)).to_numpy(zero_copy_only=False).astype(np.int64), [*values, None]
+
 
+def _hashed(*key: object) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(key).encode(), digest_size=4).digest(), "little") & ((1 << META_BITS) - 1)
 
-def _scale(n_chars: np.ndarray) -> np.ndarray:
-    return np.log2(np.maximum(n_chars, 1)).astype(np.int64)
 
+def meta_features(source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> np.ndarray:
+    """Rows of the numbers of source, language, their pair and scale of length; nulls are a value of their own.
 
-def meta_matrix(source: list, lang: list, n_chars: np.ndarray, names: dict[str, int]) -> np.ndarray:
-    """One column each for the known sources, languages, pairs and scales of length; nulls are a value of their own."""
-    out = np.zeros((len(source), len(names)))
-    for i, (s, g, k) in enumerate(zip(source, lang, _scale(n_chars), strict=True)):
-        for key in (f"s {s}", f"l {g}", f"p {s} {g}", f"n {k}"):
-            if (j := names.get(key)) is not None:
-                out[i, j] = 1
-    return out
+    Each different value is hashed once a batch.
+    """
+    s, sources = _codes(source)
+    g, langs = _codes(lang)
+    size = np.nan_to_num(n_chars.to_numpy(zero_copy_only=False).astype(float))
+    scale = np.log2(np.clip(size, 1, None)).astype(np.int64)
+    pair, which = np.unique(s * len(langs) + g, return_inverse=True)
+    scales, level = np.unique(scale, return_inverse=True)
+    own = [np.array([_hashed(kind, v) for v in values]) for kind, values in (("s", sources), ("l", langs))]
+    both = np.array([_hashed("p", sources[i // len(langs)], langs[i % len(langs)]) for i in pair.tolist()], np.int64)
+    return np.stack((own[0][s], own[1][g], both[which], np.array([_hashed("n", v) for v in scales.tolist()], np.int64)[level]), axis=1)
+
+
+@dataclass
+class Features:
+    """Sparse rows of both views: (row, column, value) of the text's and columns of the metadata's."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    dense: np.ndarray
+    meta: np.ndarray
+
+    def text_matrix(self) -> np.ndarray:
+        out = np.zeros((len(self.dense), (1 << BITS) + DENSE))
+        out[self.row, self.column] = self.value
+        out[:, 1 << BITS :] = self.dense
+        return out
+
+    def meta_matrix(self) -> np.ndarray:
+        out = np.zeros((len(self.meta), 1 << META_BITS))
+        for j in range(self.meta.shape[1]):
+            out[np.arange(len(out)), self.meta[:, j]] += 1
+        return out
+
+
+def features(raw: np.ndarray, bounds: np.ndarray, meta: np.ndarray) -> tuple[K.Words, Features]:
+    x, dense = text_features(raw, bounds)
+    return x, Features(*bags(x, len(bounds) - 1), dense * 4, meta)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 150) -> np.ndarray:
@@ -124,10 +168,14 @@ def platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Model:
     text: np.ndarray
     meta: np.ndarray
-    names: dict[str, int]
-    text_scale: tuple[float, float]
-    meta_scale: tuple[float, float]
-    prior: float
+    text_scale: tuple[float, float] = (1.0, 0.0)
+    meta_scale: tuple[float, float] = (1.0, 0.0)
+    prior: float = 0.0
+
+    def raw_scores(self, f: Features) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the text view and of the metadata view, not calibrated."""
+        text = np.bincount(f.row, weights=f.value * self.text[f.column], minlength=len(f.dense))
+        return text + f.dense @ self.text[1 << BITS : -1] + self.text[-1], self.meta[f.meta].sum(axis=1) + self.meta[-1]
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of the text view, the metadata view and both."""
@@ -136,65 +184,137 @@ class Model:
         return tuple(1 / (1 + np.exp(-np.clip(s, -35, 35))) for s in (a, b, a + b - self.prior))
 
 
-def _score(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return x @ w[:-1] + w[-1]
+#: What the driver gets of a document: features of bounded size, whatever its text.
+_ROW = "doc_id long, view int, good boolean, sure double, h long, columns binary, values binary, dense binary, meta binary"
+_ROW_ARROW = pa.schema([("doc_id", pa.int64()), ("view", pa.int32()), ("good", pa.bool_()), ("sure", pa.float64()), ("h", pa.int64()), ("columns", pa.binary()), ("values", pa.binary()), ("dense", pa.binary()), ("meta", pa.binary())])
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, held: np.ndarray, names: dict[str, int], rounds: int = ROUNDS) -> Model:
-    """label: 1, 0, or -1 for the pool; held: labelled rows kept for calibration."""
-    views = [text, meta]
-    known = (label >= 0) & ~held
-    pool = np.flatnonzero(label < 0)
-    sets = [(np.flatnonzero(known), label[known].astype(float)) for _ in views]
-    weights: list[np.ndarray] = []
-    free = [np.ones(len(pool), bool) for _ in views]
-    for r in range(rounds + 1):
-        weights = [fit_logistic(v[i], y) for v, (i, y) in zip(views, sets, strict=True)]
-        if r == rounds or not len(pool):
-            break
-        added = []
-        for me in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(_score(views[me][pool], weights[me]), -35, 35)))
-            sure = np.flatnonzero((np.maximum(p, 1 - p) >= CONFIDENT) & free[1 - me])
-            order = sure[np.argsort(-np.maximum(p, 1 - p)[sure], kind="stable")]
-            # as many of each class as the labelled rows have, so that the prior stays
-            share = float(label[known].mean()) if known.any() else 0.5
-            good, bad = order[p[order] > 0.5], order[p[order] <= 0.5]
-            take = np.concatenate((good[: round(PER_ROUND * share)], bad[: round(PER_ROUND * (1 - share))]))
-            added.append((take, (p[take] > 0.5).astype(float)))
-        for me in (0, 1):
-            take, y = added[1 - me]
-            free[me][take] = False
-            sets[me] = (np.concatenate((sets[me][0], pool[take])), np.concatenate((sets[me][1], y)))
-    some = held if held.any() else known
-    y = label[some].astype(float)
-    base = float((label[label >= 0].sum() + 1) / ((label >= 0).sum() + 2))
-    scales = [platt(_score(v[some], w), y) for v, w in zip(views, weights, strict=True)]
-    return Model(weights[0], weights[1], names, scales[0], scales[1], _log_odds(base))
-
-
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, pool_docs: int = POOL_DOCS, rounds: int = ROUNDS) -> Model:
-    """Fit on bounded samples; of several labels of a document the highest counts."""
-    h = F.xxhash64("doc_id").alias("h")
+def _packed(f: Features, rows: np.ndarray) -> list[list[bytes]]:
+    lo, hi = np.searchsorted(f.row, rows, "left"), np.searchsorted(f.row, rows, "right")
+    columns, values = f.column.astype(np.uint16), f.value.astype(np.float32)
+    return [[columns[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], [values[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], [f.dense[i].astype(np.float32).tobytes() for i in rows], [f.meta[i].astype(np.uint16).tobytes() for i in rows]]
+
+
+def _unpacked(t: pa.Table) -> Features:
+    columns, values = t.column("columns").to_pylist(), t.column("values").to_pylist()
+    row = np.repeat(np.arange(t.num_rows), [len(c) // 2 for c in columns])
+    dense = np.frombuffer(b"".join(t.column("dense").to_pylist()), np.float32).reshape(-1, DENSE)
+    meta = np.frombuffer(b"".join(t.column("meta").to_pylist()), np.uint16).reshape(-1, 4).astype(np.int64)
+    return Features(row, np.frombuffer(b"".join(columns), np.uint16).astype(np.int64), np.frombuffer(b"".join(values), np.float32).astype(float), dense.astype(float), meta)
+
+
+def _content(x: K.Words) -> np.ndarray:
+    return K.signed(K.range_hash(x.hash, x.first[:-1], x.first[1:]))
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of labelled documents, with the text's hash for `h`."""
+    for b in batches:
+        meta = meta_features(*(b.column(c) for c in ("source", "lang", "n_chars")))
+        for row, end, raw, bounds in K.chunks(b.column("text")):
+            x, f = features(raw, bounds, meta[row:end])
+            n = end - row
+            yield K.batch(_ROW_ARROW, b.column("doc_id").slice(row, n), np.zeros(n, np.int32), b.column("quality").slice(row, n).cast(pa.bool_()), np.ones(n), _content(x), *_packed(f, np.arange(n)))
+
+
+def _surest(batches: Iterator[pa.RecordBatch], shared: Broadcast, per_class: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Of all documents of the partition, those each view is surest of, by class."""
+    model = shared.value
+    best: dict[tuple[int, int], dict[int, tuple]] = {(view, good): {} for view in (0, 1) for good in (0, 1)}
+    for b in batches:
+        ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+        meta = meta_features(*(b.column(c) for c in ("source", "lang", "n_chars")))
+        for row, end, raw, bounds in K.chunks(b.column("text")):
+            x, f = features(raw, bounds, meta[row:end])
+            content = _content(x)
+            for view, score in enumerate(model.raw_scores(f)):
+                p = 1 / (1 + np.exp(-np.clip(score, -35, 35)))
+                sure = np.maximum(p, 1 - p)
+                for good in (0, 1):
+                    held, k = best[view, good], per_class[good]
+                    mine = np.flatnonzero((sure >= CONFIDENT) & ((p > 0.5) == bool(good)) & (x.counts > 0))
+                    if len(mine) > k:
+                        # the k surest different texts are among these, as each has at least one row
+                        order = mine[np.lexsort((content[mine], -sure[mine]))]
+                        _, first = np.unique(content[order], return_index=True)
+                        mine = order[np.sort(first)[:k]]
+                    if len(held) >= k and k:
+                        least = min(v[0] for v in held.values())
+                        mine = mine[sure[mine] >= least]
+                    for i, *parts in zip(mine, *_packed(f, mine), strict=True):
+                        new = (float(sure[i]), int(ids[row + i]), parts)
+                        h = int(content[i])
+                        if h not in held or new[:2] > held[h][:2]:
+                            held[h] = new
+                    for h in sorted(held, key=lambda h: (-held[h][0], h))[k:]:
+                        del held[h]
+    for (view, good), held in best.items():
+        if held:
+            rows = [(v[1], view, bool(good), v[0], h, *v[2]) for h, v in held.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROW_ARROW, strict=True)], schema=_ROW_ARROW)
+
+
+def _prior(good: float, rows: int) -> float:
+    p = (good + 1) / (rows + 2)
+    return _log_odds(p)
+
+
+def calibrated(model: Model, f: Features, y: np.ndarray, good: float, rows: int) -> Model:
+    """The model with scales that turn its views' scores of these rows into log odds."""
+    text, meta = model.raw_scores(f)
+    return Model(model.text, model.meta, platt(text, y), platt(meta, y), _prior(good, rows))
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model:
+    """Of several labels of a document the highest counts, and of several texts with its doc_id the one of the least hash."""
+    spark, h = docs.sparkSession, F.xxhash64("doc_id").alias("h")
     quality = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = quality.select("doc_id", "quality", h).orderBy("h", "doc_id").limit(train_docs)
-    ids = docs.where("doc_id is not null and text is not null").select("doc_id", h).distinct()
-    pool = ids.orderBy("h", "doc_id").limit(2 * pool_docs).join(quality.select("doc_id"), "doc_id", "left_anti").orderBy("h", "doc_id").limit(pool_docs)
-    wanted = chosen.unionByName(pool.withColumn("quality", F.lit(-1)).select("doc_id", "quality", "h"))
-    # at most train_docs + pool_docs rows, so the broadcast is bounded
-    rows = docs.where("text is not null").select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(wanted), "doc_id").toArrow()
-    rows = rows.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-    source, lang = rows.column("source").to_pylist(), rows.column("lang").to_pylist()
-    n_chars = np.nan_to_num(rows.column("n_chars").to_numpy(zero_copy_only=False).astype(float))
-    names: dict[str, int] = {}
-    for s, g, k in zip(source, lang, _scale(n_chars), strict=True):
-        for key in (f"s {s}", f"l {g}", f"p {s} {g}", f"n {k}"):
-            names.setdefault(key, len(names))
-    text = [text_matrix(raw, bounds) for _, _, raw, bounds in K.chunks(rows.column("text").combine_chunks())] if rows.num_rows else []
-    label = rows.column("quality").to_numpy(zero_copy_only=False).astype(np.int64)
-    held = (label >= 0) & (rows.column("h").to_numpy() % HELD_OUT == 0)
-    wide = np.concatenate(text) if text else np.zeros((0, (1 << BITS) + DENSE))
-    return co_train(wide, meta_matrix(source, lang, n_chars, names), label, held, names, rounds)
+    known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", "n_chars")
+    # at most train_docs rows, so the broadcast is bounded
+    mine = known.join(F.broadcast(chosen.select("doc_id", "quality")), "doc_id").mapInArrow(_labelled, _ROW)
+    one = mine.groupBy("doc_id").agg(F.min(F.struct("h", "view", "good", "sure", "columns", "values", "dense", "meta")).alias("one")).select("doc_id", F.xxhash64("doc_id").alias("key"), "one.*")
+    table = one.toArrow().sort_by([("key", "ascending"), ("doc_id", "ascending")])
+    f, y = _unpacked(table), table.column("good").to_numpy(zero_copy_only=False).astype(float)
+    held = table.column("key").to_numpy() % HELD_OUT == 0 if table.num_rows else np.zeros(0, bool)
+    train = ~held if len(y) and 0 < y[~held].sum() < (~held).sum() else np.ones(len(y), bool)
+    share = float(y[train].mean()) if train.any() else 0.5
+    per_class = (round(per_round * (1 - share)), round(per_round * share))
+    matrices = [f.text_matrix()[train], f.meta_matrix()[train]]
+    sets = [[(m, y[train])] for m in matrices]
+    used: list[set[int]] = [set(), set()]
+
+    def fitted() -> Model:
+        return Model(*(fit_logistic(np.concatenate([m for m, _ in s]), np.concatenate([t for _, t in s])) for s in sets))
+
+    model = fitted()
+    pool = known.join(quality.select("doc_id"), "doc_id", "left_anti")
+    for r in range(rounds if len(y) else 0):
+        # a round asks for as many more as it may have used already
+        wide = tuple(n * (r + 1) for n in per_class)
+        shared = spark.sparkContext.broadcast(model)
+        sure = pool.mapInArrow(partial(_surest, shared=shared, per_class=wide), _ROW)
+        # copies of a text count once; aggregated before they are ordered, so that no task sorts the best of all others
+        kept = F.max(F.struct("sure", "doc_id", "columns", "values", "dense", "meta")).alias("one")
+        sure = sure.groupBy("view", "good", "h").agg(kept).select("view", "good", "h", "one.*")
+        best = [sure.where((F.col("view") == view) & (F.col("good") == bool(good))).orderBy(F.desc("sure"), "h").limit(wide[good]) for view in (0, 1) for good in (0, 1)]
+        found = written(reduce(DataFrame.unionByName, best), "surest").toArrow().sort_by([("view", "ascending"), ("good", "ascending"), ("sure", "descending"), ("h", "ascending")])
+        new = _unpacked(found)
+        wides = (new.text_matrix(), new.meta_matrix())
+        at = [found.column(c).to_numpy(zero_copy_only=False) for c in ("view", "good", "h")]
+        for view, good in itertools.product((0, 1), (0, 1)):
+            rows = np.flatnonzero((at[0] == view) & (at[1] == bool(good)))
+            take = [i for i in rows if int(at[2][i]) not in used[1 - view]][: per_class[good]]
+            used[1 - view].update(int(at[2][i]) for i in take)
+            sets[1 - view].append((wides[1 - view][take], np.full(len(take), float(good))))
+        model = fitted()
+    check = held if held.any() else np.ones(len(y), bool)
+    picked = np.flatnonzero(check)
+    place = np.full(len(y), -1)
+    place[picked] = np.arange(len(picked))
+    keep = check[f.row] if len(f.row) else np.zeros(0, bool)
+    part = Features(place[f.row[keep]], f.column[keep], f.value[keep], f.dense[picked], f.meta[picked])
+    return calibrated(model, part, y[picked], float(y.sum()), len(y))
 
 
 _ARROW = pa.schema([("doc_id", pa.int64()), ("text_score", pa.float64()), ("meta_score", pa.float64()), ("score", pa.float64()), ("keep", pa.bool_()), ("toxic_score", pa.float64()), ("toxic", pa.bool_())])
@@ -212,34 +332,30 @@ def _toxic(model: toxicity.Toxicity | None, table: np.ndarray | None, raw: np.nd
 def _apply(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     model, toxic = shared.value
     table = toxic.table() if toxic is not None else None
-    bag, dense_w = model.text[: 1 << BITS] * 10, model.text[1 << BITS : -1] * 4
     for b in batches:
-        ids, source, lang = b.column("doc_id"), b.column("source").to_pylist(), b.column("lang").to_pylist()
-        n_chars = np.nan_to_num(b.column("n_chars").to_numpy(zero_copy_only=False).astype(float))
-        scale = _scale(n_chars)
+        ids = b.column("doc_id")
+        meta = meta_features(*(b.column(c) for c in ("source", "lang", "n_chars")))
         _, _, present = K.strings(b.column("text"))
         for row, end, raw, bounds in K.chunks(b.column("text")):
-            x, dense = text_features(raw, bounds)
-            each = bag[(x.hash >> np.uint64(64 - BITS)).astype(np.int64)]
-            text = np.bincount(x.row_of(), weights=each, minlength=end - row) / np.maximum(x.counts, 1) + dense @ dense_w + model.text[-1]
-            meta = np.array([sum(model.meta[j] for key in (f"s {source[i]}", f"l {lang[i]}", f"p {source[i]} {lang[i]}", f"n {scale[i]}") if (j := model.names.get(key)) is not None) for i in range(row, end)]) + model.meta[-1]
-            a, m, both = model.scores(text, meta)
+            x, f = features(raw, bounds, meta[row:end])
+            a, m, both = model.scores(*model.raw_scores(f))
             both = np.where(present[row:end] & (x.counts > 0), both, 0.0)
             yield K.batch(_ARROW, ids.slice(row, end - row), np.round(a, 6), np.round(m, 6), np.round(both, 6), both >= KEEP, *_toxic(toxic, table, raw, x))
 
 
-def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, pool_docs: int = POOL_DOCS, rounds: int = ROUNDS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, text_score, meta_score, score, keep, toxic_score, toxic) of every document.
 
     The first three scores are probabilities of good quality, which alone decides ``keep``; ``toxic_score`` is one of
     toxicity.  It and ``toxic`` are null where the labels don't have documents of both kinds.
 
     A null, empty or wordless text has score 0 and isn't kept.  A null doc_id, source, lang or n_chars is allowed;
-    the latter three are values of their own.  Repeated rows give a row each.  Very long texts are scored whole.
+    the latter three are values of their own.  Repeated rows give a row each; of texts that repeat a doc_id one is
+    learned from.  Ties of confidence go by the text's hash.  Very long texts are scored whole.
     Without labels all scores come from the prior of one half.  An empty table gives no rows.  Other columns are
     ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast((fit(docs, labels, train_docs, pool_docs, rounds), toxicity.fit(docs, labels)))
+    model = docs.sparkSession.sparkContext.broadcast((fit(docs, labels, train_docs, rounds), toxicity.fit(docs, labels)))
     rows = docs.select(F.col("doc_id").cast("long"), "text", "source", "lang", "n_chars")
     return rows.mapInArrow(partial(_apply, shared=model), "doc_id long, text_score double, meta_score double, score double, keep boolean, toxic_score double, toxic boolean")
 

@@ -9,6 +9,7 @@ The fit uses at most ``CLASS_DOCS`` labelled documents of either class, chosen b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm import kernels as K
+from gneiss.llm.shared import written
 
 CLASS_DOCS = 3000
 HELD_OUT = 4  # one labelled document in so many
@@ -72,42 +74,47 @@ class Toxicity:
         return np.bincount(row, weights=self.weight[table[term], level - 1], minlength=len(x.counts)) + self.base
 
 
-def train(texts: pa.Array, toxic: np.ndarray, held: np.ndarray, share: float) -> Toxicity:
-    """Fit on texts with labels 0 and 1; share: that of toxic ones where the texts come from."""
+_TERMS = "doc_id long, toxic int, number int"
+_TERMS_ARROW = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("number", pa.int32())])
+
+
+def _levels(row: np.ndarray, term: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number of the term and level) of each level that the term reaches."""
+    return tuple(np.concatenate(c) for c in zip(*((row[level > k], term[level > k] * LEVELS + k) for k in range(LEVELS)), strict=True))
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids, toxic = (b.column(c).to_numpy() for c in ("doc_id", "toxic"))
+        for first, _, raw, bounds in K.chunks(b.column("text")):
+            row, number = _levels(*_counted(*terms(raw, K.words(raw, bounds))))
+            yield K.batch(_TERMS_ARROW, ids[first + row], toxic[first + row].astype(np.int32), number.astype(np.int32))
+
+
+def train(row: np.ndarray, place: np.ndarray, some: np.ndarray, toxic: np.ndarray, held: np.ndarray, share: float) -> Toxicity:
+    """Fit on (row, place of a number among ``some``) pairs with labels 0 and 1; share: that of toxic ones where they come from."""
     from gneiss.llm.quality_classifier import _log_odds, fit_logistic, platt
 
-    parts = []
-    for first, _, raw, bounds in K.chunks(texts):
-        row, term, level = _counted(*terms(raw, K.words(raw, bounds)))
-        parts.append((row + first, term, level))
-    row, term, level = (np.concatenate(c) for c in zip(*parts, strict=True))
-    row, number = (np.concatenate(c) for c in zip(*((row[level > k], term[level > k] * LEVELS + k) for k in range(LEVELS)), strict=True))
     known = ~held if (~held & (toxic == 1)).any() and (~held & (toxic == 0)).any() else np.ones(len(toxic), bool)
-    mine = known[row]
-    bad = np.bincount(number[mine], weights=toxic[row[mine]], minlength=LEVELS << BITS)
-    good = np.bincount(number[mine], minlength=LEVELS << BITS) - bad
-    odds = np.log((bad + 0.5) / (toxic[known].sum() + 1)) - np.log((good + 0.5) / ((1 - toxic[known]).sum() + 1))
-    z = odds / np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
-    some = np.flatnonzero((z >= MIN_Z) & (bad >= MIN_DOCS))
-    some = np.sort(some[np.argsort(-z[some], kind="stable")[:MAX_TERMS]])
-    place = np.full(LEVELS << BITS, -1, np.int64)
-    place[some] = np.arange(len(some))
-    at = place[number]
     wide = np.zeros((len(toxic), len(some)), np.float32)
-    wide[row[at >= 0], at[at >= 0]] = 1
+    wide[row, place] = 1
     w = fit_logistic(wide[known], toxic[known].astype(float), penalty=3e-4, steps=500)
     score = wide @ w[:-1] + w[-1]
     check = held if held.any() else known
     slope, shift = platt(score[check], toxic[check].astype(float))
-    term, place = np.unique(some // LEVELS, return_inverse=True)
+    term, at = np.unique(some // LEVELS, return_inverse=True)
     weight = np.zeros((len(term), LEVELS))
-    weight[place, some % LEVELS] = slope * w[:-1]
+    weight[at, some % LEVELS] = slope * w[:-1]
     # a sample of either class has a share of its own
     return Toxicity(term, weight.cumsum(axis=1), slope * w[-1] + shift + _log_odds(share) - _log_odds(float(toxic.mean())))
 
 
 def fit(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS) -> Toxicity | None:
-    """Of several labels of a document the highest counts; None without labelled documents of both classes."""
+    """None without labelled documents of both classes.
+
+    Of several labels of a document the highest counts; rows that repeat its doc_id count as one text with the terms of
+    all.  Terms are counted and chosen where the texts are; the driver gets numbers of the chosen ones alone.
+    """
     h = F.xxhash64("doc_id").alias("h")
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     all_of = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
@@ -115,9 +122,21 @@ def fit(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS) -> Tox
         return None
     chosen = [marks.where(F.col("toxic") == k).select("doc_id", "toxic", h).orderBy("h", "doc_id").limit(class_docs) for k in (0, 1)]
     # at most twice class_docs rows, so the broadcast is bounded
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").toArrow()
-    rows = rows.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-    toxic = rows.column("toxic").to_numpy().astype(np.int64)
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen[0].unionByName(chosen[1]).select("doc_id", "toxic")), "doc_id")
+    found = written(rows.mapInArrow(_explode, _TERMS).distinct(), "toxic-terms")
+    marked = found.select("doc_id", "toxic").distinct().withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0)
+    table = marked.orderBy("doc_id").toArrow()
+    toxic, held = table.column("toxic").to_numpy().astype(np.int64), table.column("held").to_numpy(zero_copy_only=False).astype(bool)
     if len(np.unique(toxic)) < 2:
         return None
-    return train(rows.column("text").combine_chunks(), toxic, rows.column("h").to_numpy() % HELD_OUT == 0, all_of[1] / (all_of[0] + all_of[1]))
+    known = ~held if len(np.unique(toxic[~held])) == 2 else np.ones(len(toxic), bool)
+    n_bad, n_good = float(toxic[known].sum()), float((1 - toxic[known]).sum())
+    of = found if known.all() else found.where(F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) != 0)
+    counts = of.groupBy("number").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all")).withColumn("good", F.col("all") - F.col("bad"))
+    odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
+    z = odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    best = counts.withColumn("z", z).where((F.col("z") >= MIN_Z) & (F.col("bad") >= MIN_DOCS)).orderBy(F.desc("z"), "number").limit(MAX_TERMS).select("number")
+    some = np.sort(np.array([r.number for r in best.collect()], np.int64))
+    pairs = found.join(F.broadcast(best), "number").select("doc_id", "number").toArrow()
+    row = np.searchsorted(table.column("doc_id").to_numpy(), pairs.column("doc_id").to_numpy())
+    return train(row, np.searchsorted(some, pairs.column("number").to_numpy()), some, toxic, held, all_of[1] / (all_of[0] + all_of[1]))
