@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op9_language_id": language_id.query,
         "op10_packing": packing.query,
         "quality_rule_verdicts": quality_rules.verdicts_query,
+        "quoted_conversations": quote_linking.quoting_query,
     }
 
 

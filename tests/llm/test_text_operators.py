@@ -5,6 +5,7 @@ import time
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,6 +276,63 @@ def test_classifier_of_odd_tables(spark):
     assert quality_classifier.classify(empty(spark), marks).count() == 0
 
 
+def test_scores_against_a_model_recomputed_row_by_row(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_classifier.fit(docs, labels)
+    out = {r.doc_id: r for r in quality_classifier.classify(docs, labels).collect()}
+    for r in docs.collect():
+        raw = r.text.encode()
+        tokens = words("".join(c.lower() if c.isascii() or "\u00c0" <= c <= "\u00de" else c for c in r.text))
+        x = K.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        if not tokens:
+            assert out[r.doc_id].score == 0
+            continue
+        shares = [sum(c in kind for c in raw) for kind in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"\t\n\r ", b"#$%&*|~^<>{}=_\\@+/", b"!?")]
+        shares.append(len(raw) - sum(shares))
+        assert len(x.hash) == len(tokens)
+        dense = [s / len(raw) for s in shares] + [sum(a == b for a, b in itertools.pairwise(x.hash.tolist())) / len(tokens), np.log1p(len(tokens) / (raw.count(b"\n") + 1)), len(raw) / len(tokens) / 10]
+        text = sum(model.text[h >> 53] * 10 / len(tokens) for h in x.hash.tolist()) + 4 * np.dot(dense, model.text[1 << 11 : -1]) + model.text[-1]
+        keys = [("s", r.source), ("l", r.lang), ("p", r.source, r.lang), ("n", int(np.log2(max(r.n_chars, 1))))]
+        meta = sum(model.meta[quality_classifier._hashed(*k)] for k in keys) + model.meta[-1]
+        a, m = model.text_scale[0] * text + model.text_scale[1], model.meta_scale[0] * meta + model.meta_scale[1]
+        for name, odds in (("text_score", a), ("meta_score", m), ("score", a + m - model.prior)):
+            assert abs(out[r.doc_id][name] - 1 / (1 + np.exp(-odds))) < 2e-6, (r.doc_id, name)
+
+
+def test_the_surest_texts_of_the_whole_pool_are_exchanged(spark):
+    docs, labels = labelled(spark)
+    table = spark.createDataFrame([*docs, *docs[:9], (7000, "", "en", "x", 0), (7001, None, "en", "x", 0)], DOCS).repartition(5)
+    model = quality_classifier.fit(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rounds=0)
+
+    class Held:
+        value = model
+
+    batches = table.where("doc_id is not null and text is not null").select("doc_id", "text", "source", "lang", "n_chars").toArrow().to_batches(max_chunksize=37)
+    got = [r for b in quality_classifier._surest(iter(batches), Held, (5, 20)) for r in b.to_pylist()]
+    score = [(d, *model.raw_scores(quality_classifier.features(np.frombuffer(d[1].encode(), np.uint8), np.array([0, len(d[1])]), quality_classifier.meta_features(pa.array([d[3]]), pa.array([d[2]]), pa.array([d[4]])))[1])) for d in docs]
+    for view in (0, 1):
+        for good, k in ((0, 5), (1, 20)):
+            p = sorted((1 / (1 + np.exp(-abs(s[1 + view][0]))) for s in score if (s[1 + view][0] > 0) == bool(good)), reverse=True)
+            want = [x for x in p if x >= quality_classifier.CONFIDENT][:k]
+            mine = sorted((r["sure"] for r in got if r["view"] == view and r["good"] == bool(good)), reverse=True)
+            assert np.allclose(mine, want) and len(mine) == len(want)
+
+
+def test_a_doc_id_that_repeats_is_learned_from_once(spark):
+    docs, labels = labelled(spark)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    again = [(1, "other words " * 50, "en", "s", 1)] * 400
+    many = spark.createDataFrame([*docs, *again], DOCS)
+    sent = []
+    real = quality_classifier._unpacked
+    quality_classifier._unpacked = lambda t: sent.append(t.num_rows) or real(t)
+    try:
+        quality_classifier.fit(many, marks, rounds=1)
+    finally:
+        quality_classifier._unpacked = real
+    assert sent[0] == len(labels) and sent[1] <= 8 * quality_classifier.PER_ROUND
+
+
 def test_toxic_documents_of_every_language_are_found(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
@@ -422,6 +480,77 @@ def test_reply_tree(spark):
     assert by[1].text == second and by[2].text == third and by[3].text == "How hot should it be, then?" and by[1].n_linked == 1 and by[4].n_linked == 0
 
 
+def brute_links(messages):
+    """Reply order by comparing every quote with every earlier message, by words."""
+    out = {}
+    for conv in {m[0] for m in messages}:
+        mine = sorted(m for m in messages if m[0] == conv)
+        said = {}
+        for _, turn, _, own, _ in mine:
+            said[turn] = [re.findall(r"\w+", p.lower()) for p in [own, *own.split("\n\n")]]
+        parents, linked = [], []
+        for i, (_, turn, _, _, quotes) in enumerate(mine):
+            found = []
+            for level, text in quotes:
+                tokens = re.findall(r"\w+", text.lower())
+                where = [t for t in said if t < turn and len(tokens) > 1 and tokens in said[t]]
+                if where:
+                    found.append((level, -max(where)))
+            linked.append(len(found))
+            parents.append([m[1] for m in mine].index(-min(found)[1]) if found else i - 1)
+        depth = []
+        for p in parents:
+            depth.append(depth[p] + 1 if p >= 0 else 0)
+
+        def below(p, parents=parents):
+            return [x for i, q in enumerate(parents) if q == p for x in (i, *below(i))]
+
+        for position, i in enumerate(below(-1)):
+            out[conv, mine[i][1]] = (position, depth[i], mine[parents[i]][1] if parents[i] >= 0 else None, mine[i][3], linked[i])
+    return out
+
+
+def test_random_trees_against_a_brute_force_linker(spark):
+    rng = random.Random(12)
+    messages = []
+    for conv in range(25):
+        texts, quoted = [], []
+        for turn in range(rng.randrange(1, 12)):
+            own = prose(rng, rng.randrange(1, 9), 60) + ("\n\n" + prose(rng, 4, 60) if rng.random() < 0.3 else "")
+            quotes, body = [], own
+            if turn and rng.random() < 0.8:
+                s = rng.randrange(turn)
+                lines = [f"> {x}" for x in texts[s].split("\n\n")[0].split("\n")]
+                quotes = [(1, texts[s].split("\n\n")[0])]
+                if quoted[s] and rng.random() < 0.7:
+                    deep = quoted[s][0][1]
+                    lines = ["> On Sunday, A", "> <a@b.c> wrote:", *(f">> {x}" for x in deep.split("\n")), *lines]
+                    quotes.append((2, deep))
+                intro = rng.choice([["On Monday, B wrote:"], ["On a day " + "very " * 90 + "long ago,", "B <b@c.d> wrote:"], ["x " * 150 + "wrote:"], []])
+                body = "\n".join([*intro, *lines, "", own])
+            texts.append(own)
+            quoted.append(quotes)
+            # the same words quoted at two levels are one passage
+            messages.append((conv, turn, body, own, [q for i, q in enumerate(quotes) if q[1].split() not in [p[1].split() for p in quotes[:i]]]))
+    df = spark.createDataFrame([(c, t, "user", b) for c, t, b, _, _ in messages], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.position, r.depth, r.reply_to, r.text, r.n_linked) for r in quote_linking.conversations(df).collect()}
+    assert got == brute_links(messages) and sum(r[4] for r in got.values()) > 50
+
+
+def test_quoting_messages_of_the_table(spark, sf_dir):
+    plain = spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()
+    by = {(r.conv_id, r.turn): r.text for r in plain}
+    got = quote_linking.quoting_query(spark, sf_dir).collect()
+    assert len(got) == len(by) and sum(r.n_linked for r in got) > len(by) / 4
+    for r in got:
+        assert r.text == by[r.conv_id, r.turn].strip()
+        if r.turn:
+            s = (r.turn * 7 + r.conv_id) % r.turn
+            tokens = re.findall(r"\w+", by[r.conv_id, s].lower())
+            same = [t for t in range(r.turn) if re.findall(r"\w+", by[r.conv_id, t].lower()) == tokens]
+            assert r.reply_to == (max(same) if len(tokens) > 1 else r.reply_to)
+
+
 def test_reply_order_is_depth_first():
     rng = random.Random(5)
     for _ in range(100):
@@ -435,8 +564,8 @@ def test_reply_order_is_depth_first():
 
 def test_conversations_of_odd_tables(spark):
     schema = "conv_id long, turn long, role string, text string, own int, quotes int, position int"
-    rows = [(1, 0, None, None, 1, 1, 1), (1, 1, "user", "", 1, 1, 1), (1, 1, "user", "", 1, 1, 1), (1, 2, "user", quote("gone and lost"), 1, 1, 1), (None, 0, "user", "x", 1, 1, 1), (2, None, "user", "x", 1, 1, 1), (3, 5, "user", "word " * 100_000, 1, 1, 1), (3, 5, "assistant", "tie of turns", 1, 1, 1)]
+    rows = [(1, 0, None, None, 1, 1, 1), (1, 1, "user", "", 1, 1, 1), (1, 1, "user", "", 1, 1, 1), (1, 2, "user", quote("gone and lost"), 1, 1, 1), (None, 0, "user", "x", 1, 1, 1), (2, None, "user", "x", 1, 1, 1), (3, 5, "user", "word " * 100_000, 1, 1, 1), (3, 5, "assistant", "tie of turns", 1, 1, 1), (3, 5, "assistant", "another tie", 1, 1, 1)]
     out = quote_linking.conversations(spark.createDataFrame(rows, schema)).collect()
-    assert sorted((r.conv_id, r.turn, r.position) for r in out) == [(1, 0, 0), (1, 1, 1), (1, 2, 2), (3, 5, 0), (3, 5, 1)]
+    assert sorted((r.conv_id, r.turn, r.position) for r in out) == [(1, 0, 0), (1, 1, 1), (1, 2, 2), (3, 5, 0), (3, 5, 1), (3, 5, 2)]
     assert next(r for r in out if r.turn == 2).text == ""
     assert quote_linking.conversations(spark.createDataFrame([], schema)).count() == 0
