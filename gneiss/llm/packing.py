@@ -1,32 +1,36 @@
 """Packing of documents into training windows by non-negative least squares over length combinations.
 
-1. A text longer than a window gives full windows of its own; what is left is a piece.  Piece lengths are rounded
-   up to ``BINS``-ths of a window and counted: a histogram of fixed size, whatever the data.
+1. Texts are encoded, and cut into pieces of at most a window.  Piece lengths are rounded up to ``BINS``-ths of a window
+   and counted: a histogram of fixed size, whatever the data.  Each task numbers its pieces of a length, and pieces are
+   written with their tokens.
 2. All combinations of at most ``DEPTH`` binned lengths that fill a window exactly are enumerated.  Non-negative
    least squares gives how often to use each so that the uses of each length come to its count.
 3. The solution is rounded down; what is left of the histogram is packed greedily, the longest length that fits first.
-4. Pieces of each length are numbered and take their windows by number.  The numbering is by hashed bucket, so no
-   task sorts more than about ``BUCKET_ROWS`` pieces.
+4. Pieces of each length take their windows by number, the task's first one added, and meet there: one shuffle of
+   tokens, by window.
 
-Lengths are UTF-8 bytes, which are the tokens of a byte-level model, plus one separator a text.  ``token_counts``
-gives the counts of a byte-pair vocabulary instead.
+Tokens are UTF-8 bytes, those of a byte-level model, with a separator after each text, the byte 255, which no text has.
+``vocabulary`` gives those of a byte-pair vocabulary file instead.
 """
 
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gneiss.llm import kernels as K
 from gneiss.llm.shared import documents, written
 
 CAPACITY = 8192
 BINS = 64
 DEPTH = 4
-BUCKET_ROWS = 500_000
+SEPARATOR = b"\xff"
 
 
 def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
@@ -122,68 +126,113 @@ def slots(made: list[tuple[np.ndarray, int]], first_window: int = 0) -> list[tup
     return rows
 
 
-def byte_lengths(text: Column) -> Column:
-    """Bytes of the text and a separator; null for a null or empty text."""
-    return F.when(F.octet_length(text) > 0, F.octet_length(text).cast("long") + 1)
+#: The tokens of each text, a separator last, as bytes of a fixed number a token.
+Encode = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
-def token_counts(ranks_path: str, pattern: str) -> object:
-    """A pandas function text -> tokens of a byte-pair vocabulary file (base64 token and rank a line), a separator included."""
-    encodings: dict[str, object] = {}
+def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, bounds by text) where each byte is a token."""
+    raw, bounds, _ = K.strings(texts)
+    sizes = np.diff(bounds)
+    out = np.full(int(sizes.sum()) + len(sizes), SEPARATOR[0], np.uint8)
+    ends = np.cumsum(sizes + 1)
+    inside = np.ones(len(out), bool)
+    inside[ends - 1] = False
+    out[inside] = raw[bounds[0] : bounds[-1]]
+    return out, np.concatenate(([0], ends))
 
-    @F.pandas_udf("long")
-    def count(texts):  # noqa: ANN001, ANN202
-        import tiktoken
 
-        if ranks_path not in encodings:
-            with open(ranks_path, "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            encodings[ranks_path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return texts.map(lambda t: len(encodings[ranks_path].encode_ordinary(t)) + 1 if t else None)
-
-    return count
+def vocabulary(ranks_path: str, pattern: str) -> Encode:
+    """Tokens of a byte-pair vocabulary file (base64 token and rank a line), the number after the last one as separator.
 
+    The file is read where the texts are, so it must be at the same path on every executor.
+    """
+    made: list[tuple[object, int]] = []
 
-def pack(docs: DataFrame, length: Column | None = None, capacity: int = CAPACITY, bins: int = BINS, depth: int = DEPTH) -> DataFrame:
-    """(window_id, slot, doc_id, start, n): tokens [start, start + n) of a document stand in a slot of a window.
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not made:
+            import tiktoken
 
-    Every token of every document is in exactly one window, and no window holds more than ``capacity``.
-    ``length`` gives a row's tokens; by default its bytes and a separator.  Rows with a null doc_id or text and empty
-    texts are not packed.  Rows that repeat a doc_id are packed each.  A text longer than a window fills windows of
-    its own and its rest shares one.  An empty table gives no rows.  Other columns are ignored.
+            with open(ranks_path, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            made.append((tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1))
+        found, end = made[0]
+        rows = [[*found.encode_ordinary(t), end] for t in texts.to_pylist()]
+        bounds = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
+        return np.array([t for r in rows for t in r], np.uint32), bounds
+
+    return encode
+
+
+_PIECES = "block long, bin int, number long, doc_id long, start long, n int, tokens binary"
+_ARROW = pa.schema([("block", pa.int64()), ("bin", pa.int32()), ("number", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())])
+
+
+def _cut(encode: Encode, capacity: int, bins: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pieces of the texts, numbered by bin within the task, which is a block."""
+    unit = capacity // bins
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, used = TaskContext.get().partitionId(), np.zeros(bins + 1, np.int64)
+        for b in batches:
+            ids = b.column("doc_id").to_numpy()
+            for row, end, _, _ in K.chunks(b.column("text")):
+                tokens, bounds = encode(b.column("text").slice(row, end - row))
+                sizes = np.diff(bounds)
+                per = -(-sizes // capacity)
+                doc = np.repeat(np.arange(end - row), per)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * capacity
+                n = np.minimum(capacity, sizes[doc] - start)
+                at = -(-n // unit)
+                # pieces of a bin follow each other
+                order = np.argsort(at, kind="stable")
+                counts = np.bincount(at, minlength=bins + 1)
+                number = np.empty(len(at), np.int64)
+                number[order] = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(used, counts)
+                used += counts
+                # the texts follow each other, so their pieces cut the tokens at ever later places
+                offsets = np.append(bounds[:-1][doc] + start, len(tokens)) * tokens.itemsize
+                data = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(tokens)])
+                yield K.batch(_ARROW, np.full(len(doc), block), at.astype(np.int32), number, ids[row:end][doc].astype(np.int64), start, n.astype(np.int32), data)
+
+    return run
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, bins: int = BINS, depth: int = DEPTH, encode: Encode = as_bytes) -> DataFrame:
+    """(window_id, n_tokens, doc_ids, starts, lengths, tokens): the windows, filled.
+
+    The i-th part of a window has ``lengths[i]`` tokens of the document ``doc_ids[i]``, from its token ``starts[i]`` on;
+    ``tokens`` has all parts' one after another, a byte each, or four, little end first, of a vocabulary.  Every token
+    of every document, and a separator after its last, is in exactly one window, and no window has more than
+    ``capacity``.
+
+    Rows with a null doc_id or text and empty texts are not packed.  Rows that repeat a doc_id, or a text too, are
+    packed each.  A text longer than a window fills windows of its own and its rest shares one.  Which of equally long
+    pieces share a window is left to the order they are read in.  An empty table gives no rows.  Other columns are
+    ignored.
     """
     if capacity % bins:
         raise ValueError("capacity must be a multiple of bins")
-    spark, unit = docs.sparkSession, capacity // bins
-    sized = docs.where("doc_id is not null").select("doc_id", (byte_lengths(docs["text"]) if length is None else length).alias("size"), F.xxhash64("doc_id", "text").alias("h"))
-    sized = written(sized.where("size > 0").withColumn("full", F.expr(f"size div {capacity}")).withColumn("rest", F.expr(f"cast(size % {capacity} as int)")).withColumn("bin", F.expr(f"cast(ceil(rest / {unit}) as int)")), "sizes")
-    rows = sized.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()  # at most one row a bin
+    spark = docs.sparkSession
+    known = docs.where("doc_id is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    pieces = written(known.mapInArrow(_cut(encode, capacity, bins), _PIECES), "pieces")
+    counts = pieces.groupBy("bin", "block").agg(F.count(F.lit(1)).alias("c"))
+    before = Window.partitionBy("bin").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # a row a task and length
+    offsets = written(counts.select("bin", "block", "c", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset")), "offsets")
     histogram = np.zeros(bins, np.int64)
-    for r in rows:
-        if r.bin:
-            histogram[r.bin - 1] = r.n
-    buckets = int(histogram.sum()) // BUCKET_ROWS + 1
-
-    numbered = sized.where("bin > 0").withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int"))
-    offsets = numbered.groupBy("bin", "bucket").agg(F.count(F.lit(1)).alias("c"))
-    before = Window.partitionBy("bin").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.select("bin", "bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("bin", "bucket").orderBy("h", "doc_id")
-    numbered = numbered.withColumn("number", F.row_number().over(inside) - 1).join(offsets, ["bin", "bucket"]).withColumn("number", F.col("number") + F.col("offset"))
-
-    made = plan(histogram, depth)
-    table = spark.createDataFrame(slots(made), "bin int, lo long, hi long, each long, window long, slot long")
+    for r in offsets.groupBy("bin").agg(F.sum("c").alias("n")).collect():  # at most one row a bin
+        histogram[r.bin - 1] = r.n
+    table = spark.createDataFrame(slots(plan(histogram, depth)), "bin int, lo long, hi long, each long, window long, slot long")
+    numbered = pieces.join(offsets.select("bin", "block", "offset"), ["bin", "block"]).withColumn("number", F.col("number") + F.col("offset"))
     # the table has at most bins x combinations in use rows, so it is broadcast whatever the data
     placed = numbered.join(F.broadcast(table), "bin").where("number >= lo and number < hi")
-    placed = placed.select(F.expr("window + (number - lo) div each").alias("window_id"), F.expr("cast(slot + (number - lo) % each as int)").alias("slot"), "doc_id", F.expr(f"full * {capacity}").alias("start"), F.col("rest").cast("long").alias("n"))
-
-    own = sized.where("full > 0").withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int"))
-    sums = own.groupBy("bucket").agg(F.sum("full").alias("c"))
-    sums = sums.select("bucket", F.coalesce(F.sum("c").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))  # one row a bucket
-    order = Window.partitionBy("bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = own.withColumn("upto", F.sum("full").over(order)).join(sums, "bucket").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)))
-    own = own.select((F.lit(sum(n for _, n in made)) + F.col("offset") + F.col("upto") - F.col("full") + F.col("i")).cast("long").alias("window_id"), F.lit(0).alias("slot"), "doc_id", (F.col("i") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n"))
-    return placed.unionByName(own)
+    part = F.struct(F.expr("slot + (number - lo) % each").alias("slot"), "doc_id", "start", "n", "tokens")
+    # a window has at most one capacity of tokens, so what is gathered is bounded
+    windows = placed.groupBy(F.expr("window + (number - lo) div each").alias("window_id")).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    return windows.select("window_id", F.expr("cast(aggregate(parts, 0, (a, p) -> a + p.n) as int)").alias("n_tokens"), F.col("parts.doc_id").alias("doc_ids"), F.col("parts.start").alias("starts"), F.col("parts.n").alias("lengths"), F.expr("aggregate(parts, binary(''), (a, p) -> concat(a, p.tokens))").alias("tokens"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
