@@ -34,10 +34,10 @@ def chunks(files: DataFrame, symbols: DataFrame, granularity: str = "function")
         spans = whole
     else:
         sections = texts.markdown_sections(files.where("path like '%.md'")).select("path", F.lit("doc-section").alias("kind"), "name", "start_line", "end_line")
-        declared = symbols.where("role = 'definition' and kind <> 'variable'").groupBy("path", "line").agg(F.min("name").alias("name"), F.min_by("kind", "name").alias("of"))
+        declared = symbols.where("role = 'definition' and kind not in ('field', 'property', 'enum-variant')").groupBy("path", "line").agg(F.min("name").alias("name"), F.min_by("kind", "name").alias("of"))
         following = F.lead("line").over(Window.partitionBy("path").orderBy("line")) - 1
         declared = declared.withColumn("next", following).join(files.select("path", count.alias("n")), "path")
-        kind = F.when(F.col("of").isin("function", "method"), "function").otherwise("type")
+        kind = F.when(F.col("of") == "function", "function").otherwise("type")
         parts = sections.unionByName(declared.select("path", kind.alias("kind"), "name", F.col("line").alias("start_line"), F.coalesce("next", "n").alias("end_line")))
         spans = parts.unionByName(whole.join(parts.select("path").distinct(), "path", "left_anti"))
     text = F.array_join(F.slice(F.split("content", "\n"), F.col("start_line").cast("int"), (F.col("end_line") - F.col("start_line") + 1).cast("int")), "\n")

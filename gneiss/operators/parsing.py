@@ -1,7 +1,8 @@
 """Symbols, imports and complexity out of source text.
 
-Python is parsed exactly by ``ast``.  For Rust, TypeScript and JavaScript, Go and Java strings and comments are masked
-and declarations are recognised by shape, with brackets matched; macros and unusual layouts can be missed.
+Python is parsed exactly by ``ast``.  For Rust, TypeScript and JavaScript, Go and Java strings and comments are masked,
+brackets matched, and declarations of each level recognised by shape once what their braces hold is blanked; macros
+and unusual layouts can be missed.
 """
 
 from __future__ import annotations
@@ -107,10 +108,10 @@ def _python(source: str) -> tuple[list[Symbol], list[Import]]:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             put(node.name, "function", node.lineno, python_complexity(node))
         elif isinstance(node, ast.ClassDef):
-            put(node.name, "class", node.lineno, 0)
+            put(node.name, "class", node.lineno, 1)
             for x in node.body:
                 if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)) and not x.name.startswith("_"):
-                    symbols.append(("definition", x.name, "method", x.lineno, python_complexity(x)))
+                    symbols.append(("definition", x.name, "function", x.lineno, python_complexity(x)))
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):
             imports += [(a.name, [a.asname or a.name]) for a in node.names]
@@ -119,90 +120,243 @@ def _python(source: str) -> tuple[list[Symbol], list[Import]]:
     return symbols, imports
 
 
-_DECLARED = {
-    "rust": re.compile(r"(?P<out>\bpub(?:\s*\([^)]*\))?\s+)?(?:(?:async|unsafe|default|extern(?:\s*\"[^\"]*\")?)\s+)*(?:const\s+(?=fn\b))?\b(?P<word>fn|struct|enum|trait|const|static|type|mod)\s+(?:mut\s+)?(?P<name>[A-Za-z_]\w*)"),
-    "typescript": re.compile(r"(?P<out>\bexport\s+(?:default\s+)?)?(?:(?:declare|abstract|async)\s+)*\b(?P<word>function\*?|class|interface|type|enum|const|let|var)\s+(?P<name>[A-Za-z_$][\w$]*)"),
-    "go": re.compile(r"^(?P<word>func|type|const|var)\s+(?:\((?P<of>[^)]*)\)\s*)?(?P<name>[A-Za-z_]\w*)", re.M),
-    "java": re.compile(r"(?P<out>\bpublic\s+)?(?:(?:abstract|final|static|sealed)\s+)*\b(?P<word>class|interface|enum|record)\s+(?P<name>[A-Za-z_]\w*)"),
-}
-_DECLARED["javascript"] = _DECLARED["typescript"]
-_KINDS = {"fn": "function", "func": "function", "function": "function", "function*": "function", "struct": "struct", "enum": "enum", "trait": "trait", "const": "constant", "static": "static", "type": "type-alias", "mod": "module", "class": "class", "interface": "interface", "record": "class", "let": "variable", "var": "variable"}
-_JAVA_METHOD = re.compile(r"(?P<out>\bpublic\s+)?(?:(?:private|protected|static|final|abstract|synchronized|default)\s+)*(?:<[^>]*>\s*)?[A-Za-z_][\w.<>\[\], ?]*\s+(?P<name>[A-Za-z_]\w*)\s*\(")
-_TS_METHOD = re.compile(r"^[ \t]*(?:(?:public|private|protected|static|async|readonly|get|set)\s+)*(?P<name>#?[A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\(", re.M)
-_KEYWORDS = frozenset("if for while switch catch return new else do try throw function constructor super await typeof synchronized".split())
-
-
-def _body(masked: str, partner: dict[int, int], at: int, stop: int | None = None) -> tuple[int, int] | None:
-    """Place of the braces that follow a declaration before it ends."""
-    depth_end = len(masked) if stop is None else stop
-    while at < depth_end:
-        c = masked[at]
-        if c == "{":
-            return (at, partner[at]) if at in partner else None
-        if c in "([" and at in partner:
-            at = partner[at]
-        elif c == ";":
-            return None
-        at += 1
-    return None
+_KINDS = {"fn": "function", "function": "function", "struct": "struct", "enum": "enum", "trait": "trait", "const": "constant", "static": "constant", "type": "type-alias", "mod": "module", "class": "class", "interface": "interface", "record": "class"}
+_RUST_ITEM = re.compile(r"(?P<out>\bpub(?:\s*\([^)]*\))?\s+)?(?:\b(?:async|unsafe|default|const(?=\s+(?:async|unsafe|extern|fn)\b)|extern)\b\s+)*\b(?:(?P<word>fn|struct|enum|trait|const|static|type|mod)\s+(?:mut\s+)?(?P<name>[A-Za-z_]\w*)|impl\b)")
+_RUST_FIELD = re.compile(r"\s*(?:pub(?:\s*\([^)]*\))?\s+)?([A-Za-z_]\w*)\s*:")
+_TS_ITEM = re.compile(r"(?P<out>\bexport\s+(?:default\s+)?)?(?:\b(?:declare|abstract|async)\s+)*\b(?P<word>function|class|interface|type|enum|const|let|var)\b\s*(?:\*\s*)?(?:enum\s+)?(?P<name>[A-Za-z_$][\w$]*)?")
+_TS_VALUE = re.compile(r"\s*(?P<name>[A-Za-z_$][\w$]*)\s*!?\s*(?::[^=]*(?:=>[^=]*)*)?(?P<set>=(?!=))?\s*")
+_TS_MEMBER = re.compile(r"(?:(?:public|private|protected|static|async|readonly|override|abstract|declare|get|set|accessor)\s+(?![=(:;?!]))*(?:\*\s*)?(?P<name>#?[A-Za-z_$][\w$]*)\s*[?!]?\s*(?:<[^<>]*(?:<[^<>]*>[^<>]*)*>\s*)?(?P<after>\(|[:=;,]|(?=[\n}])|$)")
+_GO_ITEM = re.compile(r"^(?:func\s+(?P<of>\([^)]*\)\s*)?(?P<name>[A-Za-z_]\w*)|type\s+(?P<type>[A-Za-z_]\w*)|type\s*(?P<group>\())", re.M)
+_JAVA_ITEM = re.compile(r"(?P<out>\bpublic\s+)?(?:(?:abstract|final|static|sealed|private|protected|strictfp)\s+)*\b(?P<word>class|interface|enum|record)\s+(?P<name>[A-Za-z_]\w*)")
+_JAVA_METHOD = re.compile(r"(?P<mods>(?:\b(?:public|private|protected|static|final|abstract|synchronized|default|native)\s+)*)(?:<[^>]*>\s*)?(?<![\w.])(?!(?:return|new|else|throw|public|private|protected|static|final|abstract|synchronized|default|native)\b)[A-Za-z_][\w.<>\[\], ?]*\s+(?P<name>[A-Za-z_]\w*)\s*\(")
+_JAVA_FIELD = re.compile(r"(?:^|[;}])\s*(?:@\w+(?:\([^()]*\))?\s+)*(?:(?:public|private|protected|static|final|transient|volatile)\s+)*(?!(?:return|throw|package|import|class|interface|enum|record)\b)[A-Za-z_][\w.]*(?:<[^;{}()=]*>)?(?:\[\])*\s+(?P<name>[A-Za-z_]\w*)\s*(?=[=;,\[])")
 
 
-def _others(source: str, language: str) -> tuple[list[Symbol], list[Import]]:
-    masked = mask(source, language)
-    partner, line = brackets(masked), Lines(source)
-    symbols: list[Symbol] = []
-    bodies = sorted((a, b) for a, b in partner.items() if masked[a] == "{")
-
-    def owner(at: int) -> tuple[int, int] | None:
-        """The innermost braces around a place."""
-        best = None
-        for a, b in bodies:
-            if a >= at:
-                break
-            if b > at:
-                best = (a, b)
-        return best
-
-    def add(name: str, kind: str, at: int, out: bool, inside: tuple[int, int] | None) -> None:
-        complexity = 1 + len(_BRANCH[language].findall(masked[inside[0] : inside[1]])) if inside and kind in ("function", "method") else 0
-        symbols.append(("definition", name, kind, line(at), complexity))
-        if out:
-            symbols.append(("export", name, kind, line(at), complexity))
+class _Source:
+    """A text with its strings and comments masked, its brackets matched, and the symbols found in it."""
 
-    for m in _DECLARED[language].finditer(masked):
-        name, word, around = m["name"], m["word"], owner(m.start())
-        inside = _body(masked, partner, m.end())
+    def __init__(self, source: str, language: str) -> None:
+        self.language = language
+        masked = mask(source, language)
+        partner = brackets(masked)
         if language == "rust":
-            if around is not None:
-                head = masked[masked.rfind("\n", 0, masked.rfind("\n", 0, around[0]) + 1 or around[0]) + 1 : around[0]]
-                if not re.search(r"\b(?:impl|trait)\b", masked[max(0, around[0] - 300) : around[0]].rpartition("}")[2].rpartition(";")[2]) or owner(around[0]) is not None or word != "fn":
-                    continue
-                del head
-            add(name, _KINDS[word], m.start("word"), bool(m["out"]), inside)
-        elif language in ("typescript", "javascript"):
-            if around is not None:
+            # attributes hold words that declare nothing
+            for m in reversed(list(re.finditer(r"#!?\[", masked))):
+                if (end := partner.get(m.end() - 1)) is not None:
+                    masked = masked[: m.start()] + re.sub(r"[^\n]", " ", masked[m.start() : end + 1]) + masked[end + 1 :]
+            partner = brackets(masked)
+        self.masked, self.partner, self.line = masked, partner, Lines(source)
+        self.symbols: list[Symbol] = []
+
+    def shallow(self, lo: int, hi: int, kinds: str = "{") -> str:
+        """The text from lo to hi, places kept, with the insides of these brackets blanked."""
+        out, at = [], lo
+        for m in re.compile(f"[{re.escape(kinds)}]").finditer(self.masked, lo, hi):
+            end = self.partner.get(m.start(), -1)
+            if m.start() >= at and end > 0:
+                out += [self.masked[at : m.end()], re.sub(r"[^\n]", " ", self.masked[m.end() : end])]
+                at = end
+        return "".join([*out, self.masked[at:hi]])
+
+    def end(self, at: int, hi: int, stops: str = "{;") -> int:
+        """Place of the first of these outside round and square brackets."""
+        while at < hi and self.masked[at] not in stops:
+            at = self.partner.get(at, at) + 1 if self.masked[at] in "([" else at + 1
+        return at
+
+    def add(self, name: str, kind: str, at: int, out: bool, body: tuple[int, int] | None = None, complexity: int = 1) -> None:
+        if body is not None:
+            complexity = 1 + len(_BRANCH[self.language].findall(self.masked[body[0] : body[1]]))
+        self.symbols.append(("definition", name, kind, self.line(at), complexity))
+        if out:
+            self.symbols.append(("export", name, kind, self.line(at), complexity))
+
+    def parts(self, lo: int, hi: int) -> Iterator[tuple[int, str]]:
+        """(place, text) of what commas outside brackets part."""
+        text, at = self.shallow(lo, hi, "({["), 0
+        for m in re.finditer(r"[^,]+", text):
+            lead = len(m[0]) - len(m[0].lstrip())
+            if m[0].strip():
+                yield lo + m.start() + lead, self.masked[lo + m.start() + lead : lo + m.end()]
+
+    # --- Rust
+
+    def rust(self, lo: int, hi: int) -> None:
+        """Items of the file, a module or an impl; what functions and traits hold is theirs."""
+        text, at = self.shallow(lo, hi), 0
+        while m := _RUST_ITEM.search(text, at):
+            stop = self.end(lo + m.end(), hi, ";" if m["word"] in ("const", "static", "type") else "{;")
+            body = (stop, self.partner[stop]) if stop in self.partner else None
+            at = (body[1] if body else stop) - lo + 1
+            if m["word"] is None:
+                if body:
+                    self.rust(body[0] + 1, body[1])
+                continue
+            start = lo + m.start() + len(m[0]) - len(m[0].lstrip())
+            self.add(m["name"], _KINDS[m["word"]], start, bool(m["out"]), (body or (stop, stop)) if m["word"] == "fn" else None)
+            if body and m["word"] == "mod":
+                self.rust(body[0] + 1, body[1])
+            elif body and m["word"] in ("struct", "enum"):
+                for place, part in self.parts(body[0] + 1, body[1]):
+                    found = (_RUST_FIELD if m["word"] == "struct" else re.compile(r"\s*([A-Za-z_]\w*)")).match(part)
+                    if found:
+                        self.add(found[1], "field" if m["word"] == "struct" else "enum-variant", place, False, complexity=0)
+
+    # --- TypeScript and JavaScript
+
+    def _statement(self, text: str, at: int) -> int:
+        """End of a statement in shallow text: a semicolon, or a line end that nothing goes on from."""
+        for m in re.compile(r";|\n").finditer(text, at):
+            before, after = text[at : m.start()].rstrip()[-1:], text[m.end() :].lstrip()[:1]
+            if m[0] == ";" or (before not in tuple(",=+-*/&|?:(<") and after not in tuple(".?:&|+*/,=)]")):
+                return m.start()
+        return len(text)
+
+    def _is_function(self, at: int, hi: int) -> bool:
+        value = re.compile(r"\s*(?:async\b\s*)?(?:<[^<>]*>\s*)?").match(self.masked, at).end()
+        if re.compile(r"function\b|[A-Za-z_$][\w$]*\s*=>").match(self.masked, value):
+            return True
+        return self.masked[value : value + 1] == "(" and value in self.partner and re.compile(r"\s*(?::[^;={}]*)?=>").match(self.masked, self.partner[value] + 1, hi) is not None
+
+    def typescript(self) -> None:
+        hi = len(self.masked)
+        text, at = self.shallow(0, hi, "({["), 0
+        while m := _TS_ITEM.search(text, at):
+            at = m.end()
+            word, name, out = m["word"], m["name"], bool(m["out"])
+            before = text[: m.start()].rstrip()
+            if before.endswith(tuple("=(,:?&|+-*/<>![.")) or re.search(r"\b(?:return|new|typeof|extends|implements|import)$", before) or name is None:
+                continue
+            start = m.start()
+            if word == "const" and re.search(r"\benum\s+[\w$]*$", m[0]):
+                word = "enum"
+            if word in ("const", "let", "var"):
+                end, place = self._statement(text, m.start("name")), m.start("name")
+                for part in text[place:end].split(","):
+                    found = _TS_VALUE.match(part)
+                    if found:
+                        value = place + found.end()
+                        function = bool(found["set"]) and self._is_function(value, place + len(part))
+                        if out or function:
+                            body = (value, place + len(part)) if function else None
+                            self.add(found["name"], "function" if function else "constant", place + found.start("name"), out, body)
+                    place += len(part) + 1
+                at = max(at, end)
+                continue
+            if word == "type":
+                if re.match(r"\s*(?:<|=)", text[m.end() :]):
+                    self.add(name, "type-alias", start, out)
+                    at = self._statement(text, m.end())
+                continue
+            opening = text.find("{", m.end())
+            if opening not in self.partner or ";" in text[m.end() : opening]:
                 continue
-            kind = _KINDS[word]
-            tail = masked[m.end() : m.end() + 400]
-            if word in ("const", "let", "var") and re.match(r"\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|[A-Za-z_$][\w$]*\s*=>)", tail):
-                kind = "function"
-            add(name, kind, m.start("word"), bool(m["out"]), inside if kind in ("function", "class") else None)
-            if word == "class" and inside:
-                for x in _TS_METHOD.finditer(masked, inside[0] + 1, inside[1]):
-                    if x["name"] not in _KEYWORDS and owner(x.start("name")) == inside and (held := _body(masked, partner, partner.get(x.end() - 1, x.end()), inside[1])):
-                        add(x["name"], "method", x.start("name"), False, held)
-        elif language == "go":
-            kind = "method" if m["of"] else _KINDS[word]
-            if word == "type" and (after := re.match(r"\s*(?:\[[^\]]*\]\s*)?(struct|interface)\b", masked[m.end() :])):
-                kind = after[1]
-            add(name, kind, m.start("word"), name[0].isupper(), inside)
-        else:
-            add(name, _KINDS[word], m.start("word"), bool(m["out"]), inside)
-            if inside:
-                for x in _JAVA_METHOD.finditer(masked, inside[0] + 1, inside[1]):
-                    if x["name"] not in _KEYWORDS and owner(x.start("name")) == inside and not re.match(r"\s*(?:return|new|else|throw)\b", x[0]):
-                        add(x["name"], "method", x.start("name"), bool(x["out"]), _body(masked, partner, partner.get(x.end() - 1, x.end()), inside[1]))
-    return symbols, _imports(source, mask(source, language, strings=False), language, symbols)
+            body = (opening, self.partner[opening])
+            self.add(name, _KINDS[word], start, out, body if word == "function" else None)
+            at = body[1] + 1
+            if word == "class":
+                self._class(*body)
+            elif word == "interface":
+                self._members(*body, "interface")
+            elif word == "enum":
+                for place, part in self.parts(body[0] + 1, body[1]):
+                    if found := re.match(r"[A-Za-z_$][\w$]*", part):
+                        self.add(found[0], "enum-variant", place, False, complexity=0)
+        for m in re.finditer(r"\bexport\s+(?:type\s+)?(?=\{)", text):
+            if m.end() in self.partner:
+                for place, part in self.parts(m.end() + 1, self.partner[m.end()]):
+                    if found := re.match(r"(?:type\s+)?([A-Za-z_$][\w$]*)", part):
+                        self.symbols.append(("export", found[1], "function", self.line(place), 1))
+        for m in re.finditer(r"\bmodule\.exports[\w$.]*\s*=\s*", text):
+            if text[m.end() : m.end() + 1] == "{" and m.end() in self.partner:
+                for place, part in self.parts(m.end() + 1, self.partner[m.end()]):
+                    if found := re.fullmatch(r"([A-Za-z_$][\w$]*)\s*(?::.*)?", part.strip(), re.S):
+                        self.symbols.append(("export", found[1], "function", self.line(place), 1))
+            elif found := re.match(r"[A-Za-z_$][\w$]*(?=\s*(?:[;\n]|$))", text[m.end() :]):
+                self.symbols.append(("export", found[0], "function", self.line(m.end()), 1))
+
+    def _class(self, lo: int, hi: int) -> None:
+        self._members(lo, hi, "class")
+
+    def _members(self, lo: int, hi: int, kind: str) -> None:
+        text, at = self.shallow(lo + 1, hi, "({["), 0
+        while at < len(text):
+            lead = re.compile(r"(?:[\s;,}]|@[\w$.]+(?:\(\s*\))?)*").match(text, at).end()
+            m = _TS_MEMBER.match(text, lead)
+            if m is None:
+                at = self._statement(text, lead) + 1
+                continue
+            place = lo + 1 + m.start()
+            if m["after"] == "(":
+                close = self.partner.get(lo + 1 + m.end() - 1, lo + 1 + m.end())
+                # a return type can have braces of its own, which a body follows
+                rest = re.compile(r"\s*(?::\s*(?:\{\s*\}[\[\]\s]*)?[^;{}\n]*)?[ \t]*").match(text, close - lo).end()
+                opening = lo + 1 + rest
+                body = (opening, self.partner[opening]) if text[rest : rest + 1] == "{" and opening in self.partner else None
+                if kind == "interface":
+                    self.add(m["name"], "function", place, False, complexity=0)
+                elif body and m["name"] != "constructor" and m["name"][0] != "#":
+                    self.add(m["name"], "function", place, False, body)
+                at = body[1] - lo if body else self._statement(text, rest) + 1
+                continue
+            if m["name"][0] != "#":
+                self.add(m["name"], "property", place, False, complexity=0)
+            at = self._statement(text, m.end("name")) + 1
+            if kind == "interface" and "," in text[m.end("name") : at]:
+                at = text.index(",", m.end("name")) + 1
+
+    # --- Go and Java
+
+    def go(self) -> None:
+        hi = len(self.masked)
+        for m in _GO_ITEM.finditer(self.shallow(0, hi)):
+            if m["name"]:
+                stop = self.end(m.end(), hi, "{\n")
+                body = (stop, self.partner[stop]) if stop in self.partner else (stop, stop)
+                self.add(m["name"], "function", m.start(), m["name"][0].isupper(), body)
+            elif m["type"]:
+                self._go_type(m["type"], m.start("type"), m.end())
+            elif (end := self.partner.get(m.start("group"))) is not None:
+                for x in re.finditer(r"^[ \t]*([A-Za-z_]\w*)\b(?=[^\n])", self.shallow(m.end(), end), re.M):
+                    self._go_type(x[1], m.end() + x.start(1), m.end() + x.end(1))
+
+    def _go_type(self, name: str, place: int, at: int) -> None:
+        found = re.compile(r"\s*(?:\[[^\]]*\]\s*(?=struct\b|interface\b))?(struct|interface)\s*\{").match(self.masked, at)
+        self.add(name, found[1] if found else "type-alias", place, name[0].isupper())
+        if found and found.end() - 1 in self.partner:
+            lo, hi = found.end(), self.partner[found.end() - 1]
+            # a field has a name before its type; what is embedded has none
+            shape = r"(?:^|;)[ \t]*([A-Za-z_]\w*)(?:[ \t]*,[ \t]*\w+)*[ \t]+(?=[\w*\[(<{])" if found[1] == "struct" else r"(?:^|;)[ \t]*([A-Za-z_]\w*)[ \t]*\("
+            for x in re.finditer(shape, self.shallow(lo, hi), re.M):
+                self.add(x[1], "field" if found[1] == "struct" else "function", lo + x.start(1), False, complexity=0)
+
+    def java(self) -> None:
+        hi = len(self.masked)
+        for m in _JAVA_ITEM.finditer(self.shallow(0, hi)):
+            opening = self.end(m.end(), hi)
+            body = (opening, self.partner[opening]) if opening in self.partner else None
+            self.add(m["name"], _KINDS[m["word"]], m.start(), bool(m["out"]))
+            if not body or m["word"] not in ("class", "record"):
+                continue
+            text = self.shallow(body[0] + 1, body[1])
+            lo = body[0] + 1
+            for x in _JAVA_METHOD.finditer(text):
+                stop = self.end(self.partner.get(lo + x.end() - 1, lo + x.end()), body[1])
+                if stop in self.partner or self.masked[stop : stop + 1] == ";":
+                    self.add(x["name"], "function", lo + x.start(), "public" in x["mods"].split(), (stop, self.partner.get(stop, stop)))
+            for x in _JAVA_FIELD.finditer(self.shallow(lo, body[1], "({[")):
+                self.add(x["name"], "field", lo + x.start("name"), False, complexity=0)
+
+
+def _others(source: str, language: str) -> tuple[list[Symbol], list[Import]]:
+    text = _Source(source, language)
+    if language == "rust":
+        text.rust(0, len(text.masked))
+    elif language in ("typescript", "javascript"):
+        text.typescript()
+    else:
+        getattr(text, language)()
+    return text.symbols, _imports(source, mask(source, language, strings=False), language, text.symbols)
 
 
 def _names(text: str) -> list[str]:
@@ -225,9 +379,11 @@ def _imports(source: str, code: str, language: str, symbols: list[Symbol]) -> li
     elif language in ("typescript", "javascript"):
         for m in re.finditer(r"\b(?:import|export)\s+(?:type\s+)?([^;'\"]*?)\s*\bfrom\s*['\"]([^'\"]+)['\"]", code):
             group = re.search(r"\{([^}]*)\}", m[1])
-            plain = re.sub(r"\{[^}]*\}", "", m[1]).replace("* as ", "")
-            out.append((m[2], [n for n in _names(plain) if n != "*"] + (_names(group[1]) if group else [])))
+            plain = re.sub(r"\{[^}]*\}", "", m[1])
+            # a re-export takes names for others, a namespace all of them
+            out.append((m[2], _names(plain) + (_names(group[1]) if group else [])))
         out += [(m[1], []) for m in re.finditer(r"\bimport\s*['\"]([^'\"]+)['\"]", code)]
+        out += [(m[1], []) for m in re.finditer(r"(?:^|;)[ \t]*require\(\s*['\"]([^'\"]+)['\"]\s*\)", code, re.M)]
         out += [(m[2], _names(m[1].strip("{} \t"))) for m in re.finditer(r"\b(?:const|let|var)\s+(\{[^}]*\}|[\w$]+)\s*=\s*require\(\s*['\"]([^'\"]+)['\"]\s*\)", code)]
     elif language == "go":
         for m in re.finditer(r"^import\s*(?:\(([^)]*)\)|([\w.]+\s+)?\"([^\"]+)\")", code, re.M):

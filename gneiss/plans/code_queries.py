@@ -23,15 +23,25 @@ from gneiss.streaming import incremental as I
 
 _SOURCES = oracle_tables("sources") + ", s AS (SELECT path, regexp_extract(path, '([a-z]+)$', 1) AS ext, regexp_extract(path, '/part_([0-9]+)', 1) AS k FROM sources)"
 _SYMBOLS = f"""{_SOURCES},
-roles AS (SELECT unnest(['definition', 'export']) AS role),
-found AS (SELECT path, concat('part_', k) AS name, 'function' AS kind, CASE WHEN ext = 'py' THEN 4 ELSE 3 END AS line, 3 AS complexity FROM s WHERE ext IN ('py', 'rs', 'ts')
-  UNION ALL SELECT path, concat('Part', k), 'function', 5, 2 FROM s WHERE ext = 'go'
-  UNION ALL SELECT path, concat('Part', k), 'class', 3, 0 FROM s WHERE ext = 'java'
-  UNION ALL SELECT path, 'get', 'method', 4, 1 FROM s WHERE ext = 'java'),
-parsed AS (SELECT path, role, name, kind, CAST(line AS BIGINT) AS line, CAST(complexity AS BIGINT) AS complexity FROM found CROSS JOIN roles)"""
+declared AS (SELECT * FROM (VALUES ('py', NULL, 'part_', 'function', 4, 3, true), ('rs', NULL, 'part_', 'function', 3, 3, true), ('ts', NULL, 'part_', 'function', 3, 3, true),
+  ('go', NULL, 'Part', 'function', 5, 2, true), ('java', NULL, 'Part', 'class', 3, 1, true), ('java', NULL, '=get', 'function', 4, 1, true),
+  ('rs', 0, 'S', 'struct', 7, 1, false), ('rs', 0, '=a', 'field', 7, 0, false), ('rs', 0, '=b', 'field', 7, 0, false),
+  ('rs', 1, 'E', 'enum', 7, 1, true), ('rs', 1, '=One', 'enum-variant', 8, 0, false), ('rs', 1, '=Two', 'enum-variant', 9, 0, false), ('rs', 2, '=from', 'function', 7, 1, false),
+  ('ts', 0, 'pass', 'function', 7, 1, true), ('ts', 1, 'I', 'interface', 7, 1, true), ('ts', 1, '=size', 'property', 7, 0, false), ('ts', 1, '=go', 'function', 7, 0, false),
+  ('ts', 2, 'C', 'class', 7, 1, false), ('ts', 2, '=held', 'property', 8, 0, false), ('ts', 2, '=run', 'function', 9, 1, false),
+  ('go', 0, 'T', 'struct', 11, 1, true), ('go', 0, '=Name', 'field', 12, 0, false), ('go', 1, 'a', 'type-alias', 12, 1, false), ('go', 1, 'B', 'interface', 13, 1, true),
+  ('go', 1, '=Go', 'function', 13, 0, false), ('go', 2, '=do', 'function', 11, 1, false)) AS t(ext, kind_of, name, kind, line, complexity, out)),
+found AS (SELECT path, CASE WHEN name LIKE '=%' THEN substr(name, 2) ELSE concat(name, k) END AS name, kind, line, complexity, out
+  FROM s JOIN declared USING (ext) WHERE kind_of IS NULL OR CAST(k AS INT) % 3 = kind_of
+  UNION ALL SELECT path, 'held', 'field', 7, 0, false FROM s WHERE ext = 'java' AND CAST(k AS INT) % 2 = 0),
+parsed AS (SELECT path, 'definition' AS role, name, kind, CAST(line AS BIGINT) AS line, CAST(complexity AS BIGINT) AS complexity FROM found
+  UNION ALL SELECT path, 'export', name, kind, CAST(line AS BIGINT), CAST(complexity AS BIGINT) FROM found WHERE out
+  UNION ALL SELECT path, 'export', concat('C', k), 'function', 11, 1 FROM s WHERE ext = 'ts' AND CAST(k AS INT) % 3 = 2)"""
 _FINDINGS = f"""{_SOURCES},
 findings AS (SELECT path, 4 AS start_line, 4 AS end_line, 'empty-catch' AS category, 0.95 AS confidence FROM s WHERE ext = 'ts'
+  UNION ALL SELECT path, 7, 7, 'passthrough-wrapper', 0.85 FROM s WHERE ext = 'ts' AND CAST(k AS INT) % 3 = 0
   UNION ALL SELECT path, 6, 6, 'always-true-condition', 0.92 FROM s WHERE ext = 'go' AND NOT regexp_matches(path, '{P.GENERATED}')
+  UNION ALL SELECT path, 11, 13, 'passthrough-wrapper', 0.85 FROM s WHERE ext = 'go' AND CAST(k AS INT) % 3 = 2 AND NOT regexp_matches(path, '{P.GENERATED}')
   UNION ALL SELECT path, 4, 6, 'passthrough-wrapper', 0.85 FROM s WHERE ext = 'java')"""
 _GEN = "(regexp_extract(lower(rtrim(area, '/')), '([^/]*)$', 1) IN ('__snapshots__', 'coverage', 'reports', 'results', 'snapshots'))"
 _DAILY = """ev AS (SELECT concat('k/', json_extract_string(props, '$.k'), '.py') AS path, ts, concat('user ', CAST(user_id AS VARCHAR)) AS author, event_type IN ('error', 'refund', 'purchase') AS fix, CAST(floor(value) AS BIGINT) AS additions FROM events),
@@ -63,7 +73,7 @@ QUERIES: dict[str, tuple[Query, str]] = {
     ),
     "naming_votes": (
         _on_repo(lambda r: S.naming_votes(S.symbols(_parsed(r)))),
-        _with(_SYMBOLS, "styles AS (SELECT kind, CASE WHEN regexp_matches(name, '^[A-Z]') THEN 'PascalCase' ELSE 'snake_case' END AS style, count(*) AS votes FROM parsed WHERE role = 'export' GROUP BY 1, 2)")
+        _with(_SYMBOLS, "styles AS (SELECT kind, CASE WHEN regexp_matches(name, '^[A-Z][A-Z0-9_]*$') THEN 'SCREAMING_SNAKE' WHEN regexp_matches(name, '^[A-Z]') THEN 'PascalCase' ELSE 'snake_case' END AS style, count(*) AS votes FROM parsed WHERE role = 'export' GROUP BY 1, 2)")
         + "SELECT kind, style, votes, row_number() OVER (PARTITION BY kind ORDER BY votes DESC, style) = 1 AS majority FROM styles",
     ),
     "slop_source_fixes": (
@@ -72,11 +82,9 @@ QUERIES: dict[str, tuple[Query, str]] = {
     ),
     "embedding_chunks": (
         _on_repo(lambda r: C.chunks(r.sources.where("content is not null"), S.symbols(_parsed(r))).select("path", "chunk_index", "kind", "name", "start_line", "end_line")),
-        _with(_SOURCES)
-        + """SELECT path, CAST(i AS BIGINT) AS chunk_index, kind, name, CAST(a AS BIGINT) AS start_line, CAST(b AS BIGINT) AS end_line FROM (
-          SELECT path, 0 AS i, 'function' AS kind, concat('part_', k) AS name, CASE WHEN ext = 'py' THEN 4 ELSE 3 END AS a, CASE ext WHEN 'py' THEN 8 WHEN 'rs' THEN 6 ELSE 7 END AS b FROM s WHERE ext IN ('py', 'rs', 'ts')
-          UNION ALL SELECT path, 0, 'function', concat('Part', k), 5, 11 FROM s WHERE ext = 'go'
-          UNION ALL SELECT path, 0, 'type', concat('Part', k), 3, 3 FROM s WHERE ext = 'java' UNION ALL SELECT path, 1, 'function', 'get', 4, 8 FROM s WHERE ext = 'java')""",
+        _with(_SYMBOLS, "heads AS (SELECT path, line, min(name) AS name, arg_min(kind, name) AS kind FROM parsed WHERE role = 'definition' AND kind NOT IN ('field', 'property', 'enum-variant') GROUP BY path, line)")
+        + """SELECT path, row_number() OVER w - 1 AS chunk_index, CASE kind WHEN 'function' THEN 'function' ELSE 'type' END AS kind, name, line AS start_line,
+          coalesce(lead(line) OVER w - 1, (SELECT len(string_split(s.content, chr(10))) FROM sources s WHERE s.path = heads.path)) AS end_line FROM heads WINDOW w AS (PARTITION BY path ORDER BY line)""",
     ),
     "slop_by_file": (_on_repo(lambda r: T.by_file(D.source_findings(r.sources))), _with(_FINDINGS) + "SELECT path, count(*) AS n, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM findings GROUP BY path"),
     "slop_unsuppressed": (
@@ -88,6 +96,12 @@ QUERIES: dict[str, tuple[Query, str]] = {
         ),
         _with(_FINDINGS) + r"SELECT path, CAST(start_line AS BIGINT) AS line, category FROM findings WHERE NOT (category = 'empty-catch' AND regexp_matches(path, '1\d*(_test)?\.ts$'))",
     ),
+    "stale_suppressions": (
+        _on_repo(lambda r: D.stale_suppressions(r.symbols.where("path like '%.rs'").select("path", "name", F.lit("dead_code").alias("lints"), F.col("line").alias("start_line"), F.col("line").alias("end_line")), r.imports.select("import_from", "name").withColumn("import_from", F.concat(F.lit("crate::"), F.regexp_replace(F.regexp_replace("import_from", r"\.[a-z.]+$", ""), "/", "::"), F.lit("::"), F.col("name")))).select("path", "start_line", "category", "reason")),
+        _with(oracle_tables("symbols", "imports"), r"used AS (SELECT DISTINCT name, string_split(regexp_replace(import_from, '\.[a-z.]+$', ''), '/') AS parts FROM imports)")
+        + """SELECT DISTINCT path, line AS start_line, 'stale-suppression' AS category, concat(name, ' is imported elsewhere, so dead_code can''t arise') AS reason
+        FROM symbols JOIN used USING (name) WHERE path LIKE '%.rs' AND len(list_filter(parts, lambda x: contains(path, concat('/', x)) OR starts_with(path, x))) > 0""",
+    ),
     "entry_points": (
         _on_repo(lambda r: E.entry_points(r.listing.unionByName(r.listing.sparkSession.createDataFrame([("pkg/__main__.py",), ("vite.config.ts",), ("src/main.rs",)], "path string")), r.listing.sparkSession.createDataFrame([("Cargo.toml", '[package]\nname = "gneiss"\n')], "path string, content string")).drop("line")),
         "SELECT * FROM (VALUES ('src/main.rs', 'binary', 'gneiss'), ('pkg/__main__.py', 'main', 'pkg'), ('vite.config.ts', 'framework-config', 'vite.config.ts')) AS t(path, kind, name)",

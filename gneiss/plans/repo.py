@@ -59,10 +59,15 @@ LISTING = f"""SELECT {_PATH} AS path FROM {{part}} UNION ALL SELECT path FROM (V
 
 SOURCES = f"""SELECT path, CASE ext
   WHEN 'py' THEN concat('import os', chr(10), chr(10), chr(10), 'def part_', k, '(x):', chr(10), '    if x and os:', chr(10), '        return 1', chr(10), '    return 0', chr(10))
-  WHEN 'rs' THEN concat('use std::fmt;', chr(10), chr(10), 'pub fn part_', k, '(x: i32) -> i32 {{{{', chr(10), '    if x > 0 {{{{ 1 }}}} else {{{{ 2 }}}}', chr(10), '}}}}', chr(10))
-  WHEN 'ts' THEN concat('import {{{{ a }}}} from "./a";', chr(10), chr(10), 'export function part_', k, '(x) {{{{', chr(10), '  try {{{{ a(x, 1); }}}} catch (e) {{{{}}}}', chr(10), '  return x ? 1 : 0;', chr(10), '}}}}', chr(10))
-  WHEN 'go' THEN concat('package p', chr(10), chr(10), 'import "fmt"', chr(10), chr(10), 'func Part', k, '(x int) int {{{{', chr(10), '  if true {{{{', chr(10), '    return 1', chr(10), '  }}}}', chr(10), '  return x', chr(10), '}}}}', chr(10))
-  WHEN 'java' THEN concat('import java.util.List;', chr(10), chr(10), 'public class Part', k, ' {{{{', chr(10), '    public int get(int x) {{{{', chr(10), '        return other(x);', chr(10), '    }}}}', chr(10), '}}}}', chr(10))
+  WHEN 'rs' THEN concat('use std::fmt;', chr(10), chr(10), 'pub fn part_', k, '(x: i32) -> i32 {{{{', chr(10), '    if x > 0 {{{{ 1 }}}} else {{{{ 2 }}}}', chr(10), '}}}}', chr(10),
+    CASE CAST(k AS INT) % 3 WHEN 0 THEN concat('/// Holds {{{{', chr(10), 'struct S', k, '<T> {{{{ pub a: Vec<(T, T)>, b: &str }}}}', chr(10))
+      WHEN 1 THEN concat('#[derive(Debug)]', chr(10), 'pub enum E', k, ' {{{{', chr(10), '    One,', chr(10), '    Two(u8, u8),', chr(10), '}}}}', chr(10)) ELSE concat('impl From<u8> for P {{{{', chr(10), '    fn from(v: u8) -> P {{{{ make(v) }}}}', chr(10), '}}}}', chr(10)) END)
+  WHEN 'ts' THEN concat('import {{{{ a }}}} from "./a";', chr(10), chr(10), 'export function part_', k, '(x) {{{{', chr(10), '  try {{{{ a(x, 1); }}}} catch (e) {{{{}}}}', chr(10), '  return x ? 1 : 0;', chr(10), '}}}}', chr(10),
+    CASE CAST(k AS INT) % 3 WHEN 0 THEN concat('export const pass', k, ' = (a, b) => call(a, b);', chr(10)) WHEN 1 THEN concat('export interface I', k, ' {{{{ size: number; go(): void }}}}', chr(10)) ELSE concat('class C', k, ' {{{{', chr(10), '  held = 1;', chr(10), '  run() {{{{ return `class No {{{{}}}}`; }}}}', chr(10), '}}}}', chr(10), 'module.exports = {{{{ C', k, ' }}}};', chr(10)) END)
+  WHEN 'go' THEN concat('package p', chr(10), chr(10), 'import "fmt"', chr(10), chr(10), 'func Part', k, '(x int) int {{{{', chr(10), '  if true {{{{', chr(10), '    return 1', chr(10), '  }}}}', chr(10), '  return x', chr(10), '}}}}', chr(10),
+    CASE CAST(k AS INT) % 3 WHEN 0 THEN concat('type T', k, ' struct {{{{', chr(10), '  Name string', chr(10), '  io.Reader', chr(10), '}}}}', chr(10)) WHEN 1 THEN concat('type (', chr(10), '  a', k, ' int', chr(10), '  B', k, ' interface {{{{ Go(x int) }}}}', chr(10), ')', chr(10)) ELSE concat('func (t *T) do(x int) {{{{', chr(10), '  os.Do(x)', chr(10), '}}}}', chr(10)) END)
+  WHEN 'java' THEN concat('import java.util.List;', chr(10), chr(10), 'public class Part', k, ' {{{{', chr(10), '    public int get(int x) {{{{', chr(10), '        return other(x);', chr(10), '    }}}}', chr(10),
+    CASE CAST(k AS INT) % 2 WHEN 0 THEN concat('    private final Map<String, Integer> held = null;', chr(10)) ELSE concat('    Part', k, '(int x) {{{{ super(x); }}}}', chr(10)) END, '}}}}', chr(10))
   END AS content
 FROM (SELECT {_PATH} AS path, CAST(p_partkey AS STRING) AS k, regexp_extract({_PATH}, '([a-z]+)$', 1) AS ext FROM {{part}})""".replace("{{{{", "{{").replace("}}}}", "}}")
 

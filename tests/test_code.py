@@ -21,24 +21,65 @@ def test_python_symbols():
     source = "import os, sys as s\nfrom ..a import b, c\n\ndef run(x):\n    if x and s:\n        return 1\n    elif x:\n        pass\n    else:\n        pass\n\nclass Big:\n    def go(self): ...\n    def _no(self): ...\n\ndef _own(): ...\n"
     symbols, imports = S.parse_source(source, "python")
     assert names("python", source, "export") == [("run", "function", 4), ("Big", "class", 12)]
-    assert ("definition", "go", "method", 13, 1) in symbols and ("definition", "_own", "function", 16, 1) in symbols
+    assert ("definition", "go", "function", 13, 1) in symbols and ("definition", "_own", "function", 16, 1) in symbols
     assert next(s[4] for s in symbols if s[1] == "run") == 5
     assert imports == [("os", ["os"]), ("sys", ["s"]), ("..a", ["b", "c"])]
     assert S.parse_source("def broken(:", "python") == ([], [])
 
 
-def test_other_languages():
-    rust = 'use a::{b, c as d};\nmod util;\n/* fn no() {} */\npub struct P { x: i32 }\npub(crate) enum E { A }\ntrait T {}\nconst N: &str = "fn no2() {}";\nimpl P {\n    pub fn get(&self) -> i32 { match self.x { 1 => 2, _ => 3 } }\n}\nfn main() { fn inner() {} }\n'
-    assert [n for n, *_ in names("rust", rust)] == ["util", "P", "E", "T", "N", "get", "main"]
-    assert [n for n, *_ in names("rust", rust, "export")] == ["P", "E", "get"]
+def test_rust_symbols():
+    rust = 'use a::{b, c as d};\nmod util;\n/* fn no() {} */\npub struct P { x: i32, pub(crate) y: Vec<(u8, u8)>,\n #[serde(type = "q")] z: [u8; 3] }\npub(crate) enum E { A, B(i32, u8),\n  #[doc] C { q: u8 } = 3 }\ntrait T { fn t(&self); }\nconst N: &str = "fn no2() {}";\nimpl<T> P where T: X {\n    pub fn get(&self) -> i32 { match self.x { 1 => 2, _ => 3 } }\n    type O = u8;\n}\nfn main() -> impl Fn(u8) { fn inner() {} struct I { z: u8 } }\nmod tests { pub async fn t1() { if a && b {} } }\nstruct U(i32);\nstatic mut G: [u8; 2] = [1, 2];\nlazy_static! { static ref X: u8 = 1; }\n'
+    want = [("util", "module", 2), ("P", "struct", 4), ("x", "field", 4), ("y", "field", 4), ("z", "field", 5), ("E", "enum", 6), ("A", "enum-variant", 6), ("B", "enum-variant", 6), ("C", "enum-variant", 7), ("T", "trait", 8), ("N", "constant", 9), ("get", "function", 11), ("O", "type-alias", 12), ("main", "function", 14), ("tests", "module", 15), ("t1", "function", 15), ("U", "struct", 16), ("G", "constant", 17)]
+    assert names("rust", rust) == want
+    assert [n for n, *_ in names("rust", rust, "export")] == ["P", "E", "get", "t1"]
+    assert {n: c for r, n, _, _, c in S.parse_source(rust, "rust")[0] if n in ("get", "t1", "x", "P")} == {"get": 3, "t1": 3, "x": 0, "P": 1}
     assert S.parse_source(rust, "rust")[1] == [("a::{b, c as d}", ["b", "c"]), ("util", ["util"])]
-    ts = "import x, { a as b } from './m';\nconst q = require('fs');\nexport const f = (x: number) => x ? 1 : 2;\nexport default class K {\n  get(a) { if (a) { return 1; } }\n}\nexport interface I { a: string }\ntype Z = 1;\nfunction h() {}\n"
-    assert names("typescript", ts) == [("q", "constant", 2), ("f", "function", 3), ("K", "class", 4), ("get", "method", 5), ("I", "interface", 7), ("Z", "type-alias", 8), ("h", "function", 9)]
-    assert S.parse_source(ts, "typescript")[1] == [("./m", ["x", "a"]), ("fs", ["q"])]
-    go = 'package p\nimport (\n\t"fmt"\n\t"a/b"\n)\ntype S struct{}\ntype R interface{}\nfunc (s *S) Do() { for {} }\nfunc low() {}\n'
-    assert names("go", go) == [("S", "struct", 6), ("R", "interface", 7), ("Do", "method", 8), ("low", "function", 9)] and S.parse_source(go, "go")[1] == [("fmt", ["fmt"]), ("a/b", ["b"])]
-    java = "import java.util.List;\npublic class A {\n  public int get(int x) { return x > 0 && x < 3 ? 1 : 2; }\n  private void no() { run(x); }\n}\n"
-    assert names("java", java, "export") == [("A", "class", 2), ("get", "method", 3)] and S.parse_source(java, "java")[0][2][4] == 3
+
+
+def test_typescript_symbols():
+    ts = """import x, { a as b } from './m';
+import * as ns from "n";
+const q = require('fs');
+export const f = (x: number): number => x ? 1 : 2;
+export const LIMIT = 3, other = function () { if (a) {} };
+export default class K extends L<M> {
+  private count: number = 0;
+  #secret = 1;
+  @Input() label?: string;
+  constructor(private a: A) { super(); }
+  get(a) { if (a) { return 1; } }
+  async load<T>(a: T): Promise<T> { return a && b; }
+  handler = (e) => { this.go(e); };
+}
+export interface I extends J { a: string; b?: { c: number }; run(x: number): void
+  d: () => void }
+type Z = 1 | 2;
+enum Color { Red, Green = "g" }
+function h() {}
+let arrow = async x => x;
+const obj = { function: 1, class: 2 };
+export { h, arrow as renamed };
+export { far } from './far';
+(function named() {})();
+"""
+    want = [("f", "function", 4), ("LIMIT", "constant", 5), ("other", "function", 5), ("K", "class", 6), ("count", "property", 7), ("label", "property", 9), ("get", "function", 11), ("load", "function", 12), ("handler", "property", 13), ("I", "interface", 15), ("a", "property", 15), ("b", "property", 15), ("run", "function", 15), ("d", "property", 16), ("Z", "type-alias", 17), ("Color", "enum", 18), ("Red", "enum-variant", 18), ("Green", "enum-variant", 18), ("h", "function", 19), ("arrow", "function", 20)]
+    assert names("typescript", ts) == want
+    assert [n for n, *_ in names("typescript", ts, "export")] == ["f", "LIMIT", "other", "K", "I", "h", "arrow", "far"]
+    assert {n: c for r, n, _, _, c in S.parse_source(ts, "typescript")[0] if n in ("f", "other", "get", "load", "run")} == {"f": 2, "other": 2, "get": 2, "load": 2, "run": 0}
+    assert S.parse_source(ts, "typescript")[1] == [("./m", ["x", "a"]), ("n", ["*"]), ("./far", ["far"]), ("fs", ["q"])]
+    js = "function foo() {}\nmodule.exports = { foo, bar: 2, baz() {} };\nmodule.exports.x = qux;\nrequire('side');\nconst c = class Named {};\n"
+    assert names("javascript", js) == [("foo", "function", 1)]
+    assert [n for n, *_ in names("javascript", js, "export")] == ["foo", "bar", "qux"] and S.parse_source(js, "javascript")[1] == [("side", [])]
+
+
+def test_go_and_java_symbols():
+    go = 'package p\nimport (\n\t"fmt"\n\t"a/b"\n)\ntype S struct {\n\tName string `json:"x"`\n\tX, Y int\n\t*Embedded\n\tFn func(a int) error\n}\ntype R interface {\n\tRead(p []byte) (int, error)\n\tio.Writer\n}\ntype (\n\tA int\n\tB struct { z int }\n)\nfunc (s *S) Do() { for {} }\nfunc low[T any](a struct{ x int }) map[string]int {\n\tif a && b {}\n}\nconst C = 1\n'
+    want = [("S", "struct", 6), ("Name", "field", 7), ("X", "field", 8), ("Fn", "field", 10), ("R", "interface", 12), ("Read", "function", 13), ("A", "type-alias", 17), ("B", "struct", 18), ("z", "field", 18), ("Do", "function", 20), ("low", "function", 21)]
+    assert names("go", go) == want and S.parse_source(go, "go")[1] == [("fmt", ["fmt"]), ("a/b", ["b"])]
+    assert [n for n, *_ in names("go", go, "export")] == ["S", "R", "A", "B", "Do"]
+    java = "import java.util.List;\n@Service\npublic class A extends B<C> {\n  private final List<String> xs = new ArrayList<>();\n  public static int N = 3, M;\n  public A(int x) { this.x = x; }\n  public int get(int x) { return x > 0 && x < 3 ? 1 : 2; }\n  private void no() { run(x); }\n  abstract <T> T gen(T t);\n}\ninterface I { int f(); }\nenum E { X, Y }\n"
+    assert sorted(names("java", java), key=lambda x: x[2]) == [("A", "class", 3), ("xs", "field", 4), ("N", "field", 5), ("get", "function", 7), ("no", "function", 8), ("gen", "function", 9), ("I", "interface", 11), ("E", "enum", 12)]
+    assert names("java", java, "export") == [("A", "class", 3), ("get", "function", 7)] and next(x[4] for x in S.parse_source(java, "java")[0] if x[1] == "get") == 3
 
 
 def test_parse_files_skips_what_it_should(spark):
@@ -64,7 +105,7 @@ PAIRS = [
     ("javascript", "empty-catch", "p.catch(() => {});", "p.catch(() => { log(); });"),
     ("java", "empty-catch", "try { a(); } catch (E e) { }", "try { a(); } catch (E e) { /* fine here */ }"),
     ("python", "empty-catch", "try:\n    a()\nexcept E:\n    pass\n", "try:\n    a()\nexcept E:\n    log()\n"),
-    ("rust", "empty-catch", "fn f() { let _ = parse(x); }", "fn f() { let _ = tx.send(1); }"),
+    ("rust", "empty-catch", "fn f() { let _ = parse(x); }", "fn f() { let _guard = parse(x); }"),
     ("rust", "empty-catch", "fn f() { if let Err(_) = go() {} }", "fn f() { if let Err(e) = go() { log(e); } }"),
     ("go", "empty-catch", "if err != nil {}", "if err != nil { return err }"),
     ("python", "tautological-test", "def test_a():\n    assert True\n", "def test_a():\n    assert run() is True\n"),
@@ -80,11 +121,47 @@ PAIRS = [
     ("python", "passthrough-wrapper", "def f(a, b):\n    return g(a, b)\n", "def f(a, b):\n    return g(b, a)\n"),
     ("typescript", "passthrough-wrapper", "function f(a) { return g(a); }", "function f(a) { return this.g(a); }"),
     ("rust", "passthrough-wrapper", "fn f(a: i32) -> i32 { g(a) }", "fn f(a: i32) -> i32 { g(a) + 1 }"),
-    ("go", "passthrough-wrapper", "func f(a int) int { return g(a) }", "func (s S) f(a int) int { return g(a) }"),
+    ("go", "passthrough-wrapper", "func f(a int) int { return g(a) }", "func (s S) f(a int) int { return s.g(a) }"),
+    ("go", "passthrough-wrapper", "func (s *S) f(a, b int, c T) int {\n\treturn os.g(a, b, c)\n}", "func f(a int) int {\n\tlog(a)\n\treturn g(a)\n}"),
+    ("go", "passthrough-wrapper", "func f() { g() }", "func f(a ...int) { g(a...) }"),
+    ("typescript", "passthrough-wrapper", "const f = (a, b) => g(a, b)", "const f = (a, b) => g(b, a)"),
+    ("typescript", "passthrough-wrapper", "const f = (a: string, b = 1): Promise<T> => { return api.g(a, b); };", "const f = <T>(a: T) => g(a);"),
+    ("typescript", "passthrough-wrapper", "xs.map((x) => go(x));", "xs.map((x) => go(x) + 1);"),
+    ("javascript", "passthrough-wrapper", "async function f(a) { g(a); }", "function f(a) { return await g(a); }"),
+    ("javascript", "passthrough-wrapper", "function f() { return a.b(1).c(); }", "function f(a) { /* as the api asks */ return g(a); }"),
+    ("rust", "passthrough-wrapper", "impl Y { fn from(x: X) -> Y { build(x) } }", "impl From<X> for Y { fn from(x: X) -> Y { build(x) } }"),
+    ("rust", "passthrough-wrapper", "impl Y { fn a(&self, mut x: Vec<u8>) -> R<T, E> { return inner::b(x); } }", "impl Y { fn a(&self, x: u8) -> u8 { self.b(x) } }"),
+    ("rust", "passthrough-wrapper", "fn f() { g() }", "fn f<T>(a: T) -> T { g(a) }"),
+    ("rust", "passthrough-wrapper", "fn f(a: u8) { g(a); }", "fn f(a: u8) { println!(a) }"),
+    ("rust", "passthrough-wrapper", "impl<F> Y where F: for<'a> Fn(&'a u8) { fn f(a: u8) { g(a) } }", "fn f(a: u8) { g(&a) }"),
+    ("java", "passthrough-wrapper", "class A { String f(List<String> a, int b) { return other.g(a, b); } }", "class A { String f(int a) { return super.f(a); } }"),
+    ("java", "passthrough-wrapper", "class A { void f() { g(); } }", "class A { A f(int a) { return new A(a); } }"),
+    ("python", "passthrough-wrapper", "class A:\n    @cached\n    def f(self, a, *b, **c):\n        return g(a, *b, **c)\n", "class A:\n    def f(self, a):\n        return self.g(a)\n"),
+    ("python", "passthrough-wrapper", "async def f(a=1):\n    g(a)\n", "def f(a):\n    'Says why.'\n    return g(a)\n"),
+    ("python", "passthrough-wrapper", "def f():\n    g()\n", "def f(a):\n    return g(a=a)\n"),
+    ("rust", "empty-catch", "fn f() { go().await.ok(); }", "fn f() { let x = go().ok(); }"),
+    ("rust", "empty-catch", "fn f() { let _: R = tx.send(1); }", "fn f() { let _ = m.lock().unwrap(); let _ = outcome; let _ = fs::remove_file(p); let _ = word_regex(); }"),
+    ("rust", "empty-catch", "fn f() {\n    a\n        .b(|x| { x; })\n        .ok();\n}", "fn f() { let _x = parse(); }"),
+    ("go", "empty-catch", "func f() {\n\t_ = g(x)\n}", "func f() {\n\ta, _ := g(x)\n}"),
+    ("go", "empty-catch", "if err := g(); err != nil {\n}", "if ok != nil {\n}"),
+    ("typescript", "tautological-test", "expect(x).toEqual( x )", "expect(f(x)).toEqual(f(x))"),
+    ("javascript", "tautological-test", "expect('a, b').toStrictEqual('a, b')", "expect(x).toBe(y)"),
+    ("rust", "tautological-test", 'debug_assert_eq!(a, a, "why {}", a);', "assert_eq!(a.b, a.b);"),
+    ("rust", "tautological-test", "assert!(true);", "assert!(truth);"),
+    ("java", "tautological-test", 'assertEquals("a, b", "a, b");', "assertEquals(a, b);"),
+    ("java", "tautological-test", "assertNull(null); ", "assertNotNull(found);"),
+    ("java", "tautological-test", 'assertFalse("why", false);', "assertFalse(failed);"),
+    ("go", "tautological-test", "require.Equal(t, want, want)", "require.Equal(t, want, got)"),
+    ("go", "tautological-test", 'assert.NotNil(t, "x")', "assert.Nil(t, err)"),
+    ("python", "tautological-test", "assert x == x\n", "assert f() == f()\n"),
+    ("python", "tautological-test", "assert 1\n", "assert False\n"),
+    ("python", "tautological-test", "self.assertFalse(False)\n", "self.assertTrue(False)\n"),
+    ("python", "tautological-test", "self.assertIs(a, a)\n", "self.assertIs(a, b)\n"),
     ("java", "passthrough-wrapper", "public int f(int a) { return g(a); }", "public int f(int a) { return g(a, 1); }"),
     ("python", "commented-out-code", "# x = 1\n# for y in z:\n#     go(y)\n", "# This is prose\n# about the thing\n# that follows\n"),
+    ("python", "commented-out-code", "def f():\n    #     if x:\n    #         go(x)\n    #     return x\n    pass\n", "# note(\n# this isn't\n# code\n"),
+    ("java", "commented-out-code", "/*\n * int a = 1;\n * run(a);\n * return a;\n */\n", "/**\n * int a = 1;\n * run(a);\n * return a;\n */\n"),
     ("typescript", "commented-out-code", "// const a = 1;\n// run(a);\n// return a;\n", "// TODO\n// const a = 1;\n// run(a);\n"),
-    ("rust", "stale-suppression", "#[allow(dead_code)]\nfn used() {}\nfn b() { used(); }", "#[allow(dead_code)]\nfn unused() {}\n"),
 ]
 
 
@@ -94,6 +171,15 @@ def test_detectors(language, category, bad, good):
     assert category not in [f[3] for f in D.detect(good, language)]
 
 
+def test_stale_suppressions(spark):
+    source = "#[allow(dead_code)]\n#[derive(Debug)]\npub struct Used;\n#[allow(unused, unused_must_use)]\n// why\npub(crate) fn helper() {}\n#[allow(dead_code, non_snake_case)]\nfn mixed() {}\n#[cfg_attr(x, allow(dead_code))]\nfn nested() {}\n#![allow(dead_code)]\nfn inner() {}\n#[allow(dead_code)]\nfn alone() {}\n#[allow(dead_code)]\nimpl Used {}\n"
+    assert [x[0] for x in D.allowed_names(source)] == ["Used", "helper", "alone"]
+    files = spark.createDataFrame([("crates/foo/src/helpers.rs", source), ("other/src/thing.rs", source), ("tests/t.rs", source), ("n.rs", None)], "path string, content string")
+    imports = spark.createDataFrame([("a.rs", "crate::helpers::helper", "helper"), ("a.rs", "crate::Used", "Used"), ("b.rs", "far::mixed", "mixed"), ("b.rs", None, "alone"), ("b.rs", "x::nested", "nested")], "path string, import_from string, name string")
+    found = D.stale_suppressions(D.suppressions(files), imports)
+    assert sorted((r.path, r.start_line, r.end_line) for r in found.collect()) == [("crates/foo/src/helpers.rs", 1, 1), ("crates/foo/src/helpers.rs", 4, 4), ("other/src/thing.rs", 1, 1)]
+
+
 def test_conditions():
     cases = {"true": "constant", "(False)": "constant", "a == a": "self-comparison", "a && !a": "contradiction", "not a and a": "contradiction", "a == b": None, "f(x) == f(x)": None, "a && (b || !a)": None, "x << 1": None}
     assert {c: D.classify_condition(c) for c in cases} == cases
