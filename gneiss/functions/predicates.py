@@ -208,3 +208,12 @@ def parser_language(path: Column) -> Column:
     """the grammar of a source file by its extension, or null."""
     found = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
     return F.try_element_at(found, extension(path))
+
+
+#: Names under which keys, certificates and credentials are kept.
+SECRET = r"(?i)(?:^|/)(?:\.env(?:\.[^/]*)?|\.netrc|\.npmrc|\.pypirc|\.htpasswd|\.git-credentials|id_(?:rsa|dsa|ecdsa|ed25519)|credentials(?:\.(?:json|ya?ml|ini))?|secrets?\.(?:json|ya?ml|toml|ini|env)|[^/]*\.(?:pem|key|p12|pfx|jks|keystore|kdbx|ppk|asc|gpg))$|(?:^|/)\.(?:ssh|gnupg|aws)/"
+
+
+def is_secret_like(path: Column) -> Column:
+    """Whether a file's name tells that it holds what shouldn't be read or stored; examples and templates don't."""
+    return path.rlike(SECRET) & ~F.lower(path).rlike(r"\.env\.(?:example|sample|template)$")

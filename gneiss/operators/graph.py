@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -171,16 +173,18 @@ def betweenness(edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
         near[number[b]].add(number[a])
     shared = spark.sparkContext.broadcast(([sorted(x) for x in near], names))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, labels = shared.value
-        total = [0.0] * len(graph)
+        total = np.zeros(len(graph))
         for rows in batches:
-            for s in rows["id"]:
-                total = [x + y for x, y in zip(total, source_dependencies(graph, int(s)), strict=True)]
-        yield pd.DataFrame({"path": labels, "part": total})
-
-    parts = spark.range(len(names)).mapInPandas(run, "path string, part double")
-    return parts.groupBy("path").agg(F.round(F.sum("part") / 2, 9).alias("betweenness"))
+            for s in rows.column("id").to_pylist():
+                total += source_dependencies(graph, s)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([labels[i] for i in some], pa.string()), pa.array(total[some])], names=["path", "part"])
+
+    parts = spark.range(len(names)).mapInArrow(run, "path string, part double")
+    every = pairs.select(F.col("a").alias("path")).unionByName(pairs.select(F.col("b").alias("path"))).distinct().withColumn("part", F.lit(0.0))
+    return parts.unionByName(every).groupBy("path").agg(F.round(F.sum("part") / 2, 9).alias("betweenness"))
 
 
 def boundaries(scores: DataFrame, groups: DataFrame, top: int = 10) -> DataFrame:

@@ -467,9 +467,26 @@ def naming_votes(table: DataFrame) -> DataFrame:
     return by.join(best, "kind").select("kind", "style", "votes", (F.col("style") == F.col("best")).alias("majority"))
 
 
-def test_framework(table: DataFrame, uses: DataFrame) -> DataFrame:
-    """(framework, votes) of test functions and imports, most first."""
-    fn = table.where("role = 'definition'").select(F.when((F.col("kind") == "function") & F.col("name").startswith("test_"), "pytest").when(F.col("name").isin("describe", "it", "expect"), "jest").when(F.col("name") == "Test", "junit").alias("framework"), F.when(F.col("name") == "Test", 5).otherwise(1).alias("votes"))
-    head = F.regexp_extract("import_from", r"^([\w@/-]+)", 1)
-    im = uses.select("path", head.alias("head")).distinct().select(F.when(F.col("head") == "pytest", "pytest").when(F.col("head") == "unittest", "unittest").when(F.col("head") == "testing", "go-test").when(F.col("head").isin("jest", "@jest/globals", "vitest"), F.regexp_replace("head", r"^@|/.*$", "")).alias("framework"), F.lit(5).alias("votes"))
-    return fn.unionByName(im).where("framework is not null").groupBy("framework").agg(F.sum("votes").alias("votes")).orderBy(F.desc("votes"), "framework")
+def _most(votes: DataFrame, name: str) -> DataFrame:
+    """One row: the key of the most votes (key, n), of equal ones the first by name; unknown without any."""
+    total = votes.groupBy("key").agg(F.sum("n").alias("n"))
+    return total.agg(F.coalesce(F.min_by("key", F.struct(-F.col("n"), "key")), F.lit("unknown")).alias(name))
+
+
+def test_conventions(table: DataFrame, uses: DataFrame) -> DataFrame:
+    """One row (framework, location, naming) by votes of symbols and imports; unknown where none votes."""
+    defined, rust = table.where("role = 'definition'"), F.col("path").endswith(".rs")
+    one = F.lit(1).alias("n")
+    # an import counts once for its module and once for each name
+    module = uses.select("path", "import_from").distinct().select(F.when(F.col("import_from").isin("pytest", "unittest"), "pytest").when(F.col("import_from") == "testing", "go-test").alias("key"), F.lit(5).alias("n"))
+    named = uses.select(F.when(F.col("name").isin("describe", "it", "expect", "test", "jest"), "jest").when((F.col("name") == "Test") & F.col("import_from").contains("junit"), "junit").alias("key"), F.when(F.col("name") == "Test", 5).otherwise(1).alias("n"))
+    cargo = defined.where(rust & F.col("name").startswith("test_")).select(F.lit("cargo-test").alias("key"), one)
+    framework = _most(module.unionByName(named).where("key is not null").unionByName(cargo), "framework")
+    path = F.col("path")
+    place = F.when(path.contains("__tests__/"), "__tests__").when(path.rlike("(?:^|/)tests/"), "tests/").when(path.rlike("(?:^|/)spec/"), "spec/").when(path.rlike(r"_test\.|\.test\.|\.spec\.|_spec\."), "co-located")
+    inline = defined.where(rust & (F.col("name") == "tests") & (F.col("kind") == "module")).select(F.lit("inline").alias("key"), one)
+    location = _most(table.select("path").distinct().select(place.alias("key"), one).where("key is not null").unionByName(inline), "location")
+    name = F.col("name")
+    shape = F.when(name.startswith("test_"), "test_*").when(name.startswith("Test"), "Test*").when(name.endswith("_test"), "*_test").when(name.startswith("should_") | name.startswith("it_"), "should_*")
+    naming = _most(defined.where("kind = 'function'").select(shape.alias("key"), one).where("key is not null"), "naming")
+    return framework.crossJoin(F.broadcast(location)).crossJoin(F.broadcast(naming))  # one row each

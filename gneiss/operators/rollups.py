@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gneiss.functions import predicates as P
 from gneiss.operators import history as H
@@ -21,7 +22,9 @@ _PURPOSES = {
 }
 _NAMES = {leaf: text for text, leaves in _PURPOSES.items() for leaf in leaves.split()}
 #: Extensions that tell nothing of the language of a repository's code.
-_NO_CODE = "cfg css gitignore html json lock log md svg toml txt xml yaml yml".split()
+_NO_CODE = "csv gitignore ico jpg json lock md png svg toml txt yaml yml".split()
+_LANGUAGES = {"c": "c h", "c#": "cs", "c++": "cc cpp cxx hpp", "css": "css less scss", "go": "go", "html": "htm html", "java": "java", "javascript": "cjs js jsx mjs", "kotlin": "kt kts", "php": "php", "python": "py", "ruby": "rb", "rust": "rs", "shell": "bash sh", "swift": "swift", "typescript": "ts tsx"}
+LANGUAGE = {e: name for name, all_of in _LANGUAGES.items() for e in all_of.split()}
 
 
 def _leaf(area: Column) -> Column:
@@ -89,9 +92,11 @@ def needs_help(areas: DataFrame) -> DataFrame:
 
 
 def primary_language(activity: DataFrame) -> DataFrame:
-    """One row: the commonest extension of code files."""
+    """One row: the language of the commonest extension of code files, an unknown one by itself; unknown without any."""
     by = activity.select(P.extension(F.col("path")).alias("e")).where((F.col("e") != "") & ~F.col("e").isin(_NO_CODE)).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
-    return by.agg(F.min_by("e", F.struct(-F.col("n"), "e")).alias("language"))
+    named = F.create_map(*[F.lit(x) for pair in LANGUAGE.items() for x in pair])
+    best = F.min_by("e", F.struct(-F.col("n"), "e"))
+    return by.agg(best.alias("e")).select(F.coalesce(F.try_element_at(named, F.col("e")), F.col("e"), F.lit("unknown")).alias("language"))
 
 
 _STRUCTURES = [("workspace crates", r"^crates/"), ("plugins", r"^plugins/"), ("Go layout", r"^(?:cmd|internal|pkg)/"), ("packages", r"^packages/"), ("Maven", r"^src/main/java/"), ("src and lib", ""), ("src", r"^src/"), ("lib", r"^lib/")]
@@ -135,6 +140,53 @@ def onboard(activity: DataFrame, commits: DataFrame, contributors: DataFrame, fi
     return primary_language(activity).crossJoin(structure(activity)).crossJoin(total).crossJoin(health_label(commits, contributors)).crossJoin(style).crossJoin(commands(files))
 
 
+def _scalars(row: DataFrame, section: str) -> DataFrame:
+    """Each column of one row as a row of an answer."""
+    each = F.array(*(F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), F.col(c).cast("string").alias("text")) for i, c in enumerate(row.columns)))
+    out = row.select(F.explode(each).alias("s")).select(F.lit(section).alias("section"), "s.*")
+    return out.select("section", "position", "name", "text", F.lit(None).cast("long").alias("files"), F.lit(None).cast("double").alias("score"))
+
+
+def _ranked(rows: DataFrame, section: str, text: str, order: list[Column], files: str | None = None, score: str | None = None) -> DataFrame:
+    """The rows of a section of an answer, numbered."""
+    position = F.row_number().over(Window.orderBy(*order)) - 1
+    return rows.select(F.lit(section).alias("section"), position.alias("position"), F.col("path").alias("name"), F.col(text).alias("text"), (F.col(files) if files else F.lit(None)).cast("long").alias("files"), (F.col(score) if score else F.lit(None)).cast("double").alias("score"))
+
+
+def onboard_answer(activity: DataFrame, commits: DataFrame, contributors: DataFrame, files: DataFrame, areas: DataFrame, existing: DataFrame | None = None, top: int = 10) -> DataFrame:
+    """(section, position, name, text, files, score): the overview, conventions, key areas, pain points and how to start."""
+    row = onboard(activity, commits, contributors, files)
+    overview = _scalars(row.select("language", "structure", "total_files", "total_symbols", "bus_factor", "health"), "overview")
+    style, start = _scalars(row.select("commit_style", "uses_scopes"), "conventions"), _scalars(row.select("build", "test"), "getting-started")
+    # both lists are cut before they are numbered
+    keys = _ranked(key_areas(areas, existing, top).withColumn("tier", area_tier(F.col("path"))), "key-areas", "purpose", [F.col("tier"), F.desc("hotspot_score"), F.col("path")], "files", "hotspot_score")
+    pains = pain_points(areas, contributors, top).join(areas.select(F.col("area").alias("path"), "hotspot_score"), "path")
+    pains = _ranked(pains, "pain-points", "reason", [F.desc(F.col("reason").startswith("very high")), F.desc("hotspot_score"), F.col("path")])
+    return overview.unionByName(style).unionByName(keys).unionByName(pains).unionByName(start)
+
+
+def can_i_help_answer(areas: DataFrame, commits: DataFrame, contributors: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """(section, position, name, text, files, score): conventions, first areas, areas that need help, recent activity.
+
+    Areas aren't numbered, as there can be many; their score is the hotspot score, or the rate of fixes where they need help.
+    """
+    style = H.conventions(commits).agg(F.max("style").alias("commit_style"), F.bool_or("uses_scopes").alias("uses_scopes"))
+    if existing is not None:
+        areas = areas.join(existing.select(F.col("path").alias("area")), "area", "left_semi")
+    none = F.lit(None).cast("int").alias("position")
+    first = good_first_areas(areas).select(F.lit("good-first-areas").alias("section"), none, F.col("path").alias("name"), F.col("reason").alias("text"), F.col("files").cast("long").alias("files"), F.col("hotspot_score").cast("double").alias("score"))
+    help_ = needs_help(areas).select(F.lit("needs-help").alias("section"), none, F.col("path").alias("name"), F.col("reason").alias("text"), F.lit(None).cast("long").alias("files"), F.col("bug_fix_rate").cast("double").alias("score"))
+    return _scalars(style, "conventions").unionByName(first).unionByName(help_).unionByName(_scalars(recent_activity(commits, contributors), "recent-activity"))
+
+
+def folders(files: DataFrame) -> DataFrame:
+    """(path) of every folder of the listed files, with a slash at its end, the root as ``./``."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
+    deep = files.where(F.col("path").contains("/")).select(F.explode(above).alias("path"))
+    return deep.distinct().unionByName(files.select(F.lit("./").alias("path")).limit(1))
+
+
 def recent_activity(commits: DataFrame, contributors: DataFrame) -> DataFrame:
     """One row (active_contributors, total_commits, bus_factor)."""
     active = contributors.where(~F.col("is_bot") & ~P.is_stale(F.col("last_seen"), F.col("last"))).agg(F.count(F.lit(1)).alias("active_contributors"))

@@ -79,9 +79,15 @@ def vector_targets(vecs: DataFrame, top: int = 10, threshold: float = vectors.DU
     return far.unionByName(alike)
 
 
-def touching(targets: DataFrame, files: DataFrame, column: str = "area") -> DataFrame:
-    """Targets that name one of the files."""
-    return targets.join(files.select(F.col("path").alias(column)), column, "left_semi")
+def touching(targets: DataFrame, files: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Targets that touch one of the files: that are one, are a folder or a pair with one, or a community with one."""
+    asked = files.select(P.normalize_rel_path(F.col("path")).alias("asked")).distinct()
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("asked", "/"))), lambda i: F.array_join(F.slice(F.split("asked", "/"), F.lit(1), i), "/"))
+    keys = asked.select(F.explode(above).alias("key"))
+    if groups is not None:
+        keys = keys.unionByName(groups.join(asked, groups["path"] == asked["asked"], "left_semi").select(F.concat(F.lit("#"), "community").alias("key")))
+    named = targets.withColumn("key", F.explode(F.split("area", r"\|"))).join(keys.distinct(), "key", "left_semi").drop("key")
+    return named.distinct()
 
 
 def tracked_artifacts(files: DataFrame) -> DataFrame:

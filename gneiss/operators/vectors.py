@@ -6,9 +6,11 @@ Only the comparison of all pairs is a matrix product on the executors, by blocks
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,17 +49,42 @@ def truncated(values: Column, dim: int) -> Column:
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
-    """(path, centroid) by element-wise mean."""
-    each = vectors.select("path", F.posexplode("values").alias("i", "x"))
-    means = each.groupBy("path", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return means.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("centroid"))
+    """(path, centroid) by element-wise mean; a file's vectors are of one size."""
+    return _means(vectors.select("path", "values", F.lit(1).cast("long").alias("n")), "path").select("path", F.col("mean").alias("centroid"))
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One sum a key and batch of (key, values, n), so what is shuffled is in proportion to keys, not to components."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys, which = np.unique(b.column("key").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        values, sizes = b.column("values").flatten().to_numpy().astype(float), np.diff(b.column("values").offsets.to_numpy())
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            at = np.repeat(np.cumsum(sizes)[rows] - size, size) + np.tile(np.arange(size), len(rows))
+            some, place = np.unique(which[rows], return_inverse=True)
+            total = np.zeros((len(some), size))
+            np.add.at(total, place, values[at].reshape(len(rows), size))
+            n = np.bincount(place, weights=b.column("n").to_numpy()[rows]).astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array((np.arange(len(some) + 1) * size).astype(np.int32)), pa.array(total.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some], pa.string()), lists, pa.array(n)], names=["key", "values", "n"])
+
+
+def _means(rows: DataFrame, key: str) -> DataFrame:
+    """(key, mean, n) of the element-wise sums (key, values, n)."""
+    schema = "key string, values array<double>, n long"
+    part = rows.select(F.col(key).alias("key"), F.col("values").cast("array<double>").alias("values"), "n")
+    part = part.mapInArrow(_summed, schema)
+    whole = part.repartition("key").sortWithinPartitions("key").mapInArrow(_summed, schema)
+    # a key that spans batches has a sum of each
+    return whole.groupBy("key").agg(F.collect_list("values").alias("sums"), F.sum("n").alias("n")).select(F.col("key").alias(key), F.transform(F.aggregate(F.slice(F.col("sums"), 2, F.size("sums")), F.col("sums")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y)), lambda x: x / F.col("n")).alias("mean"), "n")
 
 
 def outliers(vectors: DataFrame, top: int = 10, min_distance: float = OUTLIER_DISTANCE) -> DataFrame:
     """V8: (path, distance, score): the farthest from the mean of means; the cut comes after the top."""
     own = centroids(vectors)
-    each = own.select(F.posexplode("centroid").alias("i", "x"))
-    mean = each.groupBy("i").agg(F.avg("x").alias("x")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("mean"))
+    mean = _means(own.select(F.lit("all").alias("key"), F.col("centroid").alias("values"), F.lit(1).cast("long").alias("n")), "key").select("mean")
     count = own.agg(F.count(F.lit(1)).alias("files"))
     far = own.crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(count)).where(F.col("files") >= MIN_FILES)  # one row each
     far = far.select("path", F.round(1 - cosine(F.col("centroid"), F.col("mean")), 6).alias("distance"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from gneiss.operators import targets as T
 from gneiss.operators import texts as X
 from gneiss.plans.history_queries import _AREAS, _BASE, _CRITICAL, STALE, Query, _areas, _on_repo, _with
 from gneiss.plans.repo import Repo, oracle_tables
-from gneiss.session import shared_folder
+from gneiss.session import made
 from gneiss.streaming import incremental as I
 
 _SOURCES = oracle_tables("sources") + ", s AS (SELECT path, regexp_extract(path, '([a-z]+)$', 1) AS ext, regexp_extract(path, '/part_([0-9]+)', 1) AS k FROM sources)"
@@ -55,12 +53,33 @@ def _parsed(r: Repo) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events read as a stream into a state below the shared folder, then merged."""
-    run = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    run = made(spark, "stream")
     stream = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*")
     I.update(I.event_changes(stream), f"{run}/state", f"{run}/offsets").awaitTermination()
     return I.activity(spark, f"{run}/state", 7).withColumn("authors", F.concat_ws(",", "authors"))
 
 
+def _voting(symbols: DataFrame) -> DataFrame:
+    """Symbols of which those of every third line are named as tests are."""
+    prefix = F.when(F.col("line") % 9 == 0, "test_").when(F.col("line") % 9 == 3, "Test").when(F.col("line") % 9 == 6, "should_").otherwise("")
+    return symbols.withColumn("name", F.concat(prefix, "name"))
+
+
+def _used(imports: DataFrame) -> DataFrame:
+    """Imports of which some are of test frameworks, by the length of the path."""
+    n = F.length("path") % 5
+    return imports.select("path", F.when(n == 0, "pytest").when(n == 1, "testing").when(n == 2, "org.junit").otherwise(F.col("import_from")).alias("import_from"), F.when(n == 2, "Test").when(n == 3, "expect").otherwise(F.col("name")).alias("name"))
+
+
+_VOTES = r"""v AS (SELECT path, role, kind, concat(CASE line % 9 WHEN 0 THEN 'test_' WHEN 3 THEN 'Test' WHEN 6 THEN 'should_' ELSE '' END, name) AS name FROM symbols),
+u AS (SELECT path, CASE length(path) % 5 WHEN 0 THEN 'pytest' WHEN 1 THEN 'testing' WHEN 2 THEN 'org.junit' ELSE import_from END AS import_from, CASE length(path) % 5 WHEN 2 THEN 'Test' WHEN 3 THEN 'expect' ELSE name END AS name FROM imports),
+framework AS (SELECT CASE import_from WHEN 'pytest' THEN 'pytest' ELSE 'go-test' END AS k, 5 AS n FROM (SELECT DISTINCT path, import_from FROM u WHERE import_from IN ('pytest', 'testing'))
+  UNION ALL SELECT CASE name WHEN 'Test' THEN 'junit' ELSE 'jest' END, CASE name WHEN 'Test' THEN 5 ELSE 1 END FROM u WHERE name = 'expect' OR (name = 'Test' AND contains(import_from, 'junit'))
+  UNION ALL SELECT 'cargo-test', 1 FROM v WHERE role = 'definition' AND path LIKE '%.rs' AND starts_with(name, 'test_')),
+location AS (SELECT 'co-located' AS k, 1 AS n FROM (SELECT DISTINCT path FROM v WHERE contains(path, '_test.'))),
+naming AS (SELECT CASE WHEN starts_with(name, 'test_') THEN 'test_*' WHEN starts_with(name, 'Test') THEN 'Test*' WHEN ends_with(name, '_test') THEN '*_test' WHEN starts_with(name, 'should_') THEN 'should_*' END AS k, 1 AS n
+  FROM v WHERE role = 'definition' AND kind = 'function' AND (regexp_matches(name, '^(test_|Test|should_)') OR ends_with(name, '_test')))"""
+
 QUERIES: dict[str, tuple[Query, str]] = {
     "parsed_symbols": (_on_repo(lambda r: S.symbols(_parsed(r))), _with(_SYMBOLS) + "SELECT * FROM parsed"),
     "parsed_imports": (
@@ -133,7 +152,7 @@ QUERIES: dict[str, tuple[Query, str]] = {
     "onboard": (
         _on_repo(lambda r: R.onboard(r.file_activity, r.commits, r.contributors, r.listing)),
         _with(_BASE, _CRITICAL, "ext AS (SELECT regexp_extract(path, '\\.([^./]*)$', 1) AS e, count(*) AS n FROM fa GROUP BY 1)", "b AS (SELECT count(*) AS b FROM crit)", "h AS (SELECT count(*) AS h FROM humans)")
-        + """SELECT (SELECT e FROM ext WHERE e <> 'md' ORDER BY n DESC, e LIMIT 1) AS language, 'flat' AS structure, (SELECT count(*) FROM fa) AS total_files, CAST(0 AS BIGINT) AS total_symbols,
+        + """SELECT (SELECT CASE e WHEN 'rs' THEN 'rust' WHEN 'ts' THEN 'typescript' WHEN 'js' THEN 'javascript' WHEN 'py' THEN 'python' ELSE e END FROM ext WHERE e <> 'md' ORDER BY n DESC, e LIMIT 1) AS language, 'flat' AS structure, (SELECT count(*) FROM fa) AS total_files, CAST(0 AS BIGINT) AS total_symbols,
         CASE WHEN b >= 3 THEN 'healthy' WHEN b = 2 THEN 'moderate' ELSE 'at-risk' END AS health, b AS bus_factor, h AS contributors, (SELECT count(*) FROM commits) AS total_commits,
         CASE WHEN (SELECT avg(CASE WHEN prefix IS NULL THEN 0.0 ELSE 1.0 END) FROM marked) > 0.5 THEN 'conventional' ELSE 'mixed' END AS commit_style, (SELECT bool_or(contains(subject, '(') AND contains(subject, ')')) FROM commits) AS uses_scopes,
         'cargo build' AS build, 'cargo test' AS test FROM b, h""",
@@ -143,8 +162,40 @@ QUERIES: dict[str, tuple[Query, str]] = {
         _with(_BASE, _CRITICAL) + f"SELECT (SELECT count(*) FROM humans WHERE NOT {STALE.format('last_seen')}) AS active_contributors, (SELECT count(*) FROM commits) AS total_commits, (SELECT count(*) FROM crit) AS bus_factor",
     ),
     "summary": (
-        lambda spark, sf_dir: R.summary(spark.createDataFrame([("one", "three", "ten")], "depth1 string, depth3 string, depth10 string")),
-        "SELECT * FROM (VALUES (1, 'one'), (3, 'three'), (10, 'ten')) AS t(depth, text)",
+        # the texts of the three first documents, as a stored row has them
+        lambda spark, sf_dir: R.summary(spark.read.parquet(f"{sf_dir}/documents.parquet").agg(*(F.max(F.when(F.col("doc_id") == i, F.col("text"))).alias(f"depth{d}") for i, d in enumerate((1, 3, 10))))),
+        "SELECT CASE doc_id WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 10 END AS depth, text FROM documents WHERE doc_id < 3 AND text IS NOT NULL",
+    ),
+    "test_conventions": (
+        _on_repo(lambda r: S.test_conventions(_voting(r.symbols), _used(r.imports))),
+        _with(oracle_tables("symbols", "imports"), _VOTES)
+        + """SELECT coalesce((SELECT k FROM framework GROUP BY k ORDER BY sum(n) DESC, k LIMIT 1), 'unknown') AS framework, coalesce((SELECT k FROM location GROUP BY k ORDER BY sum(n) DESC, k LIMIT 1), 'unknown') AS location,
+        coalesce((SELECT k FROM naming GROUP BY k ORDER BY sum(n) DESC, k LIMIT 1), 'unknown') AS naming""",
+    ),
+    "onboard_answer": (
+        _on_repo(lambda r: R.onboard_answer(r.file_activity, r.commits, r.contributors, r.listing, _areas(r, True)).select("section", "position", "name", "text")),
+        _with(_BASE, _AREAS, _CRITICAL, "ext AS (SELECT regexp_extract(path, '\\.([^./]*)$', 1) AS e, count(*) AS n FROM fa GROUP BY 1)", "b AS (SELECT count(*) AS b FROM crit)")
+        + f"""SELECT 'overview' AS section, CAST(i AS INTEGER) AS position, k AS name, v AS text FROM (
+          SELECT unnest([0, 1, 2, 3, 4, 5]) AS i, unnest(['language', 'structure', 'total_files', 'total_symbols', 'bus_factor', 'health']) AS k,
+          unnest([(SELECT CASE e WHEN 'rs' THEN 'rust' WHEN 'ts' THEN 'typescript' WHEN 'js' THEN 'javascript' WHEN 'py' THEN 'python' ELSE e END FROM ext WHERE e <> 'md' ORDER BY n DESC, e LIMIT 1), 'flat',
+            CAST((SELECT count(*) FROM fa) AS VARCHAR), '0', CAST(b AS VARCHAR), CASE WHEN b >= 3 THEN 'healthy' WHEN b = 2 THEN 'moderate' ELSE 'at-risk' END]) AS v FROM b)
+        UNION ALL SELECT 'conventions', unnest([0, 1]), unnest(['commit_style', 'uses_scopes']), unnest([CASE WHEN (SELECT avg(CASE WHEN prefix IS NULL THEN 0.0 ELSE 1.0 END) FROM marked) > 0.5 THEN 'conventional' ELSE 'mixed' END, CAST((SELECT bool_or(contains(subject, '(') AND contains(subject, ')')) FROM commits) AS VARCHAR)])
+        UNION ALL SELECT 'getting-started', unnest([0, 1]), unnest(['build', 'test']), unnest(['cargo build', 'cargo test'])
+        UNION ALL SELECT 'key-areas', CAST(row_number() OVER (ORDER BY hotspot_score DESC, area) - 1 AS INTEGER), area, concat(regexp_extract(rtrim(area, '/'), '([^/]*)$', 1), ' module') FROM (SELECT * FROM areas
+          WHERE files >= 2 AND NOT {_GEN} AND (SELECT count(*) FROM fa) <= {H.LARGE_REPO_FILES} ORDER BY hotspot_score DESC, area LIMIT 10)
+        UNION ALL SELECT 'pain-points', CAST(row_number() OVER (ORDER BY bug_fix_rate >= 0.5 DESC, hotspot_score DESC, area) - 1 AS INTEGER), area,
+          concat(CASE WHEN bug_fix_rate >= 0.5 THEN 'very high bug-fix rate' ELSE 'high bug-fix rate' END, CASE WHEN owner_stale THEN ', primary owner inactive' ELSE '' END, CASE WHEN n_owners <= 1 THEN ', single owner' ELSE '' END) FROM (SELECT * FROM areas
+          WHERE files >= 2 AND bug_fix_rate >= 0.3 AND (owner_stale OR n_owners <= 1 OR bug_fix_rate >= 0.5) ORDER BY bug_fix_rate >= 0.5 DESC, hotspot_score DESC, area LIMIT 10)""",
+    ),
+    "can_i_help_answer": (
+        _on_repo(lambda r: R.can_i_help_answer(_areas(r), r.commits, r.contributors).select("section", "name", "text", F.round("score", 6).alias("score"))),
+        _with(_BASE, _AREAS, _CRITICAL)
+        + f"""SELECT 'conventions' AS section, unnest(['commit_style', 'uses_scopes']) AS name, unnest([CASE WHEN (SELECT avg(CASE WHEN prefix IS NULL THEN 0.0 ELSE 1.0 END) FROM marked) > 0.5 THEN 'conventional' ELSE 'mixed' END, CAST((SELECT bool_or(contains(subject, '(') AND contains(subject, ')')) FROM commits) AS VARCHAR)]) AS text, CAST(NULL AS DOUBLE) AS score
+        UNION ALL SELECT 'good-first-areas', area, concat(CASE WHEN hotspot_score < 1 THEN 'low churn, ' ELSE '' END, 'low bug rate, active maintainer for review'), round(CAST(hotspot_score AS DOUBLE), 6) FROM areas
+          WHERE NOT owner_stale AND hotspot_score < 1.5 AND bug_fix_rate < 0.3 AND NOT {_GEN}
+        UNION ALL SELECT 'needs-help', area, concat_ws(', ', CASE WHEN bug_fix_rate >= 0.3 THEN 'high bug-fix rate' END, CASE WHEN owner_stale THEN 'primary owner inactive' END), round(CAST(bug_fix_rate AS DOUBLE), 6) FROM areas
+          WHERE (owner_stale OR bug_fix_rate >= 0.3) AND NOT {_GEN}
+        UNION ALL SELECT 'recent-activity', unnest(['active_contributors', 'total_commits', 'bus_factor']), unnest([CAST((SELECT count(*) FROM humans WHERE NOT {STALE.format('last_seen')}) AS VARCHAR), CAST((SELECT count(*) FROM commits) AS VARCHAR), CAST((SELECT count(*) FROM crit) AS VARCHAR)]), CAST(NULL AS DOUBLE)""",
     ),
     "stream_activity": (_streamed, "WITH " + _DAILY + " SELECT * FROM state"),
     "event_windows": (

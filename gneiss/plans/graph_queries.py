@@ -11,6 +11,7 @@ from gneiss.operators import targets as T
 from gneiss.operators import vectors as V
 from gneiss.plans.history_queries import _BASE, _PAIRS, TEST, Query, _on_repo, _with
 from gneiss.plans.repo import Repo, oracle_tables
+from gneiss.session import written
 
 #: The test vectors have no pair above the default.
 THRESHOLD = 0.4
@@ -25,6 +26,12 @@ def _groups(r: Repo) -> DataFrame:
     return G.communities(_edges(r, 0.02, 2))
 
 
+def _boundaries(r: Repo) -> DataFrame:
+    """The edges are written once, as both the paths and the communities read them."""
+    edges = written(_edges(r, 0.02, 2), "edges")
+    return G.boundaries(G.betweenness(edges), G.communities(edges))
+
+
 def _health(r: Repo) -> DataFrame:
     return G.community_health(_groups(r), r.file_activity, G.newest_author(r.commits, r.file_changes), r.contributors)
 
@@ -97,7 +104,7 @@ QUERIES: dict[str, tuple[Query, str]] = {
         _with(_BASE, _PAIRS.format(least=2), _EDGES.format(least=2, jaccard=0.02)) + "SELECT a, b, cochanges, round(jaccard, 6) AS jaccard FROM edges",
     ),
     "communities": (_on_repo(lambda r: G.community_list(_groups(r))), ""),
-    "boundaries": (_on_repo(lambda r: G.boundaries(G.betweenness(_edges(r, 0.02, 2)), _groups(r))), ""),
+    "boundaries": (_on_repo(_boundaries), ""),
     "area_of": (_on_repo(_first_member), ""),
     "community_health": (_on_repo(_health), ""),
     "wrapper_chains": (
@@ -150,7 +157,12 @@ QUERIES: dict[str, tuple[Query, str]] = {
         _with(_UNIT) + f"SELECT id_a, id_b, path_a, path_b, similarity, round(6 + 4 * similarity, 6) AS score FROM near WHERE similarity >= {THRESHOLD} ORDER BY similarity DESC, id_a, id_b LIMIT 10",
     ),
     "similar_pairs": (_on_repo(lambda r: V.similar_pairs(r.vectors, THRESHOLD)), _with(_UNIT) + f"SELECT * FROM near WHERE similarity >= {THRESHOLD}"),
-    "slop_vector_targets": (_on_repo(lambda r: T.vector_targets(r.vectors, 10, THRESHOLD)), ""),
+    "slop_vector_targets": (
+        _on_repo(lambda r: T.vector_targets(r.vectors, 10, THRESHOLD)),
+        _with(_MEANS, _UNIT[_UNIT.index("near AS") :])
+        + f"""SELECT * FROM (SELECT 'file' AS kind, path AS area, round(5 + least(distance / (SELECT greatest(max(distance), CAST(1e-6 AS DOUBLE)) FROM far), 1.0) * 4, 6) AS score, 'defensive-cargo-cult' AS suspect FROM far WHERE distance > 0.15 ORDER BY distance DESC, path LIMIT 10)
+        UNION ALL SELECT * FROM (SELECT 'area', concat(path_a, '|', path_b), round(6 + 4 * similarity, 6), 'semantic-duplicate' FROM near WHERE similarity >= {THRESHOLD} ORDER BY similarity DESC, id_a, id_b LIMIT 10)""",
+    ),
     "vector_heads": (
         _on_repo(_truncated),
         _with(oracle_tables("vectors"), "h AS (SELECT id, list_transform(values[1:16], lambda x: CAST(x AS DOUBLE)) AS v FROM vectors)", "n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s FROM h)")

@@ -6,9 +6,10 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -53,3 +54,35 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named.rstrip("/")
+
+
+_MADE: dict[str, SparkSession] = {}
+
+
+def made(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, of what `release` deletes, and the end of the program."""
+    path = f"{shared_folder(spark)}/gneiss-{name}-{uuid.uuid4().hex}"
+    _MADE[path] = spark
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder, which outlives lost executors."""
+    path = made(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Delete what has been written to the shared folder so far; results that aren't stored elsewhere can't be read any more."""
+    while _MADE:
+        path, spark = _MADE.popitem()
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session may have ended before
+            pass
+
+
+atexit.register(release)

@@ -1,6 +1,7 @@
 """Python data source of the files below a folder (S8-S11): hidden names are listed too, which Spark's own sources skip.
 
-Options: ``includeHidden`` (default false), ``maxBytes``, ``content`` (default true), ``partitions``.  Git's ignore
+Options: ``includeHidden`` (default false), ``maxBytes``, ``content`` (default true), ``partitions`` (by default one for
+each thousand files, eight at least).  Git's ignore
 rules are followed where the folder is a work tree and ``gitignore`` isn't false.
 """
 
@@ -18,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 MAX_BYTES = 5 << 20
+FILES_PER_PARTITION, BATCH_BYTES = 1000, 4 << 20
 SCHEMA = "path string, size long, content binary"
 _ARROW = pa.schema([("path", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
 
@@ -49,13 +51,20 @@ class FilesReader(DataSourceReader):
         flag = lambda name, default: options.get(name.lower(), default).lower() == "true"  # noqa: E731 - Spark hands option names over in lower case
         self.root = options["path"].removeprefix("file://")
         self.hidden, self.content, self.gitignore = flag("includeHidden", "false"), flag("content", "true"), flag("gitignore", "true")
-        self.max_bytes, self.parts = int(options.get("maxbytes", MAX_BYTES)), int(options.get("partitions", 8))
+        self.max_bytes, self.parts = int(options.get("maxbytes", MAX_BYTES)), int(options.get("partitions", 0))
 
     def partitions(self) -> list[FilesPartition]:
         paths = listed(self.root, self.hidden, self.gitignore)
-        return [FilesPartition(paths[i :: self.parts]) for i in range(min(self.parts, max(len(paths), 1)))]
+        parts = self.parts or max(8, -(-len(paths) // FILES_PER_PARTITION))
+        return [FilesPartition(paths[i::parts]) for i in range(min(parts, max(len(paths), 1)))]
 
     def read(self, partition: FilesPartition) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, int, bytes | None]] = []
+        held = 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
+
         for path in partition.paths:
             full = os.path.join(self.root, path)
             try:
@@ -68,7 +77,13 @@ class FilesReader(DataSourceReader):
                         data = f.read()
             except OSError:  # gone since it was listed
                 continue
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([data], pa.binary())], schema=_ARROW)
+            rows.append((path, size, data))
+            held += len(data or b"") + 100
+            if held > BATCH_BYTES:
+                yield batch()
+                rows, held = [], 0
+        if rows:
+            yield batch()
 
 
 class FilesSource(DataSource):

@@ -42,8 +42,9 @@ def has_commit(root: str, commit: str) -> bool:
     return subprocess.run(["git", "-C", root, "cat-file", "-e", f"{commit}^{{commit}}"], capture_output=True, check=False).returncode == 0
 
 
-def walk(root: str, since: str | None = None, until: str = "HEAD") -> list[str]:
-    return git(root, "rev-list", "--topo-order", "--no-merges", until, *([f"^{since}"] if since else [])).split()
+def walk(root: str, since: str | None = None, until: str = "HEAD", most: int = 0) -> list[str]:
+    """Commits that aren't merges, the newest ``most`` of them if it isn't 0."""
+    return git(root, "rev-list", "--topo-order", "--no-merges", *([f"--max-count={most}"] if most else []), until, *([f"^{since}"] if since else [])).split()
 
 
 @dataclass
@@ -98,10 +99,10 @@ def _read(root: str, part: CommitRange, renames: bool) -> Iterator[tuple]:
 class GitReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.root, self.since = options["path"].removeprefix("file://"), options.get("since") or None
-        self.renames = options.get("renames", "false").lower() == "true"
+        self.renames, self.most = options.get("renames", "false").lower() == "true", int(options.get("maxcommits", 0))
 
     def partitions(self) -> list[CommitRange]:
-        hashes = walk(self.root, self.since)
+        hashes = walk(self.root, self.since, most=self.most)
         return [CommitRange(i, hashes[i : i + RANGE]) for i in range(0, len(hashes), RANGE)] or [CommitRange(0, [])]
 
     def read(self, partition: CommitRange) -> Iterator[tuple]:
@@ -151,10 +152,10 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(GitSource)
 
 
-def read_log(spark: SparkSession, root: str, since: str | None = None, renames: bool = False) -> DataFrame:
+def read_log(spark: SparkSession, root: str, since: str | None = None, renames: bool = False, max_commits: int = 0) -> DataFrame:
     """One row a commit and file; a commit without files has one row with a null path."""
     register(spark)
-    return spark.read.format("gneiss_git_log").option("since", since or "").option("renames", str(renames).lower()).load(root)
+    return spark.read.format("gneiss_git_log").option("since", since or "").option("renames", str(renames).lower()).option("maxCommits", str(max_commits)).load(root)
 
 
 def commits(log: DataFrame) -> DataFrame:

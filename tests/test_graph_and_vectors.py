@@ -169,3 +169,89 @@ def test_content_delta(spark):
 def test_hashed_embedding(spark):
     out = table(spark, [("the cat",), ("cat, THE",), ("",)], "t string").select(V.hashed_embedding(F.col("t"), 8).alias("v")).collect()
     assert out[0].v == pytest.approx(out[1].v) and sum(x * x for x in out[0].v) == pytest.approx(1) and out[2].v == [0.0] * 8
+
+
+def shortest_paths(near, s, t):
+    """All of them, by breadth."""
+    paths, found = [[s]], []
+    while paths and not found:
+        paths = [[*p, v] for p in paths for v in near[p[-1]] if v not in p]
+        found = [p for p in paths if p[-1] == t]
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_betweenness_of_random_graphs_by_all_shortest_paths(spark, seed):
+    rng = random.Random(seed)
+    pairs = sorted({tuple(sorted(rng.sample(range(9), 2))) for _ in range(14)})
+    near = {i: [b for a, b in pairs if a == i] + [a for a, b in pairs if b == i] for i in range(9)}
+    want = {f"n{i}": 0.0 for i in range(9) if near[i]}
+    for s, t in itertools.combinations(range(9), 2):
+        found = shortest_paths(near, s, t)
+        for p in found:
+            for v in p[1:-1]:
+                want[f"n{v}"] += 1 / len(found)
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "a string, b string")
+    got = {r.path: r.betweenness for r in G.betweenness(edges).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def modularity(links, home):
+    whole = sum(w for _, _, w in links)
+    degree = {}
+    for u, v, w in links:
+        degree[u] = degree.get(u, 0) + w
+        degree[v] = degree.get(v, 0) + w
+    return sum(w / whole for u, v, w in links if home[u] == home[v]) - sum((sum(degree.get(i, 0) for i, c in enumerate(home) if c == k) / (2 * whole)) ** 2 for k in set(home))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_no_single_move_of_a_random_graph_adds_modularity(seed):
+    rng = random.Random(seed)
+    n = 14
+    links = [(a, b, round(rng.random() + 0.1, 3)) for a, b in sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(26)})]
+    home = G.local_moves(links, n)
+    start = modularity(links, home)
+    assert start >= modularity(links, list(range(n)))
+    for node in range(n):
+        for c in {home[v if u == node else u] for u, v, _ in links if node in (u, v)}:
+            assert modularity(links, [c if i == node else x for i, x in enumerate(home)]) <= start + 1e-9
+    merged = G.merge_small(links, home, 3)
+    linked = {x for u, v, _ in links for x in (u, v)}
+    sizes = [merged.count(c) for c in {merged[i] for i in linked}]
+    # a small community stays only if it has no neighbour left, or another such was met first
+    assert min(sizes) >= 3 or any(not any((merged[u] == c) != (merged[v] == c) for u, v, _ in links) for c in set(merged) if merged.count(c) < 3)
+
+
+def test_health_and_area_of_communities_by_hand(spark, sf_dir):
+    from gneiss.plans import graph_queries as Q
+    from gneiss.plans.repo import Repo
+
+    r = Repo.from_star_schema(spark, sf_dir)
+    groups = {x.path: x.community for x in Q._groups(r).collect()}
+    activity = {x.path: x for x in r.file_activity.collect()}
+    commits = {x.hash: x for x in r.commits.collect()}
+    people = {x.name: x for x in r.contributors.collect()}
+    newest = {}
+    for x in r.file_changes.collect():
+        c = commits[x.hash]
+        newest[x.path] = max(newest.get(x.path, ()), (c.ts, c.hash, c.author_name))
+    days = lambda a, b: (b - a).total_seconds() / 86400
+    for row in Q._health(r).collect():
+        mine = [p for p, c in groups.items() if c == row.community]
+        own = [activity[p] for p in mine if p in activity]
+        assert row.files == len(own) and row.total_changes == sum(a.changes for a in own) and row.bug_fixes == sum(a.bug_fix_changes for a in own)
+        stale = [p for p in mine if p in activity and not people[newest[p][2]].is_bot and days(people[newest[p][2]].last_seen, people[newest[p][2]].last) > 90]
+        assert row.stale_owner_files == len(stale)
+    first = Q._first_member(r).collect()
+    assert [(x.file, x.community, x.size) for x in first] == [(min(groups), groups[min(groups)], list(groups.values()).count(groups[min(groups)]))] if groups else first == []
+
+
+def test_centroids_by_hand(spark):
+    rng = random.Random(2)
+    rows = [(i, f"f{i % 7}", [rng.random() for _ in range(5)]) for i in range(60)]
+    got = {r.path: r.centroid for r in V.centroids(spark.createDataFrame(rows, "id long, path string, values array<float>").repartition(4)).collect()}
+    for path, mean in got.items():
+        mine = [v for _, p, v in rows if p == path]
+        assert all(abs(m - sum(v[i] for v in mine) / len(mine)) < 1e-6 for i, m in enumerate(mean))
+    assert len(got) == 7
