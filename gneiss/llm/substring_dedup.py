@@ -172,7 +172,7 @@ def _hash_runs(length: int):
 
 def _by_hash(texts: DataFrame, length: int) -> DataFrame:
     """What `_search` gives, by aggregates over the runs' hashes: no group is gathered."""
-    runs = written(texts.mapInArrow(_hash_runs(length), _HASHED), "hashed-runs")
+    runs = texts.mapInArrow(_hash_runs(length), _HASHED)
     owners = runs.groupBy("run").agg(F.min("low").alias("first_doc"), F.max("low").alias("high"), F.bool_or("many").alias("shared")).where("shared or first_doc <> high")
     return runs.join(owners.select("run", "first_doc"), "run").select("gram", "segment", "a", (F.col("a") + length).alias("b"), "first_doc").distinct()
 
@@ -184,16 +184,19 @@ def shared_runs(docs: DataFrame, length: int = LENGTH, k: int = GRAM, shard_word
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     found = docs.mapInArrow(_segments(length, k), _SEGMENTS)
-    by_segment = found.groupBy("gram", "segment").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "at", "n")).alias("one"))
-    by_segment = written(by_segment.select("gram", "segment", "low", "high", "one.doc_id", "one.at", "one.n"), "segments")
+    # of one occurrence in the least document the place and length, as one number, so that nothing is sorted for it
+    one = F.min_by(F.col("at").cast("long") * (1 << 24) + F.col("n"), "doc_id").alias("one")
+    by_segment = found.groupBy("gram", "segment").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), one)
+    by_segment = written(by_segment, "segments")
     # aggregated before it is joined: a k-gram can have a third of all segments, and a skewed join is split
     grams = by_segment.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most")
     wanted = by_segment.join(grams.select("gram", "kinds"), "gram").withColumn("many", F.col("low") != F.col("high"))
-    wanted = written(wanted.select("gram", "segment", "low", "many", "kinds", "doc_id", "at", "n"), "wanted")
+    at, n = F.expr("cast(one div 16777216 as int)").alias("at"), F.expr("cast(one % 16777216 as int)").alias("n")
+    wanted = written(wanted.select("gram", "segment", "low", "many", "kinds", at, n), "wanted")
     whole = wanted.where("kinds = 1").select("gram", "segment", F.lit(0).alias("a"), F.col("n").alias("b"), F.col("low").alias("first_doc"))
 
     def words_of(some: DataFrame) -> DataFrame:
-        asked = some.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "segment", "at", "n", "low", "many")).alias("wanted"))
+        asked = some.groupBy(F.col("low").alias("doc_id")).agg(F.collect_list(F.struct("gram", "segment", "at", "n", "low", "many")).alias("wanted"))
         return docs.join(asked, "doc_id").select("text", "wanted").mapInArrow(_cut, _TEXTS)
 
     texts = words_of(wanted.where((F.col("kinds") > 1) & (F.col("kinds") <= gram_segments)))
