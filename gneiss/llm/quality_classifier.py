@@ -2,13 +2,13 @@
 
 The text view has hashed words and the shares of character classes and repeated words; the metadata view has hashed
 source, language, their pair, and a scale of length.  Both are logistic regressions.  In each round both score every
-unlabelled document of the table, and the ``PER_ROUND`` different texts that a view is surest of, by class, go to the
+document of the table that isn't in the labelled sample, and the ``PER_ROUND`` different texts that a view is surest of, by class, go to the
 other view's training set.  Each view is calibrated on held-out labelled documents, and the calibrated log odds are
 added, less those of the prior counted twice.  A third view, of toxicity, is learned from labels of its own and takes
 no part in ``keep``.
 
 The fit uses at most ``TRAIN_DOCS`` labelled documents, chosen by hash, of each of which the executors send features, never
-its text.  The unlabelled ones are all scored in every round; ``PER_ROUND`` is how far the training sets grow by it.  All
+its text.  The others are all scored in every round; ``PER_ROUND`` is how far the training sets grow by it.  All
 documents are scored, whole.
 """
 
@@ -288,7 +288,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, rounds
         return Model(*(fit_logistic(np.concatenate([m for m, _ in s]), np.concatenate([t for _, t in s])) for s in sets))
 
     model = fitted()
-    pool = known.join(quality.select("doc_id"), "doc_id", "left_anti")
+    # what isn't in the sample is as if it had no label, so no text is shuffled to leave all labelled ones out
+    pool = known.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
     for r in range(rounds if len(y) else 0):
         # a round asks for as many more as it may have used already
         wide = tuple(n * (r + 1) for n in per_class)

@@ -2,48 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.session import shared_folder
-
-
-_MADE: dict[str, SparkSession] = {}
-
-
-def made(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, of what `release` deletes, and the end of the program."""
-    path = f"{shared_folder(spark)}/gneiss-{name}-{uuid.uuid4().hex}"
-    _MADE[path] = spark
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder, which outlives lost executors."""
-    path = made(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Delete what has been written to the shared folder so far; results that aren't stored elsewhere can't be read any more."""
-    while _MADE:
-        _remove(*reversed(_MADE.popitem()))
-
-
-atexit.register(release)
-
+from gneiss.session import made, release, shared_folder, written
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may have ended before
-        pass
+__all__ = ["documents", "fresh", "hash_sample", "made", "present", "release", "shared_folder", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

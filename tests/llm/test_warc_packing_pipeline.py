@@ -294,3 +294,16 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert random.Random(0) and prose
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, ties and columns of clashing names."""
+    rng = random.Random(3)
+    copy, span = prose(rng, 120), prose(rng, 20)
+    docs = messy(spark, [copy, copy, prose(rng, 60) + " " + span, prose(rng, 90), "Two words", ""])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, span), (None, span), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    packed = {d for r in rows for d in r.doc_ids}
+    assert {1, 4, 100, 103} <= packed and packed.isdisjoint({2, 3, 5, 101, 102, None})
+    assert sum(r.n_tokens for r in rows) == sum(sum(r.lengths) for r in rows)
