@@ -8,7 +8,6 @@ from __future__ import annotations
 import json
 import tomllib
 from collections.abc import Iterator
-from fnmatch import fnmatchcase
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,13 +60,36 @@ def _pyproject(text: str) -> Iterator[tuple]:
         yield from (("pyproject.toml", None, "binary", k) for k in table)
 
 
-def workspace_members(root_manifest: str, folders: list[str]) -> list[str]:
-    """Folders of the crates of a workspace; ``*`` stands for one level."""
+_MEMBERS = "kind string, folder string"
+
+
+def workspace_members(root_manifest: str) -> list[tuple[str, str]]:
+    """(``=``, folder) of a member and (``*``, folder) for all folders in one, of the workspace and the root crate itself."""
+    out = [("=", "")]
     try:
         wanted = tomllib.loads(root_manifest).get("workspace", {}).get("members", [])
     except tomllib.TOMLDecodeError:
-        return []
-    return [f for f in folders if any(f.count("/") == str(w).rstrip("/").count("/") and fnmatchcase(f, str(w).rstrip("/")) for w in wanted)]
+        return out
+    for w in (str(w).rstrip("/").removeprefix("./") for w in wanted):
+        folder, _, last = w.rpartition("/")
+        if last == "*" and "*" not in folder:
+            out.append(("*", folder))
+        elif "*" not in w:
+            out.append(("=", w))
+    return out
+
+
+def crates_of(contents: DataFrame, folders: DataFrame) -> DataFrame:
+    """(crate) of the folders (crate) that the root manifest makes part of its workspace; none without such a manifest."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([m for text in b["content"] for m in workspace_members(text)], columns=["kind", "folder"])
+
+    members = contents.where("path = 'Cargo.toml' and content is not null").select("content").mapInPandas(run, _MEMBERS)
+    whole, inside = F.struct(F.lit("=").alias("kind"), F.col("crate").alias("folder")), F.struct(F.lit("*").alias("kind"), P.parent_dir(F.col("crate")).alias("folder"))
+    keyed = folders.select("crate", F.explode(F.when(F.col("crate") == "", F.array(whole)).otherwise(F.array(whole, inside))).alias("k")).select("crate", "k.kind", "k.folder")
+    return keyed.join(members, ["kind", "folder"], "left_semi").select("crate").distinct()
 
 
 def manifest_entries(files: DataFrame) -> DataFrame:
@@ -90,9 +112,11 @@ def entry_points(listing: DataFrame, contents: DataFrame, symbols: DataFrame | N
     near = listing.select("path").distinct().where((F.size(F.split("path", "/")) <= MAX_DEPTH) & ~P.is_noise(F.col("path")))
     none = F.lit(None).cast("long").alias("line")
     stem = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
-    declared = manifest_entries(contents)
+    cargo, folder = F.col("path").rlike(r"(?:^|/)Cargo\.toml$"), P.parent_dir(F.col("path"))
+    crates = crates_of(contents, near.select("path").unionByName(contents.select("path")).where(cargo).select(folder.alias("crate")).distinct())
+    ours = contents.where(cargo).withColumn("crate", folder).join(crates, "crate", "left_semi").select(*contents.columns)
+    declared = manifest_entries(contents.where(~cargo).unionByName(ours))
     there = declared.where("path like '%.rs'").join(near, "path", "left_semi").unionByName(declared.where("path not like '%.rs'"))
-    crates = near.where("path like '%Cargo.toml'").select(P.parent_dir(F.col("path")).alias("crate"))
     auto = near.where(F.col("path").rlike(r"(?:^|/)(?:src/bin|tests|benches|examples)/(?:[^/]+\.rs|[^/]+/main\.rs)$"))
     auto = auto.withColumn("crate", F.regexp_replace("path", r"/?(?:src/bin|tests|benches|examples)/(?:[^/]+\.rs|[^/]+/main\.rs)$", "")).join(crates, "crate", "left_semi")
     name = F.when(stem == "main", F.regexp_extract("path", r"([^/]*)/main\.rs$", 1)).otherwise(stem)

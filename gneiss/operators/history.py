@@ -68,17 +68,20 @@ def file_authors(commits: DataFrame, file_changes: DataFrame) -> DataFrame:
     return each.select("path", "author", F.sum("n").over(Window.partitionBy("path")).alias("changes"))
 
 
-def coupling_counts(file_changes: DataFrame, max_files_per_commit: int | None = None) -> DataFrame:
-    """(a, b, cochanges) of pairs of files changed together, a < b, before any cut.
+def coupling_counts(file_changes: DataFrame, max_files_per_commit: int | None = None, least: int = 1) -> DataFrame:
+    """(a, b, cochanges) of pairs of files changed together at least ``least`` times, a < b.
 
-    The pairs of a commit are quadratic in its files; ``max_files_per_commit`` leaves larger commits out, and is off
-    unless asked for.
+    The pairs of a commit are quadratic in its files, so files that changed fewer times are left out before they are
+    paired.  ``max_files_per_commit`` leaves larger commits out, and is off unless asked for.
     """
     rows = file_changes.where(~P.is_noise(F.col("path"))).select("hash", "path")
+    if least > 1:
+        often = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        rows = rows.join(often.select("path"), "path", "left_semi")
     if max_files_per_commit is not None:
         rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash"))).where(F.col("n") <= max_files_per_commit).drop("n")
     left, right = rows.withColumnRenamed("path", "a"), rows.withColumnRenamed("path", "b")
-    return left.join(right, "hash").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("cochanges"))
+    return left.join(right, "hash").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("cochanges")).where(F.col("cochanges") >= least)
 
 
 def both_ways(coupling: DataFrame, min_cochanges: int = MIN_COCHANGES) -> DataFrame:
@@ -134,10 +137,12 @@ def ownership(authors: DataFrame, activity: DataFrame, contributors: DataFrame,
 def critical_owners(contributors: DataFrame) -> DataFrame:
     """Humans by commits until four fifths of all are covered; coverage adds up (Q8)."""
     humans = contributors.where("not is_bot")
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("commits"), "name")
-    upto = F.sum("commits").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("commits").over(Window.partitionBy(F.lit(0)))
-    rows = humans.withColumn("upto", upto).withColumn("total", total).where("(upto - commits) < 0.8 * total")
+    # added up by number of commits first, of which there are few; only authors of the numbers that count are ranked
+    by = humans.groupBy("commits").agg(F.sum("commits").alias("own"))
+    more = Window.orderBy(F.desc("commits")).rowsBetween(Window.unboundedPreceding, -1)
+    by = by.select("commits", F.coalesce(F.sum("own").over(more), F.lit(0)).alias("before"), F.sum("own").over(Window.partitionBy(F.lit(0))).alias("total")).where("before < 0.8 * total")
+    rank = F.row_number().over(Window.partitionBy("commits").orderBy("name"))
+    rows = humans.join(by, "commits").withColumn("upto", F.col("before") + F.col("commits") * rank).where("(upto - commits) < 0.8 * total")
     return rows.select("name", "commits", F.round(F.col("upto").cast("double") / F.col("total") * 100, 6).alias("coverage"), "last_seen", P.is_stale(F.col("last_seen"), F.col("last")).alias("stale"))
 
 

@@ -110,7 +110,7 @@ QUERIES: dict[str, tuple[Query, str]] = {
         _on_repo(
             lambda r: T.unsuppressed(
                 D.source_findings(r.sources).withColumn("line", F.col("start_line")),
-                T.directives(X.lines(r.sources.where(F.col("path").rlike(r"1\d*(?:_test)?\.ts$")).select("path", F.concat(F.lit("// slop-ignore: empty-catch\n"), "content").alias("content")))),
+                T.directives(X.lines(r.sources.select("path", F.when(F.col("path").rlike(r"1\d*(?:_test)?\.ts$"), F.concat(F.lit("// slop-ignore: empty-catch\n"), "content")).otherwise(F.col("content")).alias("content")))),
             ).select("path", "line", "category")
         ),
         _with(_FINDINGS) + r"SELECT path, CAST(start_line AS BIGINT) AS line, category FROM findings WHERE NOT (category = 'empty-catch' AND regexp_matches(path, '1\d*(_test)?\.ts$'))",

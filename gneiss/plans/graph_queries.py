@@ -19,7 +19,7 @@ NAME = "getCopper_21"
 
 
 def _edges(r: Repo, min_jaccard: float = G.MIN_JACCARD, min_cochanges: int = 3) -> DataFrame:
-    return G.cochange_edges(r.coupling, r.file_activity, min_jaccard, min_cochanges)
+    return G.cochange_edges(r.coupled(min_cochanges), r.file_activity, min_jaccard, min_cochanges)
 
 
 def _groups(r: Repo) -> DataFrame:

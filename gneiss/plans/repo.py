@@ -129,3 +129,9 @@ class Repo:
     @cached_property
     def coupling(self) -> DataFrame:
         return history.coupling_counts(self.file_changes)
+
+    def coupled(self, least: int) -> DataFrame:
+        """Pairs of at least so many common changes, for which rarely changed files aren't paired."""
+        if "coupling" in self.__dict__:  # stored or worked out already
+            return self.coupling.where(F.col("cochanges") >= least)
+        return history.coupling_counts(self.file_changes, least=least)

@@ -235,8 +235,8 @@ def test_project_metadata(spark):
 
 
 def test_entry_points(spark):
-    paths = ["Cargo.toml", "src/main.rs", "src/bin/tool.rs", "src/bin/nested/main.rs", "tests/it.rs", "crates/c/Cargo.toml", "crates/c/src/main.rs", "pkg/sub/__main__.py", "next.config.mjs", "lonely/tests/x.rs", "vendor/__main__.py"]
-    contents = [("Cargo.toml", '[package]\nname = "top"\n'), ("crates/c/Cargo.toml", '[package]\nname = "c"\n[[bin]]\nname = "cc"\npath = "src/main.rs"\n'), ("package.json", '{"name": "n", "bin": {"cli": "./bin/c.js"}, "scripts": {"build": "x"}}'), ("pyproject.toml", '[project.scripts]\nrun = "a:b"\n'), ("bad/Cargo.toml", "[[")]
+    paths = ["Cargo.toml", "src/main.rs", "src/bin/tool.rs", "src/bin/nested/main.rs", "tests/it.rs", "crates/c/Cargo.toml", "crates/c/src/main.rs", "pkg/sub/__main__.py", "next.config.mjs", "lonely/tests/x.rs", "lonely/src/main.rs", "vendor/__main__.py"]
+    contents = [("Cargo.toml", '[package]\nname = "top"\n[workspace]\nmembers = ["crates/*", "x"]\n'), ("lonely/Cargo.toml", '[package]\nname = "l"\n'), ("crates/c/Cargo.toml", '[package]\nname = "c"\n[[bin]]\nname = "cc"\npath = "src/main.rs"\n'), ("package.json", '{"name": "n", "bin": {"cli": "./bin/c.js"}, "scripts": {"build": "x"}}'), ("pyproject.toml", '[project.scripts]\nrun = "a:b"\n'), ("bad/Cargo.toml", "[[")]
     symbols = spark.createDataFrame([("src/main.rs", "definition", "main", "function", 3, 1), ("k.rs", "definition", "main", "struct", 3, 1)], "path string, role string, name string, kind string, line long, complexity long")
     out = E.entry_points(spark.createDataFrame([(p,) for p in paths], "path string"), spark.createDataFrame(contents, "path string, content string"), symbols).collect()
     assert [(r.kind, r.path, r.name) for r in out] == [
@@ -252,7 +252,7 @@ def test_entry_points(spark):
         ("npm-script", "package.json", "build"),
         ("framework-config", "next.config.mjs", "next.config.mjs"),
     ]
-    assert E.workspace_members('[workspace]\nmembers = ["crates/*", "x"]', ["crates/a", "crates/a/b", "x", "y"]) == ["crates/a", "x"]
+    assert E.workspace_members('[workspace]\nmembers = ["crates/*", "x", "./y/", "a/*/b", "*"]') == [("=", ""), ("*", "crates"), ("=", "x"), ("=", "y"), ("*", "")]
 
 
 # --- sources
