@@ -129,8 +129,10 @@ def features(raw: np.ndarray, bounds: np.ndarray, meta: np.ndarray) -> tuple[K.W
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 150) -> np.ndarray:
-    """Weights, the intercept last, by Nesterov's accelerated gradient."""
-    x = np.concatenate((x, np.ones((len(x), 1))), axis=1).astype(np.float32)
+    """Weights, the intercept last, by Nesterov's accelerated gradient; a column of zeros has no weight and costs nothing."""
+    used = np.append(x.any(axis=0), True)
+    out = np.zeros(len(used))
+    x = np.concatenate((x[:, used[:-1]].astype(np.float32), np.ones((len(x), 1), np.float32)), axis=1)
     w = np.zeros(x.shape[1], np.float32)
     v, rate = w.copy(), 4 / max(float((x**2).sum(axis=1).max(initial=1.0)), 1e-6)
     for t in range(steps):
@@ -138,7 +140,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int
         new = v - rate * (x.T @ (p - y) / max(len(y), 1) + penalty * np.append(v[:-1], 0))
         v = new + t / (t + 3) * (new - w)
         w = new
-    return w.astype(np.float64)
+    out[used] = w
+    return out
 
 
 def _log_odds(p: float) -> float:
@@ -297,9 +300,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, rounds
         sure = pool.mapInArrow(partial(_surest, shared=shared, per_class=wide), _ROW)
         # copies of a text count once; aggregated before they are ordered, so that no task sorts the best of all others
         kept = F.max(F.struct("sure", "doc_id", "columns", "values", "dense", "meta")).alias("one")
-        sure = sure.groupBy("view", "good", "h").agg(kept).select("view", "good", "h", "one.*")
+        # written, as each of the four lists would score all documents for itself
+        sure = written(sure.groupBy("view", "good", "h").agg(kept).select("view", "good", "h", "one.*"), "surest")
         best = [sure.where((F.col("view") == view) & (F.col("good") == bool(good))).orderBy(F.desc("sure"), "h").limit(wide[good]) for view in (0, 1) for good in (0, 1)]
-        found = written(reduce(DataFrame.unionByName, best), "surest").toArrow().sort_by([("view", "ascending"), ("good", "ascending"), ("sure", "descending"), ("h", "ascending")])
+        found = reduce(DataFrame.unionByName, best).toArrow().sort_by([("view", "ascending"), ("good", "ascending"), ("sure", "descending"), ("h", "ascending")])
         new = _unpacked(found)
         wides = (new.text_matrix(), new.meta_matrix())
         at = [found.column(c).to_numpy(zero_copy_only=False) for c in ("view", "good", "h")]
