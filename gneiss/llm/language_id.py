@@ -1,45 +1,62 @@
 """Language of words in code-switched text by a linear-chain conditional random field.
 
 A word's features are its affixes of one to three bytes, all its trigrams, and its number in a lexicon of the training
-words; weights of the first two are hashed.  A chain is a sentence, however long.  Transition weights are learned from
+words; weights of the first two are hashed, and the lexicon tells words apart by 18 bits of their hashes.  A chain is a sentence, however long.  Transition weights are learned from
 sentences of which half are spliced from two languages.  Forward-backward gives each word's label probabilities; long
 chains are walked in blocks at once, whose messages are handed on exactly.
 
 The field tells the languages apart, but not whether a text is in any of them.  That is judged by letter trigrams: a
 document goes whose words are much less likely, each in its language, than those of held-out labelled documents.
 
-The field is trained on a sample of at most ``TRAIN_DOCS`` labelled documents, chosen by hash; the fit is
-deterministic.  All documents are labelled, whole.
+Everything is learned from all labelled documents, whole.  The lexicon, the letters and what is usual are counted
+exactly.  The field is trained in shards of about ``SHARD_BYTES`` of text each, cut by hash and so mixed whatever the
+order of the table; each goes over its documents ``EPOCHS`` times, and the weights are then averaged, each shard
+counting as much as its documents had to say of a weight.  The fit doesn't depend on how the table is laid out.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import kernels as K
-from gneiss.llm.shared import documents, hash_sample
+from gneiss.llm.shared import documents
 
-TRAIN_DOCS = 600
 EPOCHS = 3
+#: Text that is learned from by one task.
+SHARD_BYTES = 32 << 20
+#: Text whose sentences are mixed with one another.
+LESSON_BYTES = 2 << 20
+#: Sentences a step, and this part of those seen so far at least, up to a bound; later steps need less noise.
+STEP, STEP_PART, MOST_STEP = 256, 50, 1 << 15
+#: Weights that tasks hand on as one row.
+SLICE = 1 << 14
 #: Words that are walked at once; longer chains are joined of such blocks, with the same result.
 BLOCK = 64
 BUCKETS = 1 << 15
+#: Words whose hashes agree in so many bits share a number in the lexicon.
+WORD_BITS = 18
 #: A document is rejected only if no language has this part of its words.
 MIN_SHARE = 1 / 3
-#: Labelled documents in so many, by language, that calibrate how likely words of a language are.
+#: One labelled document in so many, by hash, calibrates how likely words of a language are.
 HELD_OUT = 3
 #: Mean log likelihood a letter that a document may lack: so often what one in 20 held-out documents lack, at least
 #: the second, and so many standard errors of its words' mean besides.
 LACK_TIMES, LEAST_LACK, ERRORS = 6, 0.8, 3
 PRIOR, LETTER = 2.0, 1 / 64
+#: A power of two, which numbers of either size hold exactly.
+FIRST_SEEN = 2.0**-7
+PAIRS, TRIPLES = 1 << 16, 1 << 17
+#: Mean likelihoods of documents are told apart by this; sums of likelihoods are whole numbers of the other, so that their order doesn't matter.
+BIN, UNIT = 2.0**-12, 2.0**-20
 
 U32, U64 = np.uint32, np.uint64
 _STOP = np.zeros(256, bool)
@@ -52,6 +69,26 @@ def _within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
+def _distinct(number: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(different ones in order, which of these each is) of numbers below ``size``, without sorting."""
+    there = np.zeros(size, bool)
+    there[number] = True
+    some = np.flatnonzero(there)
+    place = np.empty(size, np.int64)
+    place[some] = np.arange(len(some))
+    return some, place[number]
+
+
+def _different(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one of each different hash, in the order of the hashes, which of these each is)."""
+    order = np.argsort(value)
+    head = np.ones(len(value), bool)
+    head[1:] = value[order[1:]] != value[order[:-1]]
+    which = np.empty(len(value), np.int64)
+    which[order] = np.cumsum(head) - 1
+    return order[head], which
+
+
 def features(raw: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(weight numbers of the words one after another, bounds by word); the table's last weight is the absent feature and stays 0."""
     low = K.fold(raw)
@@ -130,36 +167,144 @@ class Likelihood:
         return less, np.sqrt(np.bincount(row, weights=self.spread[label] ** 2, minlength=len(n))) / some
 
 
-def likelihood(texts: pa.Array, langs: list[str], labels: list[str]) -> Likelihood | None:
-    """Fit on documents of one language each, some of which are held out for what is usual."""
-    k, number, place = len(labels), {name: i for i, name in enumerate(labels)}, dict.fromkeys(labels, 0)
-    held = np.zeros(len(langs), bool)
-    for i, name in enumerate(langs):
-        place[name] += 1
-        held[i] = place[name] % HELD_OUT == 0
-    raw, bounds, _ = K.strings(texts)
-    raw, bounds = raw[bounds[0] : bounds[-1]] if len(bounds) > 1 else raw, bounds - bounds[0]
-    x = K.words(raw, bounds)
-    if not k or not len(x.hash):
+def _numbers(value: np.ndarray) -> np.ndarray:
+    """What the lexicon tells words apart by, of their hashes."""
+    return value >> U64(64 - WORD_BITS)
+
+
+def _coded(column: pa.Array) -> tuple[list[str], np.ndarray]:
+    coded = column.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, shape: tuple[int, ...]) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, int(np.prod(shape)) * 8, codec="zstd", asbytes=True), np.int64).reshape(shape)
+
+
+#: Of learned and of held-out documents: letters by trigram, by the two before, words and bytes.
+_COUNTS = (2, TRIPLES + PAIRS + 2)
+_TOTALS = pa.schema([("lang", pa.string()), ("data", pa.binary())])
+
+
+def _totals(tables: dict[str | None, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for name, table in tables.items():
+        yield K.batch(_TOTALS, [name], [_packed(table)])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by language, and under null how often, up to twice, each number of the lexicon stands there."""
+    seen = np.zeros(1 << WORD_BITS, np.int64)
+    tables: dict[str | None, np.ndarray] = {}
+    for b in batches:
+        held = b.column("held").to_numpy(zero_copy_only=False).astype(np.int64)
+        for at, end, raw, bounds in K.chunks(b.column("text")):
+            names, code = _coded(b.column("lang").slice(at, end - at))
+            group, groups = code * 2 + held[at:end], 2 * len(names)
+            x = K.words(raw, bounds)
+            first, inverse = _different(x.hash)
+            seen += np.bincount(_numbers(x.hash).astype(np.int64), minlength=1 << WORD_BITS)
+            n = np.bincount(inverse * groups + group[x.row_of()], minlength=len(first) * groups).reshape(-1, groups)
+            _, before, whole = trigrams(raw, x.start[first], x.end[first])
+            words, size = np.bincount(group, weights=x.counts, minlength=groups), np.bincount(group, weights=np.diff(bounds), minlength=groups)
+            # the letters of each different word once for each group that has it
+            word, of = np.nonzero(n)
+            letters = x.end[first] - x.start[first] + 1
+            which, place = _within(letters[word])
+            letter, times, of = (np.cumsum(letters) - letters)[word][which] + place, n[word, of][which], of[which]
+            found = np.bincount(of * TRIPLES + whole[letter], weights=times, minlength=groups * TRIPLES).reshape(-1, 2, TRIPLES)
+            found_before = np.bincount(of * PAIRS + before[letter], weights=times, minlength=groups * PAIRS).reshape(-1, 2, PAIRS)
+            for i, name in enumerate(names):
+                table = tables.setdefault(name, np.zeros(_COUNTS, np.int64))
+                table[:, :TRIPLES] += found[i].astype(np.int64)
+                table[:, TRIPLES:-2] += found_before[i].astype(np.int64)
+                table[:, -2] += words[2 * i : 2 * i + 2].astype(np.int64)
+                table[:, -1] += size[2 * i : 2 * i + 2].astype(np.int64)
+    if tables:
+        yield from _totals(tables | {None: np.minimum(seen, 2)})
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tables: dict[str | None, np.ndarray] = {}
+    for b in batches:
+        for name, data in zip(b.column("lang").to_pylist(), b.column("data").to_pylist(), strict=True):
+            table = _unpacked(data, (1 << WORD_BITS,) if name is None else _COUNTS)
+            tables[name] = tables[name] + table if name in tables else table
+    yield from _totals(tables)
+
+
+def counts(known: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(lexicon, counts by language in order) of all labelled documents."""
+    rows = known.select("lang", "text", "held").mapInArrow(_count, "lang string, data binary").repartition("lang").mapInArrow(_add, "lang string, data binary").collect()
+    lexicon, tables = np.zeros(0, U64), {}
+    for name, data in rows:
+        if name is None:
+            lexicon = np.flatnonzero(_unpacked(data, (1 << WORD_BITS,)) > 1).astype(U64)
+        else:
+            tables[name] = _unpacked(data, _COUNTS)
+    return lexicon, dict(sorted(tables.items()))
+
+
+_TRIED = pa.schema([("lang", pa.string()), ("bin", pa.int32()), ("words", pa.int64()), ("total", pa.int64()), ("squares", pa.int64())])
+
+
+def _try(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """How likely the words of each document that has any are in its language."""
+    usual, labels = shared.value
+    number = {name: i for i, name in enumerate(labels)}
+    for b in batches:
+        for at, end, raw, bounds in K.chunks(b.column("text")):
+            names, code = _coded(b.column("lang").slice(at, end - at))
+            label = np.array([number[name] for name in names])[code]
+            x = K.words(raw, bounds)
+            row, n = x.row_of(), x.counts
+            first, inverse = _different(x.hash)
+            score = usual.scores(raw, x.start[first], x.end[first])[inverse, label[row]]
+            total = np.bincount(row, weights=np.rint(score / UNIT), minlength=len(n))
+            squares = np.bincount(row, weights=np.rint(score**2 / UNIT), minlength=len(n))
+            some = np.flatnonzero(n)
+            mean = np.rint(total[some] * UNIT / n[some] / BIN)
+            yield K.batch(_TRIED, pa.array(names, pa.string()).take(pa.array(code[some])), mean.astype(np.int32), n[some].astype(np.int64), total[some].astype(np.int64), squares[some].astype(np.int64))
+
+
+def _quantile(value: np.ndarray, times: np.ndarray, part: float) -> float:
+    """As numpy has it, of values that stand there several times each."""
+    order = np.argsort(value)
+    upto, at = np.cumsum(times[order]), part * (int(times.sum()) - 1)
+    low, high = (value[order][np.searchsorted(upto, place, "right")] for place in (int(at), int(np.ceil(at))))
+    return float(low + (high - low) * (at - int(at)))
+
+
+def likelihood(known: DataFrame, tables: dict[str, np.ndarray]) -> Likelihood | None:
+    """Fit on all labelled documents, some of which are held out for what is usual.
+
+    A language of which no words would be left on either side is learned and tried on all its documents.
+    """
+    labels, k = list(tables), len(tables)
+    if not any(t[:, -2].any() for t in tables.values()):
         return None
-    row, label = x.row_of(), np.repeat(np.array([number[name] for name in langs]), x.counts)
-    _, first, inverse = np.unique(x.hash, return_index=True, return_inverse=True)
-    learned = ~held[row]
-    n = np.bincount(inverse[learned] * k + label[learned], minlength=len(first) * k).reshape(-1, k)
-    which, before, whole = trigrams(raw, x.start[first], x.end[first])
-    counts = np.stack([np.bincount(whole, weights=n[which, i], minlength=1 << 17) for i in range(k)], axis=1)
-    pairs = np.stack([np.bincount(before, weights=n[which, i], minlength=1 << 16) for i in range(k)], axis=1)
-    out = Likelihood(np.log(pairs + PRIOR).astype(np.float32), np.log(counts + PRIOR * LETTER).astype(np.float32), np.zeros(k), np.zeros(k))
-    score = out.scores(raw, x.start[first], x.end[first])[inverse]
-    mine = score[np.arange(len(label)), label]
+    apart = [bool(t[:, -2].all()) for t in tables.values()]
+    learned = [t[0] if a else t.sum(axis=0) for t, a in zip(tables.values(), apart, strict=True)]
+    whole, before = (np.stack([t[of] for t in learned], axis=1) for of in (slice(0, TRIPLES), slice(TRIPLES, TRIPLES + PAIRS)))
+    out = Likelihood(np.log(before + PRIOR).astype(np.float32), np.log(whole + PRIOR * LETTER).astype(np.float32), np.zeros(k), np.zeros(k))
+    shared = known.sparkSession.sparkContext.broadcast((out, labels))
+    tried = known.where(F.col("held") | F.col("lang").isin([name for name, a in zip(labels, apart, strict=True) if not a])).select("lang", "text")
+    tried = tried.mapInArrow(partial(_try, shared=shared), "lang string, bin int, words long, total long, squares long")
+    tried = tried.groupBy("lang", "bin").agg(F.count("*").alias("docs"), *(F.sum(c).alias(c) for c in ("words", "total", "squares"))).toArrow()
+    label = np.array([labels.index(name) for name in tried.column("lang").to_pylist()], np.int64)
+    place, docs, *sums = (tried.column(c).to_numpy() for c in ("bin", "docs", "words", "total", "squares"))
     for i in range(k):
-        of = mine[(label == i) & ~learned] if ((label == i) & ~learned).any() else mine[label == i]
-        # a language whose documents have no words is as unlikely as can be
-        out.mean[i], out.spread[i] = (of.mean(), of.std()) if len(of) else (0.0, 0.0)
-    less, _ = out.lacks(score, label, row, x.counts)
-    tried = less[held & (x.counts > 0)]
-    if len(tried):
-        out.lack = max(LEAST_LACK, LACK_TIMES * float(np.quantile(tried, 0.95)))
+        # whole numbers of any size; a language whose documents have no words is as unlikely as can be
+        words, total, squares = (sum(c[label == i].tolist()) for c in sums)
+        if words:
+            out.mean[i] = total / words * UNIT
+            out.spread[i] = np.sqrt(max(0.0, squares / words * UNIT - out.mean[i] ** 2))
+    held = np.array(apart)[label]
+    if held.any():
+        out.lack = max(LEAST_LACK, LACK_TIMES * _quantile(out.mean[label[held]] - place[held] * BIN, docs[held], 0.95))
     return out
 
 
@@ -207,114 +352,210 @@ def _messages(emission: np.ndarray, bounds: np.ndarray, change: np.ndarray, bloc
 def forward_backward(emission: np.ndarray, bounds: np.ndarray, change: np.ndarray, pairs: bool = False, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray | None]:
     """Label probabilities of each word, given positive emission factors, and the expected label pairs if asked."""
     bounds, left, right, inner = _messages(emission, bounds, change, block)
-    length = np.diff(bounds)
+    length, kind = np.diff(bounds), emission.dtype
     order = np.argsort(-length, kind="stable")
-    start, length, left, right = bounds[:-1][order], length[order], left[order], right[order]
-    steps = int(length[0]) if len(length) else 0
-    live = [int(np.searchsorted(-length, -t, "left")) for t in range(steps)]
-    k = emission.shape[1]
-    alpha = np.empty((len(emission), k))
-    a = None
-    for t in range(steps):
-        at = start[: live[t]] + t
-        a = left[: live[t]] * emission[at] if t == 0 else (a[: live[t]] @ change) * emission[at]
-        a /= a.sum(axis=1, keepdims=True)
-        alpha[at] = a
-    beta = np.empty((len(emission), k))
-    beta[start + length - 1] = right
-    expected = np.zeros((k, k)) if pairs else None
-
-    def joint(at: np.ndarray, b: np.ndarray) -> np.ndarray:
-        both = alpha[at - 1][:, :, None] * change * b[:, None, :]
-        return (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-
-    for t in range(steps - 1, 0, -1):
-        at = start[: live[t]] + t
-        b = emission[at] * beta[at]
-        if pairs:
-            expected += joint(at, b)
-        b = b @ change.T
-        beta[at - 1] = b / b.sum(axis=1, keepdims=True)
-    if pairs and inner.any():
-        at = bounds[:-1][inner]
-        expected += joint(at, emission[at] * beta[at])
+    start, length, left, right = bounds[:-1][order], length[order], left[order].astype(kind), right[order].astype(kind)
+    # all first words, then all second ones, and so on, those of the longest blocks first
+    which, place = _within(length)
+    step = place.astype(np.uint16) if block < 1 << 16 else place
+    by_step = np.argsort(step, kind="stable")
+    at = (start[which] + place)[by_step]
+    live = np.bincount(step)
+    upto = np.concatenate(([0], np.cumsum(live)))
+    k, change, ones = emission.shape[1], change.astype(kind), np.ones(emission.shape[1], kind)
+    e = emission[at]
+    alpha, beta = np.empty_like(e), np.empty_like(e)
+    for t, n in enumerate(live):
+        mine = alpha[upto[t] : upto[t + 1]]
+        np.multiply(left if t == 0 else alpha[upto[t - 1] : upto[t - 1] + n] @ change, e[upto[t] : upto[t + 1]], out=mine)
+        mine *= (1 / (mine @ ones))[:, None]
+    beta[upto[length - 1] + np.arange(len(length))] = right
+    back = np.ascontiguousarray(change.T)
+    for t in range(len(live) - 1, 0, -1):
+        b = (e[upto[t] : upto[t + 1]] * beta[upto[t] : upto[t + 1]]) @ back
+        b *= (1 / (b @ ones))[:, None]
+        beta[upto[t - 1] : upto[t - 1] + live[t]] = b
+    expected = None
+    if pairs:
+        later = by_step[len(start) :]
+        e *= beta
+        before, b = alpha[upto[step[later] - 1] + which[later]], e[len(start) :]
+        expected = _joint(before, b, change)
+        if inner.any():
+            # the last words of blocks that are continued, before the first of the next
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            i = np.flatnonzero(inner)
+            last = number[i - 1]
+            expected += _joint(alpha[upto[length[last] - 1] + last], e[number[i]], change)
     alpha *= beta
-    alpha /= alpha.sum(axis=1, keepdims=True)
-    return alpha, expected
+    alpha *= (1 / (alpha @ ones))[:, None]
+    out = np.empty_like(alpha)
+    out[at] = alpha
+    return out, expected
+
+
+def _joint(before: np.ndarray, b: np.ndarray, change: np.ndarray) -> np.ndarray:
+    """Expected label pairs of neighbours, given what comes to each from its side."""
+    before = before * (1 / np.einsum("ni,ni->n", before @ change, b))[:, None]
+    return (change * np.einsum("ni,nj->ij", before, b)).astype(np.float64)
 
 
 def factors(score: np.ndarray) -> np.ndarray:
     return np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -50))
 
 
-def train(texts: pa.Array, langs: list[str], epochs: int = EPOCHS, seed: int = 7) -> Field:
-    """Fit on documents of one language each."""
-    labels = sorted(set(langs))
-    k = max(1, len(labels))
-    number = {name: i for i, name in enumerate(labels)}
-    raw, bounds, _ = K.strings(texts)
-    raw, bounds = raw[bounds[0] : bounds[-1]], bounds - bounds[0]
-    x = K.words(raw, bounds)
-    word, first, inverse, count = np.unique(x.hash, return_index=True, return_inverse=True, return_counts=True)
-    lexicon = word[count > 1]
-    field = Field(labels, lexicon, np.zeros((BUCKETS + len(lexicon) + 1, k)), np.zeros((k, k)))
-    if len(labels) < 2 or not len(word):
-        return field
-    feature, at_feature = features(raw, x.start[first], x.end[first], word, lexicon)
-    truth = np.repeat(np.array([number[name] for name in langs]), x.counts)
+@dataclass
+class Lesson:
+    """Texts as training sees them."""
+
+    #: Which of the different words each word is.
+    word: np.ndarray
+    #: First word of each chain, with one more bound at the end, and the chain's label.
+    cut: np.ndarray
+    truth: np.ndarray
+    #: Weights that the texts have, which of these each different word has, and bounds by word.
+    mine: np.ndarray
+    feature: np.ndarray
+    bounds: np.ndarray
+
+
+def lessons(texts: pa.Array, language: np.ndarray, lexicon: np.ndarray) -> Iterator[Lesson]:
+    for row, end, raw, bounds in K.chunks(texts, LESSON_BYTES):
+        x = K.words(raw, bounds)
+        if len(x.hash):
+            first, inverse = _different(x.hash)
+            feature, at = features(raw, x.start[first], x.end[first], _numbers(x.hash[first]), lexicon)
+            mine, feature = _distinct(feature, BUCKETS + len(lexicon) + 1)
+            cut = chains(raw, x)
+            truth = language[row:end][np.searchsorted(x.first, cut[:-1], "right") - 1]
+            yield Lesson(*(a.astype(np.int32) for a in (inverse, cut, truth, mine, feature, at)))
+
+
+def train(parts: list[Lesson], labels: list[str], lexicon: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> tuple[Field, np.ndarray, np.ndarray]:
+    """Fit on texts of one language each; also how much was seen of each weight and of each change."""
+    k = len(labels)
+    field = Field(labels, lexicon, np.zeros((BUCKETS + len(lexicon) + 1, k), np.float32), np.zeros((k, k)))
+    seen, seen_change, rate, done = np.full(field.weight.shape, FIRST_SEEN, np.float32), np.full((k, k), FIRST_SEEN), 0.3, 0
     rng = np.random.default_rng(seed)
-    cut = chains(raw, x)
-    units = [np.arange(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    other = rng.permutation(len(units))
-    spliced = [np.concatenate((u[: (len(u) + 1) // 2], units[o][len(units[o]) // 2 :])) for u, o in zip(units, other, strict=True)]
-    pick = rng.random(len(units)) < 0.5
-    units = [s if p else u for s, u, p in zip(spliced, units, pick, strict=True)]
-    seen, seen_change, rate = np.full(field.weight.shape, 1e-2), np.full((k, k), 1e-2), 0.3
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(units)), max(1, len(units) // 256)):
-            mine = [units[i] for i in part]
-            at = np.concatenate(mine)
-            ends = np.concatenate(([0], np.cumsum([len(u) for u in mine])))
+    for x in [x for _ in range(epochs) for x in parts]:
+        # the weights of these texts only
+        local, local_seen = Field(labels, lexicon, field.weight[x.mine], field.change), seen[x.mine]
+        start, size = x.cut[:-1].astype(np.int64), np.diff(x.cut).astype(np.int64)
+        other, pick = rng.permutation(len(size)), rng.random(len(size)) < 0.5
+        # of each chain a piece of its own, and of half of them the end of another
+        from_ = np.stack((start, start[other] + size[other] // 2), axis=1)
+        long = np.stack((np.where(pick, (size + 1) // 2, size), np.where(pick, size[other] - size[other] // 2, 0)), axis=1)
+        label = np.stack((x.truth, x.truth[other]), axis=1).astype(np.int64)
+        order, step = rng.permutation(len(size)), 0
+        while step < len(order):
+            part = order[step : step + min(MOST_STEP, max(STEP, done // STEP_PART))]
+            step, done = step + len(part), done + len(part)
+            which, place = _within(long[part].ravel())
+            at, y = from_[part].ravel()[which] + place, label[part].ravel()[which]
+            ends = np.concatenate(([0], np.cumsum(long[part].sum(axis=1))))
             # each different word of the part once, as often as it stands there
-            some, which = np.unique(inverse[at], return_inverse=True)
-            n = np.diff(at_feature)[some]
+            some, which = _distinct(x.word[at], len(x.bounds) - 1)
+            n = np.diff(x.bounds)[some]
             of, place = _within(n)
-            f = feature[at_feature[some][of] + place]
-            score = field.scores(f, np.concatenate(([0], np.cumsum(n))))
-            p, pairs = forward_backward(factors(score[which]), ends, np.exp(field.change), pairs=True)
-            y = truth[at]
-            p[np.arange(len(y)), y] -= 1
-            p /= len(mine)
-            total = np.stack([np.bincount(which, weights=p[:, i], minlength=len(some)) for i in range(k)], axis=1)
-            gradient = np.stack([np.bincount(f, weights=total[of, i], minlength=len(field.weight)) for i in range(k)], axis=1)
-            gradient[-1] = 0
-            inner = np.ones(len(y), bool)
-            inner[ends[:-1]] = False
-            t = np.flatnonzero(inner)
-            np.add.at(pairs, (y[t - 1], y[t]), -1)
-            seen += gradient**2
-            field.weight -= rate * gradient / np.sqrt(seen)
-            pairs /= len(mine)
+            f = x.feature[x.bounds[some][of] + place]
+            score = local.scores(f, np.concatenate(([0], np.cumsum(n))))
+            p, pairs = forward_backward(factors(score)[which], ends, np.exp(field.change), pairs=True)
+            p.ravel()[np.arange(0, p.size, k) + y] -= 1
+            total = [np.bincount(which, weights=p[:, i], minlength=len(some)) / len(part) for i in range(k)]
+            gradient = np.stack([np.bincount(f, weights=t[of], minlength=len(x.mine)) for t in total], axis=1).astype(np.float32)
+            gradient[x.mine == len(field.weight) - 1] = 0
+            both = y[:-1] * k + y[1:]
+            inner = np.ones(len(both), bool)
+            inner[ends[1:-1] - 1] = False
+            pairs -= np.bincount(both[inner], minlength=k * k).reshape(k, k)
+            local_seen += gradient**2
+            local.weight -= rate * gradient / np.sqrt(local_seen)
+            pairs /= len(part)
             seen_change += pairs**2
             field.change -= rate * pairs / np.sqrt(seen_change)
-    return field
+        field.weight[x.mine], seen[x.mine] = local.weight, local_seen
+    return field, (seen.astype(np.float64) - FIRST_SEEN).sum(axis=1), seen_change - FIRST_SEEN
+
+
+_PART = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("weight", pa.binary()), ("seen", pa.binary())])
+_PART_SCHEMA = "part int, shard int, weight binary, seen binary"
+#: The part that has the changes of label.
+_CHANGE = -1
+
+
+def _release() -> None:
+    """Give memory back that this worker, which Spark keeps for later tasks, doesn't use any more."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _train(batches: Iterator[pa.RecordBatch], shared: Broadcast, epochs: int) -> Iterator[pa.RecordBatch]:
+    labels, lexicon = shared.value
+    number = {name: i for i, name in enumerate(labels)}
+    parts = []
+    for b in batches:
+        names, code = _coded(b.column("lang"))
+        parts += lessons(b.column("text"), np.array([number[name] for name in names], np.int64)[code], lexicon)
+    if not parts:
+        return
+    del b
+    _release()
+    shard = TaskContext.get().partitionId()
+    field, seen, seen_change = train(parts, labels, lexicon, epochs)
+    parts.clear()
+    _release()
+    for i in range(0, len(seen), SLICE):
+        if seen[i : i + SLICE].any():
+            yield K.batch(_PART, [i // SLICE], [shard], [field.weight[i : i + SLICE].tobytes()], [seen[i : i + SLICE].astype(np.float32).tobytes()])
+    yield K.batch(_PART, [_CHANGE], [shard], [field.change.astype(np.float32).tobytes()], [seen_change.astype(np.float32).tobytes()])
+
+
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of each weight, by how much each shard has seen of it."""
+    sums: dict[int, list[np.ndarray]] = {}
+    for b in batches:
+        for part, weight, seen in zip(b.column("part").to_pylist(), b.column("weight").to_pylist(), b.column("seen").to_pylist(), strict=True):
+            n = np.frombuffer(seen, np.float32).astype(np.float64)
+            w = np.frombuffer(weight, np.float32).reshape(len(n), -1) * n[:, None]
+            if part in sums:
+                sums[part][0] += w
+                sums[part][1] += n
+            else:
+                sums[part] = [w, n.copy()]
+    for part, (w, n) in sums.items():
+        mean = np.divide(w, n[:, None], out=np.zeros_like(w), where=n[:, None] > 0)
+        yield K.batch(_PART, [part], [0], [mean.astype(np.float32).tobytes()], [b""])
 
 
 def label_words(field: Field, raw: np.ndarray, x: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(label probabilities of all words, first places of the different words, which of these each word is)."""
-    word, first, inverse = np.unique(x.hash, return_index=True, return_inverse=True)
-    score = factors(field.scores(*features(raw, x.start[first], x.end[first], word, field.lexicon)))
+    """(label probabilities of all words, places of the different words, which of these each word is)."""
+    first, inverse = _different(x.hash)
+    score = factors(field.scores(*features(raw, x.start[first], x.end[first], _numbers(x.hash[first]), field.lexicon)).astype(np.float64))
     return forward_backward(score[inverse], chains(raw, x), np.exp(field.change))[0], first, inverse
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, epochs: int = EPOCHS) -> Field:
-    """Train on the ``train_docs`` labelled documents of the least hashes."""
-    labelled = docs.where("doc_id is not null and text is not null and lang is not null").select("doc_id", "lang", "text")
-    sample = hash_sample(labelled, train_docs, docs.where("doc_id is not null and lang is not null")).toArrow()
-    texts = sample.column("text").combine_chunks() if sample.num_rows else pa.array([], pa.string())
-    langs = sample.column("lang").to_pylist()
-    field = train(texts, langs, epochs)
-    field.usual = likelihood(texts, langs, field.labels)
+def fit(docs: DataFrame, epochs: int = EPOCHS) -> Field:
+    """Train on all labelled documents."""
+    h = F.xxhash64("doc_id", "text")
+    known = docs.where("text is not null and lang is not null").select("lang", "text", h.alias("h"), (F.pmod(F.shiftright(h, 32), F.lit(HELD_OUT)) == 0).alias("held"))
+    lexicon, tables = counts(known)
+    labels, k = list(tables), max(1, len(tables))
+    field = Field(labels, lexicon, np.zeros((BUCKETS + len(lexicon) + 1, k), np.float32), np.zeros((k, k)), likelihood(known, tables))
+    if len(labels) < 2 or field.usual is None:
+        return field
+    shards = -(-sum(int(t[:, -1].sum()) for t in tables.values()) // SHARD_BYTES)
+    shared = docs.sparkSession.sparkContext.broadcast((labels, lexicon))
+    mixed = known.select("lang", "text", "h").repartition(shards, "h").sortWithinPartitions("h", "lang").select("lang", "text")
+    trained = mixed.mapInArrow(partial(_train, shared=shared, epochs=epochs), _PART_SCHEMA)
+    for part, _, weight, _ in trained.repartition("part").sortWithinPartitions("part", "shard").mapInArrow(_average, _PART_SCHEMA).collect():
+        mean = np.frombuffer(weight, np.float32)
+        if part == _CHANGE:
+            field.change[:] = mean.reshape(k, k)
+        else:
+            field.weight[part * SLICE : (part + 1) * SLICE] = mean.reshape(-1, k)
     return field
 
 
@@ -366,7 +607,7 @@ def _label(batches: Iterator[pa.RecordBatch], shared: Broadcast, min_share: floa
             yield K.batch(_ARROW, ids.slice(row, end - row), v["lang"], np.round(v["share"], 6), np.round(v["confidence"], 6), v["n"].astype(np.int32), v["switches"].astype(np.int32), v["spans"], v["keep"])
 
 
-def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS, epochs: int = EPOCHS, min_share: float = MIN_SHARE) -> DataFrame:
+def identify(docs: DataFrame, epochs: int = EPOCHS, min_share: float = MIN_SHARE) -> DataFrame:
     """(doc_id, lang, share, confidence, n_words, n_switches, spans, keep) of every document.
 
     ``spans`` has the runs of words of one language, ``lang`` is the commonest (of equals the first by name),
@@ -378,7 +619,7 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS, epochs: int = EPOCHS
     rows give a row each.  Very long texts are labelled whole.  Without labelled rows no language is known and
     nothing is kept; rows whose lang is null are labelled but not learned from.  Other columns are ignored.
     """
-    field = docs.sparkSession.sparkContext.broadcast(fit(docs, train_docs, epochs))
+    field = docs.sparkSession.sparkContext.broadcast(fit(docs, epochs))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_label, shared=field, min_share=min_share), _SCHEMA)
 
 
@@ -389,13 +630,13 @@ def _filter(batches: Iterator[pa.RecordBatch], shared: Broadcast, min_share: flo
             yield b.filter(pa.array(np.concatenate(keep)))
 
 
-def in_known_language(docs: DataFrame, train_docs: int = TRAIN_DOCS, epochs: int = EPOCHS, min_share: float = MIN_SHARE) -> DataFrame:
+def in_known_language(docs: DataFrame, epochs: int = EPOCHS, min_share: float = MIN_SHARE) -> DataFrame:
     """The documents that ``identify`` keeps, with their columns, whatever their names.
 
     A null doc_id doesn't matter here.  Null, empty and wordless texts go.  Repeated rows fare alike, very long texts
     are judged whole, and an empty table stays empty.
     """
-    field = docs.sparkSession.sparkContext.broadcast(fit(docs, train_docs, epochs))
+    field = docs.sparkSession.sparkContext.broadcast(fit(docs, epochs))
     return docs.mapInArrow(partial(_filter, shared=field, min_share=min_share), docs.schema)
 
 

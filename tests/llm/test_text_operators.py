@@ -448,6 +448,41 @@ def test_gibberish_and_unlearned_languages_go(spark):
     assert {r.doc_id for r in language_id.in_known_language(table).select("doc_id").collect()} == {i for i, keep in kept.items() if keep}
 
 
+def test_languages_are_learned_from_all_labelled_documents(spark):
+    """A language of documents that no sample by hash of 600 of 1500 would have."""
+    rng = random.Random(3)
+    ids = [r.id for r in spark.range(1500).orderBy(F.xxhash64("id")).collect()]
+    rows = [(i, spoken(rng, lang, 20), lang, "s", 1) for at, i in enumerate(ids) for lang in ["de" if at >= 1470 else rng.choice(["en", "fr"])]]
+    rows += [(2000 + i, spoken(rng, "de", 20), None, "s", 1) for i in range(20)]
+    out = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [out[2000 + i].lang for i in range(20)] == ["de"] * 20
+    assert all(out[r[0]].lang == r[2] for r in rows[:1500])
+
+
+def test_language_counts_and_layout(spark, sf_dir, monkeypatch):
+    """Letters are counted in every labelled document; the fit is the same however the table is cut and sorted, in several shards too."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    fields = []
+    for size in (64 << 20, 100_000):
+        monkeypatch.setattr(language_id, "SHARD_BYTES", size)
+        fields += [language_id.fit(docs), language_id.fit(docs.repartitionByRange(3, "lang", "n_chars").sortWithinPartitions("lang"))]
+    for a, b in (fields[:2], fields[2:]):
+        assert np.array_equal(a.weight, b.weight) and np.array_equal(a.change, b.change) and a.usual.lack == b.usual.lack
+        assert np.array_equal(a.usual.whole, b.usual.whole) and np.array_equal(a.usual.mean, b.usual.mean)
+    assert not np.array_equal(fields[0].weight, fields[2].weight)
+    h = F.xxhash64("doc_id", "text")
+    _, tables = language_id.counts(docs.select("lang", "text", (h % 3 == 0).alias("held")))
+    texts = {lang: [r.text for r in docs.where(F.col("lang") == lang).collect()] for lang in tables}
+    for lang, table in tables.items():
+        found = [words(t) for t in texts[lang]]
+        assert table[:, -2].sum() == sum(map(len, found)) and table[:, -1].sum() == sum(len(t.encode()) for t in texts[lang])
+        letters = sum(len(w.encode()) + 1 for ws in found for w in ws)
+        assert table[:, : language_id.TRIPLES].sum() == table[:, language_id.TRIPLES : -2].sum() == letters
+    monkeypatch.setattr(language_id, "SHARD_BYTES", 100_000)
+    out = language_id.identify(docs).join(docs.select("doc_id", F.col("lang").alias("truth")), "doc_id").collect()
+    assert np.mean([r.lang == r.truth for r in out]) >= 0.95
+
+
 def test_language_of_odd_tables(spark):
     rng = random.Random(2)
     docs = messy(spark, [spoken(rng, "en", 30) for _ in range(30)])
