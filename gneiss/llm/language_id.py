@@ -17,7 +17,7 @@ counting as much as its documents had to say of a weight.  The fit doesn't depen
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -39,6 +39,8 @@ LESSON_BYTES = 2 << 20
 STEP, STEP_PART, MOST_STEP = 256, 50, 1 << 15
 #: Weights that tasks hand on as one row.
 SLICE = 1 << 14
+#: Of numbers of words that a task keeps so as not to find them again.
+MEMO_BYTES = 24 << 20
 #: Words that are walked at once; longer chains are joined of such blocks, with the same result.
 BLOCK = 64
 BUCKETS = 1 << 15
@@ -89,6 +91,42 @@ def _different(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[head], which
 
 
+def _apart(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of these words alone, a zero after each, starts and ends in these)."""
+    size = end - start
+    bounds = np.concatenate(([0], np.cumsum(size + 1)))
+    place = np.repeat(start - bounds[:-1], size + 1) + np.arange(bounds[-1])
+    out = raw[np.minimum(place, len(raw) - 1)]
+    out[bounds[1:] - 1] = 0
+    return out, bounds[:-1], bounds[1:] - 1
+
+
+class Memo:
+    """Numbers that words have whatever their text, of words met before; those that would share a place with an earlier one are found anew."""
+
+    def __init__(self, columns: int) -> None:
+        bits = max(10, min(19, (MEMO_BYTES // (8 * columns + 8)).bit_length() - 1))
+        self.shift = U64(64 - bits)
+        # a hash whose place is another
+        self.hash = (np.arange(1 << bits, dtype=U64) ^ U64(1)) << self.shift
+        self.numbers = np.empty((1 << bits, columns))
+
+    def of(self, value: np.ndarray, find: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """A row for each of different hashes in order; ``find`` gives those of some of them."""
+        place = (value >> self.shift).astype(np.int64)
+        there = self.hash[place] == value
+        out = np.take(self.numbers, place, axis=0)
+        new = np.flatnonzero(~there)
+        if len(new):
+            out[new] = find(new)
+            # of words with one place the first; where there is one already it stays
+            at = place[new]
+            free = self.hash[at] >> self.shift != at.astype(U64)
+            free[1:] &= at[1:] != at[:-1]
+            self.hash[at[free]], self.numbers[at[free]] = value[new[free]], out[new[free]]
+        return out
+
+
 def features(raw: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(weight numbers of the words one after another, bounds by word); the table's last weight is the absent feature and stays 0."""
     low = K.fold(raw)
@@ -122,20 +160,21 @@ def chains(raw: np.ndarray, x: K.Words) -> np.ndarray:
     n = len(x.hash)
     if n == 0:
         return np.zeros(1, np.int64)
-    stops = np.concatenate(([0], np.cumsum(_STOP[raw])))
-    new = np.ones(n, bool)
-    new[1:] = stops[x.start[1:]] > stops[x.end[:-1]]
+    new = np.zeros(n + 1, bool)
+    new[np.searchsorted(x.start, np.flatnonzero(_STOP[raw]))] = True
     new[x.first[:-1][x.counts > 0]] = True
-    return np.append(np.flatnonzero(new), n)
+    new[n] = True
+    return np.flatnonzero(new)
 
 
 def trigrams(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(which word, number of the two letters before, number of the trigram) at each of all words' letters and ends."""
-    low = K.fold(raw)
-    size = end - start
-    which, j = _within(size + 1)
-    at = start[which] + j
-    letter = [np.where((j >= back) & (j - back < size[which]), low[np.clip(at - back, 0, len(low) - 1)], 0).astype(U32) for back in (2, 1, 0)]
+    alone, start, end = _apart(raw, start, end)
+    low = K.fold(alone).astype(U32)
+    letter = [np.zeros_like(low), np.zeros_like(low), low]
+    letter[0][2:], letter[1][1:] = low[:-2], low[:-1]
+    letter[0][start] = 0
+    which = np.repeat(np.arange(len(start)), end - start + 1)
     before = letter[0] << 8 | letter[1]
     whole = ((before << 8 | letter[2]) * U32(0x9E3779B1)) >> U32(15)
     return which, before.astype(np.int64), whole.astype(np.int64)
@@ -161,9 +200,9 @@ class Likelihood:
         return total / letters[:, None]
 
     def lacks(self, score: np.ndarray, label: np.ndarray, row: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """By row, how much less likely the words are than usual, and the standard error of that."""
+        """By row, how much less likely the words are than usual, and the standard error of that; ``score`` has each word's in its language."""
         some = np.maximum(n, 1)
-        less = np.bincount(row, weights=self.mean[label] - score[np.arange(len(label)), label], minlength=len(n)) / some
+        less = np.bincount(row, weights=self.mean[label] - score, minlength=len(n)) / some
         return less, np.sqrt(np.bincount(row, weights=self.spread[label] ** 2, minlength=len(n))) / some
 
 
@@ -255,6 +294,7 @@ def _try(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.Re
     """How likely the words of each document that has any are in its language."""
     usual, labels = shared.value
     number = {name: i for i, name in enumerate(labels)}
+    memo = Memo(len(labels))
     for b in batches:
         for at, end, raw, bounds in K.chunks(b.column("text")):
             names, code = _coded(b.column("lang").slice(at, end - at))
@@ -262,7 +302,8 @@ def _try(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.Re
             x = K.words(raw, bounds)
             row, n = x.row_of(), x.counts
             first, inverse = _different(x.hash)
-            score = usual.scores(raw, x.start[first], x.end[first])[inverse, label[row]]
+            score = memo.of(x.hash[first], lambda new, x=x, raw=raw, first=first: usual.scores(raw, x.start[first[new]], x.end[first[new]]))
+            score = score.ravel()[inverse * len(labels) + label[row]]
             total = np.bincount(row, weights=np.rint(score / UNIT), minlength=len(n))
             squares = np.bincount(row, weights=np.rint(score**2 / UNIT), minlength=len(n))
             some = np.flatnonzero(n)
@@ -317,12 +358,15 @@ class Field:
     usual: Likelihood | None = None
 
     def scores(self, feature: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(self.weight[feature], bounds[:-1], axis=0) if len(bounds) > 1 else np.zeros((0, self.weight.shape[1]))
+        """By label, of the words."""
+        if len(bounds) < 2:
+            return np.zeros((self.weight.shape[1], 0), self.weight.dtype)
+        return np.ascontiguousarray(np.add.reduceat(np.take(self.weight, feature, axis=0), bounds[:-1], axis=0).T)
 
 
-def _messages(emission: np.ndarray, bounds: np.ndarray, change: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _messages(factor: np.ndarray, word: np.ndarray, bounds: np.ndarray, change: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bounds of the blocks that chains are cut into, what comes to each from the left and from the right, whether it continues a chain)."""
-    k, sizes = emission.shape[1], np.diff(bounds)
+    k, sizes = len(factor), np.diff(bounds)
     per = -(-sizes // block)
     chain, place = _within(per)
     start = bounds[:-1][chain] + place * block
@@ -330,79 +374,96 @@ def _messages(emission: np.ndarray, bounds: np.ndarray, change: np.ndarray, bloc
     left, right = np.ones((len(start), k)), np.ones((len(start), k))
     many = np.flatnonzero(per[chain] > 1)
     if len(many):
-        # the product of each block's steps, then one step a block
-        product = np.zeros((len(start), k, k))
-        product[many] = np.eye(k) * emission[start[many]][:, None, :]
+        # the product of each block's steps, the longest blocks first, then one step a block
+        many = many[np.argsort(-size[many], kind="stable")]
+        live = np.searchsorted(-size[many], -np.arange(block))
+        back = np.ascontiguousarray(change.T)
+        product = np.eye(k)[:, :, None] * factor[:, word[start[many]]]
         for t in range(1, block):
-            live = many[size[many] > t]
-            step = (product[live] @ change) * emission[start[live] + t][:, None, :]
-            product[live] = step / step.sum(axis=(1, 2), keepdims=True)
+            n = live[t]
+            step = (back @ product[:, :, :n]) * factor[:, word[start[many[:n]] + t]]
+            product[:, :, :n] = step / step.sum(axis=(0, 1))
+        number = np.empty(len(start), np.int64)
+        number[many] = np.arange(len(many))
+        product = np.ascontiguousarray(product.transpose(2, 0, 1))
         first = np.cumsum(per) - per
         long = np.flatnonzero(per > 1)
         for t in range(1, int(per.max())):
             i = first[long[per[long] > t]] + t
-            came = (left[i - 1][:, None, :] @ product[i - 1] @ change)[:, 0]
+            came = (left[i - 1][:, None, :] @ product[number[i - 1]] @ change)[:, 0]
             left[i] = came / came.sum(axis=1, keepdims=True)
             i = first[long[per[long] > t]] + per[long[per[long] > t]] - t
-            came = (change @ product[i] @ right[i][:, :, None])[:, :, 0]
+            came = (change @ product[number[i]] @ right[i][:, :, None])[:, :, 0]
             right[i - 1] = came / came.sum(axis=1, keepdims=True)
     return np.append(start, bounds[-1]), left, right, place > 0
 
 
-def forward_backward(emission: np.ndarray, bounds: np.ndarray, change: np.ndarray, pairs: bool = False, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray | None]:
-    """Label probabilities of each word, given positive emission factors, and the expected label pairs if asked."""
-    bounds, left, right, inner = _messages(emission, bounds, change, block)
-    length, kind = np.diff(bounds), emission.dtype
+def walk(factor: np.ndarray, word: np.ndarray, bounds: np.ndarray, change: np.ndarray, pairs: bool = False, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(label probabilities by label of each word of the chains, in the order of their steps; which words these are; the expected label pairs if asked).
+
+    ``factor`` has the positive emission factors of the different words, a row a label, and ``word`` which of these each is.
+    """
+    bounds, left, right, inner = _messages(factor, word, bounds, change, block)
+    length, kind = np.diff(bounds), factor.dtype
     order = np.argsort(-length, kind="stable")
-    start, length, left, right = bounds[:-1][order], length[order], left[order].astype(kind), right[order].astype(kind)
+    start, length = bounds[:-1][order], length[order]
+    left, right = left[order].T.astype(kind), right[order].T.astype(kind)
     # all first words, then all second ones, and so on, those of the longest blocks first
-    which, place = _within(length)
+    place = np.arange(bounds[-1]) - np.repeat(np.cumsum(length) - length, length)
     step = place.astype(np.uint16) if block < 1 << 16 else place
     by_step = np.argsort(step, kind="stable")
-    at = (start[which] + place)[by_step]
+    at = (np.repeat(start, length) + place)[by_step]
     live = np.bincount(step)
     upto = np.concatenate(([0], np.cumsum(live)))
-    k, change, ones = emission.shape[1], change.astype(kind), np.ones(emission.shape[1], kind)
-    e = emission[at]
-    alpha, beta = np.empty_like(e), np.empty_like(e)
-    for t, n in enumerate(live):
-        mine = alpha[upto[t] : upto[t + 1]]
-        np.multiply(left if t == 0 else alpha[upto[t - 1] : upto[t - 1] + n] @ change, e[upto[t] : upto[t + 1]], out=mine)
-        mine *= (1 / (mine @ ones))[:, None]
-    beta[upto[length - 1] + np.arange(len(length))] = right
+    change = change.astype(kind)
     back = np.ascontiguousarray(change.T)
+    e = np.take(factor, word[at], axis=1)
+    alpha, beta, scale = np.empty_like(e), np.empty_like(e), np.empty(e.shape[1], kind)
+    for t, n in enumerate(live):
+        now = slice(upto[t], upto[t + 1])
+        mine = (left if t == 0 else back @ alpha[:, upto[t - 1] : upto[t - 1] + n]) * e[:, now]
+        np.divide(1, mine.sum(axis=0), out=scale[now])
+        np.multiply(mine, scale[now], out=alpha[:, now])
+    beta[:, upto[length - 1] + np.arange(len(length))] = right
     for t in range(len(live) - 1, 0, -1):
-        b = (e[upto[t] : upto[t + 1]] * beta[upto[t] : upto[t + 1]]) @ back
-        b *= (1 / (b @ ones))[:, None]
-        beta[upto[t - 1] : upto[t - 1] + live[t]] = b
+        now = slice(upto[t], upto[t + 1])
+        b = change @ (e[:, now] * beta[:, now])
+        np.multiply(b, 1 / b.sum(axis=0), out=beta[:, upto[t - 1] : upto[t - 1] + live[t]])
+    out = alpha * beta
+    whole = 1 / out.sum(axis=0)
+    out *= whole
     expected = None
     if pairs:
-        later = by_step[len(start) :]
+        # what comes to each from its side, over what comes to both
         e *= beta
-        before, b = alpha[upto[step[later] - 1] + which[later]], e[len(start) :]
-        expected = _joint(before, b, change)
+        e *= whole
+        expected = np.zeros((len(change), len(change)))
+        for t in range(1, len(live)):
+            now = slice(upto[t], upto[t + 1])
+            expected += (alpha[:, upto[t - 1] : upto[t - 1] + live[t]] * scale[now]) @ e[:, now].T
         if inner.any():
             # the last words of blocks that are continued, before the first of the next
             number = np.empty(len(order), np.int64)
             number[order] = np.arange(len(order))
             i = np.flatnonzero(inner)
             last = number[i - 1]
-            expected += _joint(alpha[upto[length[last] - 1] + last], e[number[i]], change)
-    alpha *= beta
-    alpha *= (1 / (alpha @ ones))[:, None]
-    out = np.empty_like(alpha)
-    out[at] = alpha
-    return out, expected
+            before, b = alpha[:, upto[length[last] - 1] + last], e[:, number[i]]
+            expected += (before * (1 / ((back @ before) * b).sum(axis=0))) @ b.T
+        expected *= change
+    return out, at, expected
 
 
-def _joint(before: np.ndarray, b: np.ndarray, change: np.ndarray) -> np.ndarray:
-    """Expected label pairs of neighbours, given what comes to each from its side."""
-    before = before * (1 / np.einsum("ni,ni->n", before @ change, b))[:, None]
-    return (change * np.einsum("ni,nj->ij", before, b)).astype(np.float64)
+def forward_backward(emission: np.ndarray, bounds: np.ndarray, change: np.ndarray, pairs: bool = False, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray | None]:
+    """Label probabilities of each word, given positive emission factors, and the expected label pairs if asked."""
+    p, at, expected = walk(np.ascontiguousarray(emission.T), np.arange(len(emission)), bounds, change, pairs, block)
+    out = np.empty_like(p)
+    out[:, at] = p
+    return out.T, expected
 
 
 def factors(score: np.ndarray) -> np.ndarray:
-    return np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -50))
+    """Of scores with a row a label."""
+    return np.exp(np.maximum(score - score.max(axis=0), -50))
 
 
 @dataclass
@@ -451,24 +512,24 @@ def train(parts: list[Lesson], labels: list[str], lexicon: np.ndarray, epochs: i
         while step < len(order):
             part = order[step : step + min(MOST_STEP, max(STEP, done // STEP_PART))]
             step, done = step + len(part), done + len(part)
-            which, place = _within(long[part].ravel())
-            at, y = from_[part].ravel()[which] + place, label[part].ravel()[which]
-            ends = np.concatenate(([0], np.cumsum(long[part].sum(axis=1))))
+            sizes, ends = long[part].ravel(), np.concatenate(([0], np.cumsum(long[part].sum(axis=1))))
+            at = np.repeat(from_[part].ravel() - (np.cumsum(sizes) - sizes), sizes) + np.arange(ends[-1])
             # each different word of the part once, as often as it stands there
             some, which = _distinct(x.word[at], len(x.bounds) - 1)
             n = np.diff(x.bounds)[some]
-            of, place = _within(n)
-            f = x.feature[x.bounds[some][of] + place]
-            score = local.scores(f, np.concatenate(([0], np.cumsum(n))))
-            p, pairs = forward_backward(factors(score)[which], ends, np.exp(field.change), pairs=True)
-            p.ravel()[np.arange(0, p.size, k) + y] -= 1
-            total = [np.bincount(which, weights=p[:, i], minlength=len(some)) / len(part) for i in range(k)]
-            gradient = np.stack([np.bincount(f, weights=t[of], minlength=len(x.mine)) for t in total], axis=1).astype(np.float32)
+            upto = np.concatenate(([0], np.cumsum(n)))
+            f = x.feature[np.repeat(x.bounds[some] - upto[:-1], n) + np.arange(upto[-1])].astype(np.int64)
+            p, at, pairs = walk(factors(local.scores(f, upto)), which, ends, np.exp(field.change), pairs=True)
+            of = which[at]
+            true = np.bincount(np.repeat(label[part].ravel() * len(some), sizes) + which, minlength=k * len(some)).reshape(k, -1)
+            total = [(np.bincount(of, weights=p[i], minlength=len(some)) - true[i]) / len(part) for i in range(k)]
+            gradient = np.stack([np.bincount(f, weights=np.repeat(t, n), minlength=len(x.mine)) for t in total], axis=1).astype(np.float32)
             gradient[x.mine == len(field.weight) - 1] = 0
-            both = y[:-1] * k + y[1:]
-            inner = np.ones(len(both), bool)
-            inner[ends[1:-1] - 1] = False
-            pairs -= np.bincount(both[inner], minlength=k * k).reshape(k, k)
+            # labels stay within a piece, and change where another follows
+            one, two = label[part].T
+            more, less = long[part].T
+            pairs -= np.diag(np.bincount(one, weights=more - 1, minlength=k) + np.bincount(two, weights=np.maximum(less - 1, 0), minlength=k))
+            pairs -= np.bincount((one * k + two)[less > 0], minlength=k * k).reshape(k, k)
             local_seen += gradient**2
             local.weight -= rate * gradient / np.sqrt(local_seen)
             pairs /= len(part)
@@ -530,11 +591,17 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield K.batch(_PART, [part], [0], [mean.astype(np.float32).tobytes()], [b""])
 
 
-def label_words(field: Field, raw: np.ndarray, x: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(label probabilities of all words, places of the different words, which of these each word is)."""
+def word_numbers(field: Field, memo: Memo, raw: np.ndarray, x: K.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(emission factors and mean log likelihoods by language of the different words, a row a word; which of these each word is)."""
     first, inverse = _different(x.hash)
-    score = factors(field.scores(*features(raw, x.start[first], x.end[first], _numbers(x.hash[first]), field.lexicon)).astype(np.float64))
-    return forward_backward(score[inverse], chains(raw, x), np.exp(field.change))[0], first, inverse
+    value = x.hash[first]
+
+    def find(new: np.ndarray) -> np.ndarray:
+        alone = _apart(raw, x.start[first[new]], x.end[first[new]])
+        out = factors(field.scores(*features(*alone, _numbers(value[new]), field.lexicon)).astype(np.float64)).T
+        return out if field.usual is None else np.concatenate((out, field.usual.scores(*alone)), axis=1)
+
+    return memo.of(value, find), inverse
 
 
 def fit(docs: DataFrame, epochs: int = EPOCHS) -> Field:
@@ -564,7 +631,20 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("share", pa.
 _SCHEMA = "doc_id long, lang string, share double, confidence double, n_words int, n_switches int, spans array<struct<start:int,end:int,lang:string>>, keep boolean"
 
 
-def _verdicts(field: Field, raw: np.ndarray, bounds: np.ndarray, min_share: float, spans: bool = True) -> dict[str, object]:
+def _best(p: np.ndarray) -> np.ndarray:
+    """Number of the largest of each column, of equals the first."""
+    out, most = np.zeros(p.shape[1], np.int64), p[0].copy()
+    for i in range(1, len(p)):
+        out[p[i] > most] = i
+        np.maximum(most, p[i], out=most)
+    return out
+
+
+def _memo(field: Field) -> Memo:
+    return Memo(len(field.labels) * (1 if field.usual is None else 2))
+
+
+def _verdicts(field: Field, memo: Memo, raw: np.ndarray, bounds: np.ndarray, min_share: float, spans: bool = True) -> dict[str, object]:
     x = K.words(raw, bounds)
     n, rows, k = x.counts, len(bounds) - 1, len(field.labels)
     names = pa.array(field.labels, pa.string())
@@ -573,15 +653,17 @@ def _verdicts(field: Field, raw: np.ndarray, bounds: np.ndarray, min_share: floa
     row = x.row_of()
     likely = np.ones(rows, bool)
     if k and len(x.hash):
-        p, first, inverse = label_words(field, raw, x)
-        label = p.argmax(axis=1)
+        numbers, word = word_numbers(field, memo, raw, x)
+        p, at, _ = walk(np.ascontiguousarray(numbers[:, :k].T), word, chains(raw, x), np.exp(field.change))
+        label[at] = _best(p)
         votes = np.bincount(row * k + label, minlength=rows * k).reshape(rows, k)
         best = votes.argmax(axis=1)
         some = np.maximum(n, 1)
         out["best"], out["share"] = best, votes[np.arange(rows), best] / some
-        out["confidence"] = np.bincount(row, weights=p[np.arange(len(p)), best[row]], minlength=rows) / some
+        row_at = row[at]
+        out["confidence"] = np.bincount(row_at, weights=p.ravel()[best[row_at] * len(at) + np.arange(len(at))], minlength=rows) / some
         if field.usual is not None:
-            less, error = field.usual.lacks(field.usual.scores(raw, x.start[first], x.end[first])[inverse], label, row, n)
+            less, error = field.usual.lacks(numbers.ravel()[word * (2 * k) + k + label], label, row, n)
             likely = less <= field.usual.lack + ERRORS * error
     known = (n > 0) & (k > 0)
     out["lang"] = names.take(pa.array(out["best"], mask=~known)) if k else pa.nulls(rows, pa.string())
@@ -600,10 +682,11 @@ def _verdicts(field: Field, raw: np.ndarray, bounds: np.ndarray, min_share: floa
 
 
 def _label(batches: Iterator[pa.RecordBatch], shared: Broadcast, min_share: float) -> Iterator[pa.RecordBatch]:
+    memo = _memo(shared.value)
     for b in batches:
         ids = b.column("doc_id")
         for row, end, raw, bounds in K.chunks(b.column("text")):
-            v = _verdicts(shared.value, raw, bounds, min_share)
+            v = _verdicts(shared.value, memo, raw, bounds, min_share)
             yield K.batch(_ARROW, ids.slice(row, end - row), v["lang"], np.round(v["share"], 6), np.round(v["confidence"], 6), v["n"].astype(np.int32), v["switches"].astype(np.int32), v["spans"], v["keep"])
 
 
@@ -624,8 +707,9 @@ def identify(docs: DataFrame, epochs: int = EPOCHS, min_share: float = MIN_SHARE
 
 
 def _filter(batches: Iterator[pa.RecordBatch], shared: Broadcast, min_share: float) -> Iterator[pa.RecordBatch]:
+    memo = _memo(shared.value)
     for b in batches:
-        keep = [_verdicts(shared.value, raw, bounds, min_share, spans=False)["keep"] for _, _, raw, bounds in K.chunks(b.column("text"))]
+        keep = [_verdicts(shared.value, memo, raw, bounds, min_share, spans=False)["keep"] for _, _, raw, bounds in K.chunks(b.column("text"))]
         if keep:
             yield b.filter(pa.array(np.concatenate(keep)))
 

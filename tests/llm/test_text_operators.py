@@ -3,6 +3,7 @@ import random
 import re
 import time
 from html.parser import HTMLParser
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -483,6 +484,40 @@ def test_language_counts_and_layout(spark, sf_dir, monkeypatch):
     assert np.mean([r.lang == r.truth for r in out]) >= 0.95
 
 
+def test_words_are_scored_once_a_task(monkeypatch):
+    """Chunks of the same words: all are labelled, by numbers found for the first alone, and as well where few of these are kept."""
+    rng = random.Random(6)
+    vocabulary = {lang: [lang + "".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(2000)] for lang in ("xa", "yb")}
+    texts = [" ".join(rng.choice(vocabulary[lang]) for _ in range(400)) + "." for lang in ("xa", "yb") * 300]
+    known = pa.RecordBatch.from_arrays([pa.array(["xa", "yb"] * 300), pa.array(texts), pa.array([i % 3 == 0 for i in range(600)])], ["lang", "text", "held"])
+    assert len(list(K.chunks(known.column("text")))) > 2
+    monkeypatch.setattr(language_id.Likelihood, "scores", lambda self, raw, start, end, whole=language_id.Likelihood.scores: scored.append(len(start)) or whole(self, raw, start, end))
+    parts = list(language_id.lessons(known.column("text"), np.array([0, 1] * 300), np.zeros(0, np.uint64)))
+    field = language_id.train(parts, ["xa", "yb"], np.zeros(0, np.uint64), epochs=1)[0]
+    shape = np.random.default_rng(1).random((language_id.TRIPLES, 2)).astype(np.float32)
+    field.usual = language_id.Likelihood(shape[: language_id.PAIRS], shape, np.zeros(2), np.ones(2))
+    docs = pa.RecordBatch.from_arrays([pa.array(range(600)), known.column("text")], ["doc_id", "text"])
+    found = []
+    for kept in (None, 0):
+        if kept is not None:
+            monkeypatch.setattr(language_id, "MEMO_BYTES", kept)
+        for run in (lambda: language_id._label(iter([docs]), SimpleNamespace(value=field), 1 / 3), lambda: language_id._try(iter([known]), SimpleNamespace(value=(field.usual, field.labels)))):
+            scored = []
+            found.append(pa.Table.from_batches(run()))
+            assert sum(scored) >= 4000 and (kept is not None or sum(scored) < 4400)
+    assert found[0].equals(found[2]) and found[1].equals(found[3])
+    assert found[0].column("lang").to_pylist() == ["xa", "yb"] * 300 and min(found[0].column("share").to_pylist()) >= 0.98
+
+
+def test_walk_of_words_that_repeat():
+    rng = np.random.default_rng(8)
+    bounds, factor, change = np.array([0, 1, 7, 207, 210]), rng.random((3, 20)) + 0.1, rng.random((3, 3)) + 0.1
+    word = rng.integers(0, 20, 210)
+    p, at, pairs = language_id.walk(factor, word, bounds, change, pairs=True, block=16)
+    want, want_pairs = language_id.forward_backward(factor.T[word], bounds, change, pairs=True, block=1000)
+    assert sorted(at) == list(range(210)) and np.allclose(p.T, want[at]) and np.allclose(pairs, want_pairs)
+
+
 def test_language_of_odd_tables(spark):
     rng = random.Random(2)
     docs = messy(spark, [spoken(rng, "en", 30) for _ in range(30)])
