@@ -16,7 +16,6 @@ counting as much as its documents had to say of a weight.  The fit doesn't depen
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -234,6 +233,7 @@ def _totals(tables: dict[str | None, np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield K.batch(_TOTALS, [name], [_packed(table)])
 
 
+@K.returning
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts by language, and under null how often, up to twice, each number of the lexicon stands there."""
     seen = np.zeros(1 << WORD_BITS, np.int64)
@@ -266,6 +266,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _totals(tables | {None: np.minimum(seen, 2)})
 
 
+@K.returning
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tables: dict[str | None, np.ndarray] = {}
     for b in batches:
@@ -290,6 +291,7 @@ def counts(known: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
 _TRIED = pa.schema([("lang", pa.string()), ("bin", pa.int32()), ("words", pa.int64()), ("total", pa.int64()), ("squares", pa.int64())])
 
 
+@K.returning
 def _try(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     """How likely the words of each document that has any are in its language."""
     usual, labels = shared.value
@@ -545,14 +547,7 @@ _PART_SCHEMA = "part int, shard int, weight binary, seen binary"
 _CHANGE = -1
 
 
-def _release() -> None:
-    """Give memory back that this worker, which Spark keeps for later tasks, doesn't use any more."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
+@K.returning
 def _train(batches: Iterator[pa.RecordBatch], shared: Broadcast, epochs: int) -> Iterator[pa.RecordBatch]:
     labels, lexicon = shared.value
     number = {name: i for i, name in enumerate(labels)}
@@ -563,17 +558,18 @@ def _train(batches: Iterator[pa.RecordBatch], shared: Broadcast, epochs: int) ->
     if not parts:
         return
     del b
-    _release()
+    K.release()
     shard = TaskContext.get().partitionId()
     field, seen, seen_change = train(parts, labels, lexicon, epochs)
     parts.clear()
-    _release()
+    K.release()
     for i in range(0, len(seen), SLICE):
         if seen[i : i + SLICE].any():
             yield K.batch(_PART, [i // SLICE], [shard], [field.weight[i : i + SLICE].tobytes()], [seen[i : i + SLICE].astype(np.float32).tobytes()])
     yield K.batch(_PART, [_CHANGE], [shard], [field.change.astype(np.float32).tobytes()], [seen_change.astype(np.float32).tobytes()])
 
 
+@K.returning
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The mean of each weight, by how much each shard has seen of it."""
     sums: dict[int, list[np.ndarray]] = {}
@@ -681,6 +677,7 @@ def _verdicts(field: Field, memo: Memo, raw: np.ndarray, bounds: np.ndarray, min
     return out
 
 
+@K.returning
 def _label(batches: Iterator[pa.RecordBatch], shared: Broadcast, min_share: float) -> Iterator[pa.RecordBatch]:
     memo = _memo(shared.value)
     for b in batches:
@@ -706,6 +703,7 @@ def identify(docs: DataFrame, epochs: int = EPOCHS, min_share: float = MIN_SHARE
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_label, shared=field, min_share=min_share), _SCHEMA)
 
 
+@K.returning
 def _filter(batches: Iterator[pa.RecordBatch], shared: Broadcast, min_share: float) -> Iterator[pa.RecordBatch]:
     memo = _memo(shared.value)
     for b in batches:

@@ -99,6 +99,7 @@ def estimate(differing: np.ndarray) -> np.ndarray:
     return 1 + BITS / (4 * SAMPLES) * np.log(inner)
 
 
+@K.returning
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids = b.column("doc_id").to_numpy(zero_copy_only=False)
@@ -167,6 +168,7 @@ _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 def _verify(threshold: float):
     most = differing_bits(threshold)
 
+    @K.returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for band, doc, sketch in _groups(batches):
             head = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
@@ -192,6 +194,7 @@ def _to_pivot(threshold: float):
     """Rows of two sketches with whether they are near."""
     most = differing_bits(threshold)
 
+    @K.returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = _apart(_sketches(b.column("sketch")), _sketches(b.column("pivot_sketch"))) <= most

@@ -41,6 +41,7 @@ _ARROW_SEGMENTS = pa.schema([("gram", pa.int64()), ("segment", pa.int64()), ("do
 def _segments(length: int, k: int):
     w = length - k + 1
 
+    @K.returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
@@ -70,6 +71,7 @@ _TEXTS = "gram long, segment long, low long, many boolean, words binary"
 _ARROW_TEXTS = pa.schema([("gram", pa.int64()), ("segment", pa.int64()), ("low", pa.int64()), ("many", pa.bool_()), ("words", pa.binary())])
 
 
+@K.returning
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of the wanted segments of each document; a row whose words differ from the segment's hash isn't its source."""
     for b in batches:
@@ -124,6 +126,7 @@ def _search(length: int, shard_words: int):
         last = np.append(i[1:], len(which)) - 1
         return K.batch(_ARROW_RUNS, gram[which[i]], segment[which[i]], place[i].astype(np.int32), (place[last] + length).astype(np.int32), least[i])
 
+    @K.returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         words = 0
@@ -155,6 +158,7 @@ _ARROW_HASHED = pa.schema([("run", pa.int64()), ("gram", pa.int64()), ("segment"
 def _hash_runs(length: int):
     """Each run of ``length`` words of the segments by its hash."""
 
+    @K.returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, end, raw, bounds in K.chunks(b.column("words"), 1 << 18):
@@ -234,6 +238,7 @@ def _without(column: str):
     return lambda batches: _cut_out(batches, column)
 
 
+@K.returning
 def _cut_out(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, spans = b.column("text"), b.column(column)

@@ -2,14 +2,18 @@ import base64
 import glob
 import gzip
 import random
+import re
+import time
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gneiss.llm import decontamination, near_dedup, packing, registry, shared, substring_dedup, warc
+from gneiss.llm import decontamination, language_id, near_dedup, packing, registry, shared, substring_dedup, warc
 from tests.llm.helpers import DOCS, empty, messy, prose
 
 TOKENIZER = sorted(glob.glob("/opt/tokenizers/**/*.tiktoken", recursive=True))[0]
@@ -307,3 +311,35 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     packed = {d for r in rows for d in r.doc_ids}
     assert {1, 4, 100, 103} <= packed and packed.isdisjoint({2, 3, 5, 101, 102, None})
     assert sum(r.n_tokens for r in rows) == sum(sum(r.lengths) for r in rows)
+
+
+def _unused_mb(batches):
+    """MB that this worker holds without using them, which it gives back by this."""
+    import ctypes
+
+    def held():
+        return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    for _ in batches:
+        pass
+    before = held()
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+    time.sleep(0.5)  # so that each task has a worker of its own
+    yield pa.RecordBatch.from_arrays([pa.array([before - held()])], names=["mb"])
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="memory can't be read here")
+@pytest.mark.parametrize("stage", [language_id.in_known_language, near_dedup.without_near_duplicates, substring_dedup.without_repeats])
+def test_workers_keep_no_memory_for_later_stages(spark, tmp_path, stage):
+    rng = random.Random(11)
+    shared_part = prose(rng, 120)
+    rows = [(i, f"{prose(rng, 300)} {shared_part} {prose(rng, 60)}", ("en", "fr")[i % 2], "a", 1) for i in range(6000)]
+    spark.createDataFrame(rows, DOCS).repartition(4).write.parquet(str(tmp_path / "docs"))
+
+    def unused():
+        return max(r.mb for r in spark.range(0, 4, 1, 4).mapInArrow(_unused_mb, "mb double").collect())
+
+    unused()
+    stage(spark.read.parquet(str(tmp_path / "docs"))).write.parquet(str(tmp_path / "out"))
+    assert unused() < 32
