@@ -274,7 +274,7 @@ QUERIES: dict[str, Callable[[Repo, Options], DataFrame]] = {
     "diff-risk": lambda r, o: history.diff_risk(r.listing.sparkSession.createDataFrame([(f,) for f in o.files], "path string"), r.file_activity),
     "doc-drift": lambda r, o: history.doc_drift(r.file_activity, r.coupling, o.top, o.min_cochanges),
     "onboard": lambda r, o: rollups.onboard_answer(r.file_activity, r.commits, r.contributors, r.listing, _areas(r, True), rollups.folders(r.listing), o.top),
-    "key-areas": lambda r, o: rollups.key_areas(_areas(r, True), top=o.top),
+    "key-areas": lambda r, o: rollups.key_areas(_areas(r), top=o.top),
     "pain-points": lambda r, o: rollups.pain_points(_areas(r, True), r.contributors, o.top),
     "can-i-help": lambda r, o: rollups.can_i_help_answer(_areas(r, True), r.commits, r.contributors, rollups.folders(r.listing)),
     "good-first-areas": lambda r, o: rollups.good_first_areas(_areas(r, True)),

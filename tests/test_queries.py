@@ -64,3 +64,36 @@ def test_the_rest_works_without_the_training_data_operators(tmp_path):
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'hotspots' in q and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+@pytest.fixture(scope="module")
+def many_files(tmp_path_factory):
+    """A star schema of 12,000 files, most of them without a recent change."""
+    folder = tmp_path_factory.mktemp("many")
+    con = duckdb.connect()
+    source = "/root/testdata/sf0.01"
+    for t in TABLES:
+        rows = f"SELECT * FROM '{source}/{t}.parquet'"
+        if t == "part":
+            rows = f"SELECT * EXCLUDE (i) REPLACE (p_partkey + i * 2000 AS p_partkey) FROM '{source}/part.parquet', range(6) r(i)"
+        if t == "lineitem":
+            rows = f"SELECT * EXCLUDE (i) REPLACE (l_partkey + i * 2000 AS l_partkey) FROM '{source}/lineitem.parquet', range(6) r(i) WHERE l_linenumber = 1"
+        con.execute(f"COPY ({rows}) TO '{folder}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    con.execute("SET TimeZone = 'UTC'")
+    return con, str(folder)
+
+
+def _same_as_sql(spark, many_files, name):
+    con, folder = many_files
+    df = catalog.queries()[name](spark, folder)
+    found = con.execute(catalog.oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    want = sorted(tuple(map(plain, r)) for r in found.fetchall())
+    assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == want
+    return want
+
+
+def test_key_areas_of_many_files(spark, many_files):
+    assert many_files[0].execute("SELECT count(DISTINCT l_partkey) FROM lineitem").fetchone()[0] > 10_000
+    assert len(_same_as_sql(spark, many_files, "key_areas")) == 10
