@@ -209,8 +209,8 @@ def _groups(r: Repo, o: Options) -> DataFrame:
     return graph.communities(_edges(r, o))
 
 
-def _areas(r: Repo, active: bool = False) -> DataFrame:
-    return history.areas(r.file_activity, r.file_authors, r.contributors, r.last, r.deletions, r.renames, r.symbols, active)
+def _areas(r: Repo) -> DataFrame:
+    return history.areas(r.file_activity, r.file_authors, r.contributors, r.last, r.deletions, r.renames, r.symbols)
 
 
 def _files(r: Repo, o: Options) -> DataFrame:
@@ -273,12 +273,12 @@ QUERIES: dict[str, Callable[[Repo, Options], DataFrame]] = {
     "test-gaps": lambda r, o: history.test_gaps(r.file_activity, r.coupling, o.top, o.min_changes, o.min_cochanges),
     "diff-risk": lambda r, o: history.diff_risk(r.listing.sparkSession.createDataFrame([(f,) for f in o.files], "path string"), r.file_activity),
     "doc-drift": lambda r, o: history.doc_drift(r.file_activity, r.coupling, o.top, o.min_cochanges),
-    "onboard": lambda r, o: rollups.onboard_answer(r.file_activity, r.commits, r.contributors, r.listing, _areas(r, True), rollups.folders(r.listing), o.top),
+    "onboard": lambda r, o: rollups.onboard_answer(r.file_activity, r.commits, r.contributors, r.listing, _areas(r), rollups.folders(r.listing), o.top),
     "key-areas": lambda r, o: rollups.key_areas(_areas(r), top=o.top),
-    "pain-points": lambda r, o: rollups.pain_points(_areas(r, True), r.contributors, o.top),
-    "can-i-help": lambda r, o: rollups.can_i_help_answer(_areas(r, True), r.commits, r.contributors, rollups.folders(r.listing)),
-    "good-first-areas": lambda r, o: rollups.good_first_areas(_areas(r, True)),
-    "needs-help": lambda r, o: rollups.needs_help(_areas(r, True)),
+    "pain-points": lambda r, o: rollups.pain_points(_areas(r), r.contributors, o.top),
+    "can-i-help": lambda r, o: rollups.can_i_help_answer(_areas(r), r.commits, r.contributors, rollups.folders(r.listing)),
+    "good-first-areas": lambda r, o: rollups.good_first_areas(_areas(r)),
+    "needs-help": lambda r, o: rollups.needs_help(_areas(r)),
     "recent-activity": lambda r, o: rollups.recent_activity(r.commits, r.contributors),
     "symbols": lambda r, o: graph.symbols_of(r.symbols, r.imports, o.path),
     "dependents": lambda r, o: graph.dependents(r.symbols, r.imports, o.text, o.path or None),

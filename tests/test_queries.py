@@ -97,3 +97,7 @@ def _same_as_sql(spark, many_files, name):
 def test_key_areas_of_many_files(spark, many_files):
     assert many_files[0].execute("SELECT count(DISTINCT l_partkey) FROM lineitem").fetchone()[0] > 10_000
     assert len(_same_as_sql(spark, many_files, "key_areas")) == 10
+
+
+def test_onboarding_of_many_files(spark, many_files):
+    assert len([r for r in _same_as_sql(spark, many_files, "onboard_answer") if "key-areas" in r]) == 10
