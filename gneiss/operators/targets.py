@@ -36,7 +36,8 @@ def file_targets(activity: DataFrame, contributors: DataFrame, top: int = 10) ->
 
     hot, bug = capped(F.col("changes"), F.col("changes_p")), capped(F.col("bug_fix_changes"), F.col("bug_fix_changes_p"))
     size = F.least(F.col("additions").cast("double") / 500, F.lit(2.0))
-    bot = F.when(F.size("authors") > 0, F.coalesce("bots", F.lit(0)).cast("double") / F.size("authors")).otherwise(0.0)
+    hands = F.size(F.array_compact("authors"))
+    bot = F.when(hands > 0, F.coalesce("bots", F.lit(0)).cast("double") / hands).otherwise(0.0)
     rows = rows.select("path", hot.alias("hot"), bug.alias("bug"), size.alias("size"), bot.alias("bot"))
     score = F.col("hot") + F.col("bug") * 1.5 + F.col("size") * 0.7 + F.col("bot") * 0.8
     suspect = F.when((F.col("bug") >= F.col("hot")) & (F.col("bug") >= F.col("bot")), "defensive-cargo-cult").when(F.col("bot") >= F.col("hot"), "bot-authored").when(F.col("size") >= 1, "could-be-shorter").otherwise("defensive-cargo-cult")

@@ -210,7 +210,7 @@ def _groups(r: Repo, o: Options) -> DataFrame:
 
 
 def _areas(r: Repo) -> DataFrame:
-    return history.areas(r.file_activity, r.file_authors, r.contributors, r.last, r.deletions, r.renames, r.symbols)
+    return history.areas(r.file_activity, r.contributors, r.deletions, r.renames, r.symbols)
 
 
 def _files(r: Repo, o: Options) -> DataFrame:

@@ -136,6 +136,23 @@ def test_small_history(small, spark):
     assert {(r.path, r.author) for r in G.newest_author(commits, changes).collect()} == {("e.rs", "ann"), ("e_test.rs", "ann"), ("conf.rs", "ann"), ("u.rs", "bob")}
 
 
+def test_directories_by_hand(spark):
+    rows = [("1", "ann", 0), ("2", "bob", 100), ("3", None, 100), ("4", "bob", 180)]
+    commits = spark.createDataFrame(rows, "hash string, author_name string, day int").select("hash", "author_name", F.timestamp_seconds(F.col("day") * 86400).alias("ts"), F.lit("fix: it").alias("subject"))
+    changes = table(spark, [("1", "d/a.rs", 1, 0), ("2", "d/a.rs", 1, 0), ("3", "d/b.rs", 1, 0), ("1", "old/c.rs", 1, 0), ("4", "d/gone.rs", 1, 0)], "hash string, path string, additions long, deletions long")
+    activity, people = H.file_activity(commits, changes), H.contributor_stats(commits)
+    gone, none = table(spark, [("d/gone.rs",)], "path string"), table(spark, [], "old_path string")
+    symbols = table(spark, [("d/a.rs", "definition", 5), ("d/a.rs", "definition", 8)], "path string, role string, complexity long")
+    got = {r.area: r for r in H.areas(activity, people, gone, none, symbols).collect()}
+    d, old = got["d/"], got["old/"]
+    # an author without a name is one of the owners, after those of as many changes, and isn't listed
+    assert (d.files, d.owners, d.n_owners, d.owner_stale, d.bug_fix_rate, d.complexity_median, d.total_symbols) == (2, "ann,bob", 3, True, 1.0, 6.5, 2)
+    assert (old.files, old.owners, old.n_owners, old.owner_stale, old.total_symbols, old.health) == (1, "ann", 1, True, 0, "at-risk")
+    assert set(H.areas(activity, people, gone, none, symbols, active_only=True, large=2).toPandas()["area"]) == {"d/"}
+    owners = [(r.author, r.commits, r.pct, r["rank"]) for r in H.area_owners(H.surviving(activity, gone, none), people).where("area = 'd/'").orderBy("rank").collect()]
+    assert owners == [("ann", 2, 66.666667, 1), ("bob", 2, 66.666667, 2), (None, 1, 33.333333, 3)]
+
+
 # --- vectors
 
 
