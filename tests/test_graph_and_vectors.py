@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +137,19 @@ def test_small_history(small, spark):
     assert {(r.path, r.author) for r in G.newest_author(commits, changes).collect()} == {("e.rs", "ann"), ("e_test.rs", "ann"), ("conf.rs", "ann"), ("u.rs", "bob")}
 
 
+def test_risk_of_files_listed_often(small, spark):
+    activity = H.file_activity(*small)
+    asked = {"e.rs": 9000, "u.rs": 4096, "none.rs": 8193, None: 2}
+    files = spark.createDataFrame(list(asked.items()), "path string, n int").select("path", F.explode(F.sequence(F.lit(1), "n"))).select("path").repartition(3)
+    out = H.diff_risk(files, activity)
+    assert Counter(r.path for r in out.collect()) == asked
+    # the list is counted before it meets the activity and is sorted
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Sort") < plan.index("Join") < plan.index("count(1) AS times")
+    order = [(-r.risk_score, r.path or "") for r in out.collect()]
+    assert order == sorted(order)
+
+
 def test_directories_by_hand(spark):
     rows = [("1", "ann", 0), ("2", "bob", 100), ("3", None, 100), ("4", "bob", 180)]
     commits = spark.createDataFrame(rows, "hash string, author_name string, day int").select("hash", "author_name", F.timestamp_seconds(F.col("day") * 86400).alias("ts"), F.lit("fix: it").alias("subject"))
