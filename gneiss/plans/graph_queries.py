@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import predicates as P
 from gneiss.operators import graph as G
+from gneiss.operators import history as H
 from gneiss.operators import targets as T
 from gneiss.operators import vectors as V
 from gneiss.plans.history_queries import _BASE, _PAIRS, TEST, Query, _on_repo, _with
@@ -33,7 +34,11 @@ def _boundaries(r: Repo) -> DataFrame:
 
 
 def _health(r: Repo) -> DataFrame:
-    return G.community_health(_groups(r), r.file_activity, G.newest_author(r.commits, r.file_changes), r.contributors)
+    """The activity is written once, with the newest authors, as the edges and the communities read it."""
+    activity = H.file_activity(r.commits, r.file_changes, newest=True)
+    activity = written(activity.select("path", "changes", "recent_changes", "bug_fix_changes", "newest_author"), "activity")
+    groups = G.communities(G.cochange_edges(r.coupled(2), activity, 0.02, 2))
+    return G.community_health(groups, activity, activity.select("path", F.col("newest_author").alias("author")), r.contributors)
 
 
 def _first_member(r: Repo) -> DataFrame:
@@ -141,7 +146,7 @@ QUERIES: dict[str, tuple[Query, str]] = {
         _on_repo(lambda r: T.cliche_clusters(r.symbols)),
         _with(oracle_tables("symbols"), _CLUSTERS) + "SELECT area, hits, CAST(least(hits, 8) + 1 AS DOUBLE) AS score FROM clusters",
     ),
-    "slop_area_targets": (_on_repo(lambda r: T.area_targets(r.symbols, G.import_edges(r.imports), _groups(r), r.file_activity, 50)), ""),
+    "slop_area_targets": (_on_repo(lambda r: T.area_targets(r.symbols, G.import_edges(r.imports), _groups(r.stored("file_activity")), r.file_activity, 50)), ""),
     "slop_path_fixes": (
         _on_repo(lambda r: T.tracked_artifacts(r.listing).unionByName(T.stale_ci(r.listing)).unionByName(T.duplicate_tooling(r.listing))),
         """SELECT * FROM (VALUES ('debug.log', 'tracked-artifact', 'root-log', 0.97), ('src/a.swp', 'tracked-artifact', 'editor-swap', 0.97), ('coverage/index.html', 'tracked-artifact', 'coverage', 0.97),

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -137,6 +138,24 @@ def test_small_history(small, spark):
     assert {(r.path, r.author) for r in G.newest_author(commits, changes).collect()} == {("e.rs", "ann"), ("e_test.rs", "ann"), ("conf.rs", "ann"), ("u.rs", "bob")}
 
 
+@pytest.mark.parametrize("least", [1, 2])
+def test_pairs_are_of_numbers_and_of_few_changes_a_task(spark, least):
+    rng = random.Random(5)
+    rows = sorted({(str(rng.randrange(30)), rng.choice("zyxwvutsrq") + f"{rng.randrange(4)}.rs") for _ in range(200)}) + [("1", "yarn.lock"), ("2", "yarn.lock"), ("1", None), (None, "z0.rs")]
+    want = Counter()
+    for h in {h for h, _ in rows if h}:
+        mine = sorted(p for g, p in rows if g == h and p and not p.endswith(".lock"))
+        want.update(itertools.combinations(mine, 2))
+    want = {pair: n for pair, n in want.items() if n >= least}
+    changes = table(spark, rows, "hash string, path string").repartition(4)
+    for rows_a_task in (40, 10_000):
+        found = H.coupling_counts(changes, least=least, rows_a_task=rows_a_task)
+        assert {(r.a, r.b): r.cochanges for r in found.collect()} == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        tasks = {int(n) for n in re.findall(r"RepartitionByExpression \[i#\d+L, j#\d+L\], (\d+)", plan)}
+        assert len(tasks) == 1 and (min(tasks) == 1) == (rows_a_task > 40)
+
+
 def test_risk_of_files_listed_often(small, spark):
     activity = H.file_activity(*small)
     asked = {"e.rs": 9000, "u.rs": 4096, "none.rs": 8193, None: 2}

@@ -104,8 +104,8 @@ def test_onboarding_of_many_files(spark, many_files):
     assert len([r for r in _same_as_sql(spark, many_files, "onboard_answer") if "key-areas" in r]) == 10
 
 
-@pytest.mark.parametrize(("name", "most"), [("areas", 2), ("area_owners", 2), ("needs_help", 2), ("good_first_areas", 0), ("can_i_help_answer", 0), ("active_areas", 1)])
+@pytest.mark.parametrize(("name", "most"), [("areas", 2), ("area_owners", 2), ("needs_help", 2), ("good_first_areas", 0), ("can_i_help_answer", 0), ("active_areas", 1), ("community_health", 1)])
 def test_directories_come_out_of_one_pass_over_the_changes(spark, sf_dir, name, most):
-    """The changes are read once, and once for the deletions, or have been read when the directories were written."""
+    """The changes are read once, and once for the deletions or the pairs, or have been read when a table was written."""
     plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Relation \[l_orderkey", plan)) <= most
